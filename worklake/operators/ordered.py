@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklake.session import has_hot_group, materialize, max_group_rows
+from worklake.session import has_hot_group, materialize
 
 COUNT, SUM, MAX = "count", "sum", "max"
 
@@ -36,9 +36,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str,
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[_local(k, v, w).alias(n) for n, (k, v) in specs.items()])
 
-    spark = df.sparkSession
-    chunks = max(2, df.count() // max_group_rows(spark) + 1,
-                 int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # spark_partition_id is stable only once written
     chunked = materialize(
         df.repartitionByRange(chunks, *[F.col(k) for k in keys], *order)

@@ -18,10 +18,10 @@ import heapq
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklake.operators.ordered import COUNT, MAX, SUM, numbered, running
+from worklake.operators.ordered import MAX, SUM, numbered, running
 from worklake.session import has_hot_group, materialize, max_group_rows
 
 MINUTE_US = 60_000_000
@@ -87,41 +87,30 @@ def busy_periods(df: DataFrame, keys: list[str], day: str, arrival: str, item: s
     if hot is None:
         hot = has_hot_group(df, keys)
     slots = fifo_slots(df, keys, day, arrival, item, shift, hot)
-    # starts never decrease with pos, so the last end before an item is the running max of ends before it
-    ended = running(slots, keys, [F.col("pos")], {"_latest_start": (MAX, F.col("start_us"))}, hot)
-    previous = numbered_previous(ended, keys, hot, shift)
-    return running(previous, keys, [F.col("pos")], {"period": (SUM, F.col("_new").cast("bigint"))}, hot) \
-        .drop("_latest_start", "_new")
-
-
-def numbered_previous(ended: DataFrame, keys: list[str], hot: bool, shift: Shift) -> DataFrame:
-    """Marks items that arrive after the end of all items before them (_new = 1)."""
-    if not hot:
-        from pyspark.sql import Window
-        before = F.lag("_latest_start").over(Window.partitionBy(*keys).orderBy("pos"))
-        return ended.withColumn("_new", F.when(before.isNull() | (F.greatest(F.col("arrival_us"), F.lit(0))
-                                                                  > before + shift.service_us), 1).otherwise(0))
-    prior = ended.select(*[F.col(k).alias(f"_p_{k}") for k in keys], (F.col("pos") + 1).alias("_p_pos"),
-                         F.col("_latest_start").alias("_before"))
-    cond = F.col("pos") == F.col("_p_pos")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
-    joined = ended.join(prior, cond, "left")
-    new = F.when(F.col("_before").isNull() | (F.greatest(F.col("arrival_us"), F.lit(0))
-                                              > F.col("_before") + shift.service_us), 1).otherwise(0)
-    return joined.withColumn("_new", new).select(*ended.columns, "_new")
-
-
-def _match(items: pd.DataFrame, rank: str) -> list[int]:
-    """Slot of every item; items are sorted by reach, slots are first, first + 1, ..."""
-    reach, ranks = items["reach"].tolist(), items[rank].tolist()
-    slot_of, waiting, nxt = [0] * len(reach), [], 0
-    for slot in range(int(items["pos"].iloc[0]), int(items["pos"].iloc[0]) + len(reach)):
+    # starts never decrease with pos, so the item just before an item is the last to finish before it
+    if hot:
+        prior = slots.select(*[F.col(k).alias(f"_p_{k}") for k in keys], (F.col("pos") + 1).alias("_p_pos"),
+                             F.col("start_us").alias("_before"))
+        cond = F.col("pos") == F.col("_p_pos")
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+        slots = slots.join(prior, cond, "left").select(*slots.columns, "_before")
+    else:
+        slots = slots.withColumn("_before", F.lag("start_us").over(Window.partitionBy(*keys).orderBy("pos")))
+    begins = F.col("_before").isNull() | (F.greatest(F.col("arrival_us"), F.lit(0))
+                                          > F.col("_before") + shift.service_us)
+    return running(slots, keys, [F.col("pos")], {"period": (SUM, begins.cast("bigint"))}, hot).drop("_before")
+
+
+def _match(reach: list[int], slots: list[int], ranks: list[int]) -> list[int]:
+    """Index of the slot of every item; items come in order of reach, slots in order of time."""
+    taken, waiting, nxt = [0] * len(reach), [], 0
+    for at, slot in enumerate(slots):
         while nxt < len(reach) and reach[nxt] <= slot:
             heapq.heappush(waiting, (ranks[nxt], nxt))
             nxt += 1
-        slot_of[heapq.heappop(waiting)[1]] = slot
-    return slot_of
+        taken[heapq.heappop(waiting)[1]] = at
+    return taken
 
 
 def _halve(items: DataFrame, slots: DataFrame, node: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
@@ -177,28 +166,22 @@ def _split_by_rank(stretches: DataFrame, keys: list[str], item: str, rank: str,
     while longest > limit:
         items, slots = _halve(items, slots, node, limit)
         longest = (longest + 1) // 2
-    served = _serve_groups(items.withColumn("pos", F.lit(0).cast("bigint")), [*node, "lo"], ["rank"],
-                           "item", node + ["lo", "item"])
-    return served.join(slots.withColumnRenamed("slot", "rank_slot"), [*node, "lo", "rank_slot"]).select(
+    served = _match_nodes(items, [*node, "lo"])
+    return served.join(slots, [*node, "lo", "slot"]).select(
         *keys, F.col("item").alias(item), F.col("start_us").alias("_start"))
 
 
-def _serve_groups(items: DataFrame, group: list[str], ranks: list[str], item: str, keep: list[str]) -> DataFrame:
-    """Match every group's items to the slots pos.min, pos.min + 1, ...; adds <rank>_slot per rank column."""
-    kept = items.select(*dict.fromkeys([*group, *keep, "reach", "pos", *ranks]))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema]
-                       + [f"`{r}_slot` bigint" for r in ranks])
+def _match_nodes(items: DataFrame, group: list[str]) -> DataFrame:
+    """Group columns, item and slot, matching the items of every node to its slots 0, 1, ..."""
+    kept = items.select(*group, "item", "reach", "rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*group, "item").schema)
 
     def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["reach", "pos"], kind="stable").reset_index(drop=True)
-        first = pdf["pos"].min()
-        out = pdf[keep].copy()
-        pdf["pos"] = first
-        for r in ranks:
-            out[f"{r}_slot"] = _match(pdf, r)
-        return out
+        pdf = pdf.sort_values("reach", kind="stable").reset_index(drop=True)
+        slot = _match(pdf["reach"].tolist(), list(range(len(pdf))), pdf["rank"].tolist())
+        return pdf[[*group, "item"]].assign(slot=slot)
 
-    return kept.groupBy(*group).applyInPandas(serve, schema)
+    return kept.groupBy(*group).applyInPandas(serve, f"{schema}, slot bigint")
 
 
 def replay(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift,
@@ -242,16 +225,12 @@ def _served_in_pandas(slots: DataFrame, keys: list[str], arms: list[str], ranks:
     names = list(ranks)
 
     def serve(pdf: pd.DataFrame) -> pd.DataFrame:
+        # reach follows pos, and at the start of a stretch every earlier slot is taken: one pass does all
         pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        reach, slots, starts = pdf["reach"].tolist(), pdf["pos"].tolist(), pdf["start_us"].to_numpy()
         out = pdf[keep].copy()
-        starts = pdf["start_us"].to_numpy()
         for name, column in zip(names, arms):
-            slot = pd.Series(0, index=pdf.index, dtype="int64")
-            # stretches are separate runs of slots; a bundle may skip slots that another bundle owns
-            for _, part in pdf.groupby("stretch", sort=False):
-                slot.loc[part.index] = [part.index[0] + s - int(part["pos"].iloc[0])
-                                        for s in _match(part.sort_values(["reach", "pos"], kind="stable"), column)]
-            out[f"{name}_start_us"] = starts[slot.to_numpy()]
+            out[f"{name}_start_us"] = starts[_match(reach, slots, pdf[column].tolist())]
         return out
 
     return bundled.groupBy(*keys, "_bundle").applyInPandas(serve, schema)
