@@ -6,7 +6,7 @@ from importlib import import_module
 
 from worklake.registered import base
 
-MODULES = ("ingest",)
+MODULES = ("ingest", "shaping", "queueing", "scoring")
 
 
 def _load() -> None:
