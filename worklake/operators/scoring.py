@@ -40,14 +40,16 @@ def linear_probability(vector: Column, head: Head) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def heads_long(df: DataFrame, keep: list[str], age: str, heads: list[Head], probability) -> DataFrame:
-    """One row per item and head; `probability(head)` is the head's score as a Column.
+def with_heads(df: DataFrame, age: str, heads: list[Head], probability) -> DataFrame:
+    """Adds a struct column _h<i> per head; `probability(head)` is the head's score as a Column.
 
     Probabilities are kept to four digits; the cut-offs apply to the unrounded score. The quality head has
-    no band and applies to every item.
+    no band and applies to every item. Everything is an expression over the item's own row.
     """
-    def row(h: Head) -> Column:
-        p = probability(h)
+    scored = df.select("*", *[probability(h).alias(f"_p{i}") for i, h in enumerate(heads)])
+
+    def row(i: int, h: Head) -> Column:
+        p = F.col(f"_p{i}")
         return F.struct(
             F.lit(h.name).alias("model"), F.lit(h.stage).alias("stage"), F.lit(h.version).alias("model_version"),
             (F.lit(True) if h.checks_quality else in_scope(F.lit(h.population), F.col(age))).alias("in_scope"),
@@ -56,42 +58,52 @@ def heads_long(df: DataFrame, keep: list[str], age: str, heads: list[Head], prob
             (F.lit(None).cast("string") if h.checks_quality
              else priority_band(p, F.lit(h.threshold), F.lit(h.p1))).alias("priority"))
 
-    return (df.select(*keep, F.array(*[row(h) for h in heads]).alias("_heads"))
-              .select(*keep, F.inline("_heads")))
+    return scored.select(*df.columns, *[row(i, h).alias(f"_h{i}") for i, h in enumerate(heads)])
+
+
+def heads_long(df: DataFrame, keep: list[str], heads: list[Head]) -> DataFrame:
+    """One row per item and head."""
+    return df.select(*keep, F.inline(F.array(*[F.col(f"_h{i}") for i in range(len(heads))])))
 
 
-def arbitrate(long: DataFrame, keys: list[str], quality_head: str) -> DataFrame:
-    """One row per item: the live priority, and the one it would have if every trial head were live.
+def decide(df: DataFrame, heads: list[Head]) -> DataFrame:
+    """The live priority of every item, and the one it would have if every trial head were live.
 
     Unfit items get NA; otherwise the most urgent in-scope head decides, none left gives NA. The quality head
-    never ranks. In the trial arm a trial head stands in for the champion of its name.
+    never ranks. In the trial arm a trial head stands in for the champion of its name. The heads of an item sit
+    in its row, so the decision needs neither an explode nor a shuffle.
     """
-    is_quality = F.col("model") == quality_head
-    per_model = (long.groupBy(*keys, "model").agg(
-        F.max(F.struct((F.col("stage") == TRIAL).alias("is_trial"), "in_scope", "probability", "threshold", "priority",
-                       "model_version", "positive")).alias("shadow"),
-        F.max(F.when(F.col("stage") == CHAMPION, F.struct("in_scope", "probability", "threshold", "priority",
-                                                          "model_version", "positive"))).alias("live")))
-    def best(arm: str) -> Column:
-        h = F.col(arm)
-        return F.min(F.when(h["in_scope"] & ~is_quality, F.struct(
-            band_rank(h["priority"]).alias("rank"), (-h["probability"]).alias("p"), F.col("model"),
-            h["priority"].alias("priority"), h["threshold"].alias("threshold"),
-            h["model_version"].alias("model_version"))))
-
-    decided = per_model.groupBy(*keys).agg(
-        best("live").alias("live"), best("shadow").alias("shadow"),
-        F.max(F.when(is_quality, F.col("live.positive"))).alias("unfit"))
-    fit = ~F.coalesce(F.col("unfit"), F.lit(False))
-    arm = lambda a, f: F.when(fit, F.col(f"{a}.{f}"))
-    return decided.select(
-        *keys,
-        F.coalesce(arm("live", "priority"), F.lit("NA")).alias("priority"),
-        (-arm("live", "p")).alias("probability"), arm("live", "threshold").alias("threshold"),
-        arm("live", "model").alias("triage_model"), arm("live", "model_version").alias("model_version"),
-        F.when(F.col("unfit"), "UNSUITABLE").when(F.col("unfit").isNotNull(), "OK").alias("quality_check"),
-        F.coalesce(arm("shadow", "priority"), F.lit("NA")).alias("shadow_priority"),
-        (-arm("shadow", "p")).alias("shadow_probability"), arm("shadow", "model").alias("shadow_model"))
+    ranking = {i: h for i, h in enumerate(heads) if not h.checks_quality}
+    live = [i for i, h in ranking.items() if h.stage == CHAMPION]
+    on_trial = {h.name for h in ranking.values() if h.stage == TRIAL}
+    shadow = [i for i, h in ranking.items() if h.stage == TRIAL or h.name not in on_trial]
+
+    def most_urgent(candidates: list[int]) -> Column:
+        parts = []
+        for i in candidates:
+            h = F.col(f"_h{i}")
+            parts.append(F.when(h["in_scope"], F.struct(
+                band_rank(h["priority"]).alias("rank"), (-h["probability"]).alias("p"), h["model"].alias("model"),
+                h["priority"].alias("priority"), h["threshold"].alias("threshold"),
+                h["model_version"].alias("model_version"))))
+        return F.least(*parts) if len(parts) > 1 else parts[0]
+
+    quality = [F.col(f"_h{i}.positive") for i, h in enumerate(heads) if h.checks_quality]
+    unfit = quality[0] if quality else F.lit(None).cast("boolean")
+    kept = [c for c in df.columns if not c.startswith("_h")]
+    best = df.select(*kept, most_urgent(live).alias("_live"), most_urgent(shadow).alias("_shadow"), unfit.alias("_unfit"))
+    fit = ~F.coalesce(F.col("_unfit"), F.lit(False))
+
+    def of(arm: str, name: str) -> Column:
+        return F.when(fit, F.col(f"{arm}.{name}"))
+
+    return best.select(
+        *kept, F.coalesce(of("_live", "priority"), F.lit("NA")).alias("priority"),
+        (-of("_live", "p")).alias("probability"), of("_live", "threshold").alias("threshold"),
+        of("_live", "model").alias("triage_model"), of("_live", "model_version").alias("model_version"),
+        F.when(F.col("_unfit"), "UNSUITABLE").when(F.col("_unfit").isNotNull(), "OK").alias("quality_check"),
+        F.coalesce(of("_shadow", "priority"), F.lit("NA")).alias("shadow_priority"),
+        (-of("_shadow", "p")).alias("shadow_probability"), of("_shadow", "model").alias("shadow_model"))
 
 
 def quality_flags(reference: dict[str, tuple[float, float]]) -> Column:

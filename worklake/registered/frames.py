@@ -15,7 +15,7 @@ from worklake.functions.scalars import age_years, hash_unit, population_of, trut
 from worklake.operators.latest import latest_per_key
 from worklake.operators.outcomes import model_truth, outcome_class
 from worklake.operators.queues import Shift, replay
-from worklake.operators.scoring import CHAMPION, TRIAL, Head, arbitrate, heads_long
+from worklake.operators.scoring import CHAMPION, TRIAL, Head, decide, heads_long, with_heads
 from worklake.registered.base import cte, table
 from worklake.session import has_hot_group
 
@@ -119,9 +119,12 @@ def head_probability(h: Head):
     return hash_unit(F.lit(h.name), F.lit(h.stage), F.col("item_id").cast("string"))
 
 
+def headed(spark: SparkSession, sf: str) -> DataFrame:
+    return with_heads(items(spark, sf).where("k <> 50"), "age_years", HEADS, head_probability)
+
+
 def head_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = items(spark, sf).where("k <> 50")
-    return heads_long(scored, ["business_date", "item_id", "age_years", "file_name"], "age_years", HEADS, head_probability)
+    return heads_long(headed(spark, sf), ["business_date", "item_id", "age_years", "file_name"], HEADS)
 
 
 cte("decided", """SELECT s.business_date, s.item_id, CASE WHEN c.unfit OR l.item_id IS NULL THEN 'NA' ELSE l.priority END AS priority,
@@ -140,8 +143,12 @@ cte("decided", """SELECT s.business_date, s.item_id, CASE WHEN c.unfit OR l.item
       WHERE model <> 'check') WHERE newest = 1 AND in_scope) t ON t.item_id = s.item_id AND t.rn = 1""")
 
 
+DECISION = ["priority", "probability", "threshold", "triage_model", "model_version", "quality_check", "shadow_priority",
+            "shadow_probability", "shadow_model"]
+
+
 def decided(spark: SparkSession, sf: str) -> DataFrame:
-    return arbitrate(head_scores(spark, sf), ["business_date", "item_id"], "check")
+    return decide(headed(spark, sf), HEADS).select("business_date", "item_id", *DECISION)
 
 
 # ---- reports: amended ones exist twice, items of low value have none yet
@@ -218,7 +225,11 @@ def is_hot(spark: SparkSession, sf: str) -> bool:
 
 
 def scored_items(spark: SparkSession, sf: str) -> DataFrame:
-    return items(spark, sf).join(decided(spark, sf).drop("business_date"), "item_id", "left")
+    """Items with the decision of their row; NULL where the file was never found and nothing was scored."""
+    all_items = decide(with_heads(items(spark, sf), "age_years", HEADS, head_probability), HEADS)
+    found = F.col("k") != 50
+    return all_items.select(*[c for c in all_items.columns if c not in DECISION],
+                            *[F.when(found, F.col(c)).alias(c) for c in DECISION])
 
 
 def queued(spark: SparkSession, sf: str, hot: bool | None = None) -> DataFrame:
@@ -280,5 +291,7 @@ cte("heads_judged", """SELECT h.*, CASE WHEN h.model = 'check' THEN CASE WHEN h.
 
 def heads_judged(spark: SparkSession, sf: str) -> DataFrame:
     truth = model_truth(F.col("model"), F.col("finding"), F.startswith("file_name", F.lit("QC-")), FINDING_OF, "check")
-    return head_scores(spark, sf).join(reports(spark, sf), "item_id", "left").withColumn("truth", truth)
+    judged = headed(spark, sf).join(reports(spark, sf), "item_id", "left")  # before the heads multiply the rows
+    keep = ["business_date", "item_id", "file_name", "finding"]
+    return heads_long(judged, keep, HEADS).withColumn("truth", truth)
 

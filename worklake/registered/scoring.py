@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from worklake.functions import scalars as S
 from worklake.operators import scoring
 from worklake.operators.latest import top_per_group
-from worklake.operators.outcomes import confusion_counts, model_truth, with_ratios
+from worklake.operators.outcomes import confusion_counts, with_ratios
 from worklake.registered.base import query, table
-from worklake.registered.frames import (FINDING_OF, decided, head_scores, heads_judged, reports, scored_items, sql_hash)
+from worklake.registered.frames import (decided, head_scores, heads_judged, scored_items, sql_hash)
 
 # Weight vectors of two heads over 64 inputs, by rule.
 DIMENSION = 64
@@ -115,8 +115,7 @@ def batch_band_counts(spark, sf):
 
 @query("truth_for_model", "SELECT item_id, model, stage, truth FROM {heads_judged}")
 def truth_for_model(spark, sf):
-    truth = model_truth(F.col("model"), F.col("finding"), F.startswith("file_name", F.lit("QC-")), FINDING_OF, "check")
-    return head_scores(spark, sf).join(reports(spark, sf), "item_id", "left").select("item_id", "model", "stage", truth.alias("truth"))
+    return heads_judged(spark, sf).select("item_id", "model", "stage", "truth")
 
 
 @query("confusion_metrics", """SELECT *, round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 4) AS sensitivity, round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 4) AS specificity,

@@ -10,7 +10,7 @@ from worklake.operators import joins, latest
 from worklake.operators.ordered import numbered
 from worklake.operators.sampling import overlap_pairs
 from worklake.registered.base import cte, query, table
-from worklake.registered.frames import (EVENT_RECORD, birth_date, events, is_hot, items, queued, raw_records,
+from worklake.registered.frames import (EVENT_RECORD, birth_date, decided, events, is_hot, items, queued, raw_records,
                                         reports, scored_items, signed_reports, sql_hash)
 
 
@@ -210,7 +210,10 @@ def semi_found(spark, sf):
 @query("join_three_way_outcome", """SELECT i.item_id, i.priority, i.probability, r.finding, r.report_ts FROM {scored_items} i
   LEFT JOIN {reports} r ON r.item_id = i.item_id""")
 def join_three_way_outcome(spark, sf):
-    return scored_items(spark, sf).join(reports(spark, sf), "item_id", "left").select(
+    """Items, their score and their latest report, which come from three tables."""
+    facts = items(spark, sf).select("item_id")
+    scores = decided(spark, sf).select("item_id", "priority", "probability")
+    return facts.join(scores, "item_id", "left").join(reports(spark, sf), "item_id", "left").select(
         "item_id", "priority", "probability", "finding", "report_ts")
 
 
