@@ -114,6 +114,11 @@ def config_hash(*fields: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
+def round_snapped(value: Column, digits: int) -> Column:
+    """Half-up rounding of what is a short decimal but for binary noise: 105.44999999999999 counts as 105.45."""
+    return F.round(F.round(value, digits + 6), digits)
+
+
 def ratio(part: Column, whole: Column, digits: int | None = 4) -> Column:
     """NULL on an empty denominator."""
     out = F.try_divide(part.cast("double"), F.nullif(whole, F.lit(0)).cast("double"))

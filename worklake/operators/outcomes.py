@@ -54,8 +54,9 @@ def group_waits(outcomes: DataFrame, keys: list[str], groups: dict[str, Column],
     """Median of every arm and 90th percentile per class of items: <class>_<arm>_median_min / _p90_min.
 
     One long frame (day, class, arm, wait) feeds a single exact-quantile job, whatever the number of classes.
+    Waits have one decimal; they are taken as whole tenths, so that half-way medians round up exactly.
     """
-    entries = [F.struct(F.when(cond, F.lit(f"{g}_{a}")).alias("series"), F.col(col).alias("wait"))
+    entries = [F.struct(F.when(cond, F.lit(f"{g}_{a}")).alias("series"), F.round(F.col(col) * 10).alias("wait"))
                for g, cond in groups.items() for a, col in arms.items()]
     long = outcomes.select(*keys, F.inline(F.array(*entries))).where("series is not null")
     by = [*keys, "series"]
@@ -66,8 +67,8 @@ def group_waits(outcomes: DataFrame, keys: list[str], groups: dict[str, Column],
     for g in groups:
         for a in arms:
             is_series = F.col("series") == f"{g}_{a}"
-            pick += [F.round(F.max(F.when(is_series, F.col("median"))), 1).alias(f"{g}_{a}_median_min"),
-                     F.round(F.max(F.when(is_series, F.col("p90"))), 1).alias(f"{g}_{a}_p90_min")]
+            pick += [(F.round(F.max(F.when(is_series, F.col("median")))) / 10).alias(f"{g}_{a}_median_min"),
+                     (F.max(F.when(is_series, F.col("p90"))) / 10).alias(f"{g}_{a}_p90_min")]
     return both.groupBy(*keys).agg(*pick)
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklake.functions.scalars import hash_unit
 from worklake.operators.latest import top_per_group
 
 
-def group_split(df: DataFrame, group: Column, seed: int, val_fraction: float, held_out: Column) -> Column:
+def group_split(group: Column, seed: int, val_fraction: float, held_out: Column) -> Column:
     """train / val / test: held-out rows stay test, the rest is split by group, so no group is on both sides."""
     return (F.when(held_out, "test")
              .when(hash_unit(F.lit(str(seed)), group.cast("string")) < val_fraction, "val").otherwise("train"))
@@ -29,7 +29,6 @@ def stratified_sample(df: DataFrame, split: str, source: str, key: str, per_spli
     most = max(per_split.values()) // sources
     top = top_per_group(df.where(F.col(split).isin(*per_split)).withColumn("_h", hash_order(seed, F.col(key))),
                         [split, source], [F.col("_h"), F.col(key)], most)
-    from pyspark.sql import Window
     w = Window.partitionBy(split, source).orderBy("_h", key)
     # at most `most` rows per group are left, the per-split share is cut from those
     return top.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= share).drop("_rn", "_h")
@@ -52,7 +51,6 @@ def balanced_sample(df: DataFrame, split: str, positive: str, block: str, key: s
     pool = pool.where((F.col("_near") == 1) | (F.col("_n_near") < F.col("_want")))
     # _want is at most n_pos * negatives_per_positive, so the cut before the shuffle is fixed
     top = top_per_group(pool, [split], [F.col("_h"), F.col(key)], n_pos * negatives_per_positive)
-    from pyspark.sql import Window
     w = Window.partitionBy(split).orderBy("_h", key)
     picked = top.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_want"))
     return pos.select(*df.columns).unionByName(picked.select(*df.columns))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from worklake.registered import base
 
-MODULES = ("ingest", "shaping", "queueing", "scoring")
+MODULES = ("ingest", "shaping", "queueing", "scoring", "reporting", "features", "evaluation")
 
 
 def _load() -> None:
