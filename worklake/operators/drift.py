@@ -20,9 +20,10 @@ def psi(df: DataFrame, features: list[str], is_reference: Column, bins: int = 10
     long = df.select(is_reference.alias("is_ref"), *[F.col(f).cast("double").alias(f) for f in features]) \
              .unpivot(["is_ref"], features, "feature", "value")
     names = {f"e{i}": i / bins for i in range(bins + 1)}
-    edges = exact_quantiles(long.where("is_ref"), ["feature"], "value", names, "linear", hot)
+    edges = exact_quantiles(long.where("is_ref"), ["feature"], "value", names, hot)
     edges = edges.select("feature", F.array_sort(F.array_distinct(F.array(*names))).alias("edges"))
-    placed = long.where("value is not null").join(edges, "feature")
+    # one row per feature named by the caller, so its size is fixed; a shuffle by feature would meet hot keys
+    placed = long.where("value is not null").join(F.broadcast(edges), "feature")
     n_edges = F.size("edges")
     # bin i holds [edge i, edge i + 1), the last one also its upper edge
     above = F.size(F.filter("edges", lambda e: e <= F.col("value")))

@@ -18,9 +18,9 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
 
 
-def _running_by_score(counts: DataFrame, descending: bool, aggs: dict) -> DataFrame:
+def _running_by_score(df: DataFrame, counts: DataFrame, descending: bool, aggs: dict) -> DataFrame:
     one = counts.withColumn("_all", F.lit(0))
-    hot = counts.count() > max_group_rows(counts.sparkSession)
+    hot = df.count() > max_group_rows(df.sparkSession)  # there are no more scores than rows
     return running(one, ["_all"], [-F.col("score") if descending else F.col("score")], aggs, hot)
 
 
@@ -28,7 +28,7 @@ def choose_threshold(df: DataFrame, label: str, score: str, target_sensitivity:
     """Highest threshold that keeps the target sensitivity: the positive score at 0-based position
     floor((1 - target) * positives); 0.5 without positives."""
     counts = score_counts(df, label, score).where("pos > 0")
-    cum = _running_by_score(counts, False, {"upto": (SUM, F.col("pos"))})
+    cum = _running_by_score(df, counts, False, {"upto": (SUM, F.col("pos"))})
     total = counts.agg(F.sum("pos")).scalar()
     at = F.floor(F.lit(1 - target_sensitivity) * total)
     hit = cum.where((F.col("upto") > at) & (F.col("upto") - F.col("pos") <= at))
@@ -49,14 +49,14 @@ def classification_metrics(df: DataFrame, label: str, score: str, threshold: Col
 
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Share of positive-negative pairs in the right order, ties counting half."""
-    cum = _running_by_score(score_counts(df, label, score), False, {"neg_upto": (SUM, F.col("neg"))})
+    cum = _running_by_score(df, score_counts(df, label, score), False, {"neg_upto": (SUM, F.col("neg"))})
     pairs = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg")) + F.col("pos") * F.col("neg") / 2)
     return cum.agg(F.try_divide(pairs, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 
 
 def auprc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Average precision: precision at every score weighted by the gain in recall."""
-    cum = _running_by_score(score_counts(df, label, score), True,
+    cum = _running_by_score(df, score_counts(df, label, score), True,
                             {"tp": (SUM, F.col("pos")), "seen": (SUM, F.col("pos") + F.col("neg"))})
     return cum.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos").cast("double"))
                    .alias("auprc"))

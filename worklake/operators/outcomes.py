@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklake.functions.scalars import ratio
-from worklake.operators.quantiles import exact_quantiles
+from worklake.operators.quantiles import INDEX, LINEAR, exact_quantiles
 
 CONFUSION = ["tp", "fn", "fp", "tn"]
 
@@ -60,9 +60,7 @@ def group_waits(outcomes: DataFrame, keys: list[str], groups: dict[str, Column],
                for g, cond in groups.items() for a, col in arms.items()]
     long = outcomes.select(*keys, F.inline(F.array(*entries))).where("series is not null")
     by = [*keys, "series"]
-    median = exact_quantiles(long, by, "wait", {"median": 0.5}, "linear", hot)
-    p90 = exact_quantiles(long, by, "wait", {"p90": 0.9}, "index", hot)
-    both = median.join(p90, by)
+    both = exact_quantiles(long, by, "wait", {"median": (0.5, LINEAR), "p90": (0.9, INDEX)}, hot)
     pick = []
     for g in groups:
         for a in arms:

@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklake.operators.ordered import SUM, running
-from worklake.session import has_hot_group, max_group_rows
+from worklake.session import broadcast_if_small, has_hot_group, max_group_rows
+
+LINEAR, INDEX = "linear", "index"
 
 
-def _positions(n, p: float, method: str):
+def _positions(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
     """(low, high, weight of high), 0-based positions in the sorted group of n values."""
-    if method == "linear":
+    if method == LINEAR:
         h = (n - 1) * F.lit(float(p))
         return F.floor(h), F.ceil(h), h - F.floor(h)
-    # "index": the value at int(p * n), never past the end; no interpolation
+    # INDEX: the value at int(p * n), never past the end; no interpolation
     at = F.least(n - 1, F.floor(F.lit(float(p)) * n))
     return at, at, F.lit(0.0)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    method: str = "linear", hot: bool | None = None) -> DataFrame:
-    """One row per group with a column per entry of probs (name -> probability). NULLs are ignored.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float | tuple[float, str]],
+                    hot: bool | None = None) -> DataFrame:
+    """One row per group with a column per entry of probs: name -> probability, or (probability, method).
 
-    linear interpolates between neighbours; index takes the value at position int(p * n).
+    linear interpolates between neighbours; index takes the value at position int(p * n). NULLs are ignored.
     """
+    wanted = {n: p if isinstance(p, tuple) else (p, LINEAR) for n, p in probs.items()}
     rows = df.where(F.col(value).isNotNull())
     if hot is None:
         hot = has_hot_group(rows, keys) if keys else rows.count() > max_group_rows(df.sparkSession)
-    if method == "linear" and not hot:
-        names = list(probs)
-        q = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(probs[n])) for n in names])).alias("_q"))
+    if not hot and all(m == LINEAR for _, m in wanted.values()):
+        names = list(wanted)
+        q = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(wanted[n][0])) for n in names])).alias("_q"))
         return q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
     # equal values collapse before the shuffle; the running sum of their counts gives positions
@@ -38,21 +44,21 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     by = keys or ["_all"]
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))
-    cum = running(counts, by, [F.col("_v")], {"_upto": (SUM, F.col("_c"))}, hot)
-    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(
-        *[F.col(k).alias(f"_s_{k}") for k in by], "_n")
-    cond = None
-    for k in by:
-        c = F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-        cond = c if cond is None else cond & c
-    placed = cum.join(sizes, cond)
+    placed = running(counts, by, [F.col("_v")], {"_upto": (SUM, F.col("_c"))}, hot)
+    if hot:
+        sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(k).alias(f"_s_{k}") for k in by], "_n")
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by])
+        placed = placed.join(broadcast_if_small(sizes), same)
+    else:
+        placed = placed.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
     first = F.col("_upto") - F.col("_c")
-    holds = lambda pos: (pos >= first) & (pos < F.col("_upto"))
+
+    def at(pos: Column) -> Column:
+        return F.max(F.when((pos >= first) & (pos < F.col("_upto")), F.col("_v")))
+
     aggs = []
-    for name, p in probs.items():
+    for name, (p, method) in wanted.items():
         lo, hi, w = _positions(F.col("_n"), p, method)
-        low = F.max(F.when(holds(lo), F.col("_v")))
-        high = F.max(F.when(holds(hi), F.col("_v")))
         weight = F.max(w)
-        aggs.append(F.when(weight == 0, low).otherwise(low * (1 - weight) + high * weight).alias(name))
-    return placed.groupBy(*by).agg(*aggs).select(*keys, *probs)
+        aggs.append(F.when(weight == 0, at(lo)).otherwise(at(lo) * (1 - weight) + at(hi) * weight).alias(name))
+    return placed.groupBy(*by).agg(*aggs).select(*keys, *wanted)

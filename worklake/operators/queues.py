@@ -66,14 +66,15 @@ def fifo_slots(df: DataFrame, keys: list[str], day: str, arrival: str, item: str
 
 def with_reach(slots: DataFrame, keys: list[str], item: str, hot: bool) -> DataFrame:
     """Adds reach (first slot the item may use) and stretch (position where its independent stretch begins)."""
-    marks = slots.select("*", F.explode(F.array(
-        F.struct(F.col("arrival_us").alias("t"), F.lit(0).alias("is_slot")),
-        F.struct(F.col("start_us").alias("t"), F.lit(1).alias("is_slot")))).alias("_m"))
-    marks = marks.select("*", F.col("_m.t").alias("_t"), F.col("_m.is_slot").alias("_is_slot")).drop("_m")
+    # a mark for the arrival carries the row, the mark for the slot only its time
+    payload = F.struct(*[c for c in slots.columns if c not in (*keys, "pos")])
+    marks = slots.select(*keys, "pos", F.inline(F.array(
+        F.struct(F.col("arrival_us").alias("_t"), F.lit(0).alias("_is_slot"), payload.alias("_row")),
+        F.struct(F.col("start_us").alias("_t"), F.lit(1).alias("_is_slot"), F.when(F.lit(False), payload).alias("_row")))))
     # at equal times the arrival comes first, so only slots that start earlier are counted
     counted = running(marks, keys, [F.col("_t"), F.col("_is_slot"), F.col("pos")],
                       {"reach": (SUM, F.col("_is_slot").cast("bigint"))}, hot)
-    items = counted.where("_is_slot = 0").drop("_t", "_is_slot")
+    items = counted.where("_is_slot = 0").select(*keys, "pos", "_row.*", "reach")
     begins = F.when(F.col("reach") == F.col("pos"), F.col("pos"))
     return running(items, keys, [F.col("pos")], {"stretch": (MAX, begins)}, hot)
 

@@ -1,15 +1,27 @@
-"""Training of a linear head with MLlib, and the parameters it leaves behind."""
+"""Training of linear heads with MLlib, and the parameters they leave behind."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklake.functions.arrays import as_doubles
 
 
+@dataclass(frozen=True)
+class Fitted:
+    c: float
+    mean: tuple[float, ...]
+    std: tuple[float, ...]
+    weights: tuple[float, ...]
+    intercept: float
+
+
 def assemble_inputs(parts: dict[str, Column], wanted: list[str]) -> Column:
     """The model's input array: the wanted groups in their fixed order."""
     if not [p for p in parts if p in wanted]:
@@ -17,34 +29,32 @@ def assemble_inputs(parts: dict[str, Column], wanted: list[str]) -> Column:
     return F.concat(*[as_doubles(parts[p]) for p in parts if p in wanted])
 
 
-def column_moments(df: DataFrame, vector: str, size: int) -> tuple[list[float], list[float]]:
-    """Mean and population standard deviation per position: one aggregate, 2 * size numbers come back."""
-    aggs = []
-    for i in range(size):
-        x = F.col(vector)[i].cast("double")
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-    return [row[f"m{i}"] for i in range(size)], [row[f"s{i}"] or 1.0 for i in range(size)]
-
-
-def standardised(df: DataFrame, vector: str, mean: list[float], std: list[float], out: str) -> DataFrame:
-    """Centred and scaled by the population deviation; a constant position stays centred at 0."""
-    m, s = F.array(*[F.lit(v) for v in mean]), F.array(*[F.lit(v) for v in std])
-    centred = F.zip_with(as_doubles(F.col(vector)), m, lambda x, y: x - y)
-    return df.withColumn(out, array_to_vector(F.zip_with(centred, s, lambda x, y: x / y)))
-
-
-def train_head(df: DataFrame, vector: str, label: str, size: int, c: float, max_iter: int = 3000, balanced: bool = True):
-    """L2 logistic regression on standardised inputs: (mean, std, coefficients, intercept).
+def train_heads(df: DataFrame, vector: str, label: str, strengths: list[float], max_iter: int = 3000,
+                balanced: bool = True) -> list[Fitted]:
+    """One L2 logistic regression per strength C on standardised inputs.
 
-    MLlib minimises the mean loss, so regParam is 1 / (C * total weight); balanced classes weigh n / (2 * n_class).
+    Inputs are scaled by the population deviation (a constant position stays at 0). MLlib minimises the mean
+    loss, so regParam is 1 / (C * n); balanced classes weigh n / (2 * n_class). Moments and class counts are
+    taken in one pass for all strengths.
     """
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos")).first()
-    n, pos = counts["n"], counts["pos"]
-    mean, std = column_moments(df, vector, size)
+    y = F.col(label).cast("double")
+    data = df.select(array_to_vector(as_doubles(F.col(vector))).alias("x"), y.alias("label"))
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"),
+                     Summarizer.metrics("mean", "variance").summary(F.col("x")).alias("s")).first()
+    n, pos = stats["n"], stats["pos"]
+    mean = [float(v) for v in stats["s"]["mean"]]
+    std = [float(v * (n - 1) / n) ** 0.5 or 1.0 for v in stats["s"]["variance"]]
     weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))) if balanced else F.lit(1.0)
-    data = standardised(df.select(vector, F.col(label).cast("double").alias("label")), vector, mean, std, "features") \
-        .withColumn("weight", weight)
-    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / (c * n),
-                               elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(data)
-    return mean, std, list(model.coefficients.toArray()), float(model.intercept)
+    centred = F.zip_with(as_doubles(F.col(vector)), F.array(*[F.lit(v) for v in mean]), lambda a, m: a - m)
+    scaled = F.zip_with(centred, F.array(*[F.lit(v) for v in std]), lambda a, s: a / s)
+    ready = df.select(array_to_vector(scaled).alias("features"), y.alias("label")).withColumn("weight", weight).persist()
+    try:
+        out = []
+        for c in strengths:
+            model = LogisticRegression(weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0,
+                                       standardization=False, maxIter=max_iter, tol=1e-9).fit(ready)
+            out.append(Fitted(c, tuple(mean), tuple(std), tuple(float(v) for v in model.coefficients.toArray()),
+                              float(model.intercept)))
+        return out
+    finally:
+        ready.unpersist()

@@ -235,18 +235,17 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y"))
 
 
-def _trained(spark, sf, c):
-    rows = _vectors(spark, sf)
-    mean, std, weights, intercept = training.train_head(rows, "embedding", "y", 64, c)
-    head = scoring.Head("trained", scoring.CHAMPION, "all", 0.5, 0.9, "fv1", weights=tuple(weights), mean=tuple(mean),
-                        std=tuple(std), intercept=intercept)
+def _scored(rows, fitted):
+    head = scoring.Head("trained", scoring.CHAMPION, "all", 0.5, 0.9, "fv1", weights=fitted.weights, mean=fitted.mean,
+                        std=fitted.std, intercept=fitted.intercept)
     return rows.select("vec_id", "y", scoring.linear_probability(F.col("embedding"), head).alias("s"))
 
 
 @query("train_head", None)
 def train_head(spark, sf):
     """Probabilities of a freshly trained head; iterative, so SQL has no counterpart (tested by its gradient)."""
-    return _trained(spark, sf, 0.05).select("vec_id", "y", F.round("s", 4).alias("probability"))
+    rows = _vectors(spark, sf)
+    return _scored(rows, training.train_heads(rows, "embedding", "y", [0.05])[0]).select("vec_id", "y", F.round("s", 4).alias("probability"))
 
 
 # Regularisation strengths to compare.
@@ -258,9 +257,9 @@ def c_sweep(spark, sf):
     """One training per strength: AUROC, Brier and the threshold that keeps 95 % sensitivity."""
     from worklake.operators.recon import checks
 
-    parts = []
-    for c in C_VALUES:
-        rows = _trained(spark, sf, c)
+    parts, vectors = [], _vectors(spark, sf)
+    for fitted in training.train_heads(vectors, "embedding", "y", list(C_VALUES)):
+        rows, c = _scored(vectors, fitted), fitted.c
         parts.append(E.auroc(rows, "y", "s").withColumn("c", F.lit(c)).withColumn("brier", E.brier(rows, "y", "s").scalar())
                      .withColumn("threshold", E.choose_threshold(rows, "y", "s", 0.95).scalar()))
     return checks(*parts).select("c", F.round("auroc", 4).alias("auroc"), F.round("brier", 4).alias("brier"),

@@ -162,12 +162,8 @@ def build_manifest(spark, sf):
   list_aggregate(e, 'quantile_cont', 0.05) AS p05, list_aggregate(e, 'quantile_cont', 0.95) AS p95,
   list_transform(range(2, len(e)), lambda i: 2 * e[i] - e[i - 1] - e[i + 1]) AS bends FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))""")
 def array_stats(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", A.as_doubles(F.col("embedding")).alias("e"))
-    a = F.col("e")
-    r6 = lambda c, n: F.round(c, 6).alias(n)
-    p05, p95 = A.array_quantile(a, 0.05), A.array_quantile(a, 0.95)
-    return e.select("vec_id", r6(A.array_mean(a), "mean"), r6(A.array_std(a), "std"), r6(p05, "p05"), r6(p95, "p95"),
-                    r6(p95 - p05, "spread"), r6(A.array_roughness(a), "roughness"), F.size(a).alias("size"))
+    stats = A.array_stats(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
+    return stats.select("vec_id", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p05", "p95", "spread", "roughness")], "size")
 
 
 @query("assemble_inputs", """SELECT vec_id, len(embedding) + 2 AS size, round(list_sum(CAST(embedding AS DOUBLE[])) + label + 1, 6) AS total FROM embeddings""")

@@ -81,8 +81,7 @@ def manifest_check(spark, sf):
 def discover_from_path(spark, sf):
     path = scratch_path(spark, "files")
     (events(spark, sf).select("business_date", F.col("event_type").alias("label"), F.col("props").alias("value"))
-     .repartition("business_date").sortWithinPartitions("business_date", "label")
-     .write.partitionBy("business_date", "label").text(path))
+     .hint("rebalance", "business_date").write.partitionBy("business_date", "label").text(path))
     found = readers.discover(spark, path, [".txt"])
     return found.groupBy(F.regexp_replace("label_name", "^label=", "").alias("label_name"), "source_split").agg(
         F.when(F.sum("length") > 0, 1).otherwise(0).alias("has_files"))

@@ -53,6 +53,6 @@ def has_hot_group(df: DataFrame, keys: list[str], limit: int | None = None) -> b
     return not df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty()
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """True when df holds at most `rows` rows; the check behind every explicit broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint when it is seen to hold at most `rows` rows; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
