@@ -7,7 +7,7 @@ An item may use slot number `reach` or later, `reach` being the number of slots
 it arrives. Where `reach` equals the item's own arrival position nobody waits, and the matching
 falls apart into independent stretches there.
 
-Stretches that fit a task are matched by a heap in a grouped Pandas function. A longer stretch is
+Stretches that fit a task are matched by a heap in a grouped Arrow function. A longer stretch is
 first halved by rank as often as needed: the better half takes exactly the slots it would take if
 the other half did not exist (again the arrival-order closed form), the other half keeps the rest.
 """
@@ -17,9 +17,10 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worklake.operators.ordered import MAX, SUM, numbered, running
 from worklake.session import has_hot_group, materialize, max_group_rows
@@ -175,14 +176,14 @@ def _split_by_rank(stretches: DataFrame, keys: list[str], item: str, rank: str,
 def _match_nodes(items: DataFrame, group: list[str]) -> DataFrame:
     """Group columns, item and slot, matching the items of every node to its slots 0, 1, ..."""
     kept = items.select(*group, "item", "reach", "rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*group, "item").schema)
+    schema = T.StructType(kept.select(*group, "item").schema.fields + [T.StructField("slot", T.LongType())])
 
-    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("reach", kind="stable").reset_index(drop=True)
-        slot = _match(pdf["reach"].tolist(), list(range(len(pdf))), pdf["rank"].tolist())
-        return pdf[[*group, "item"]].assign(slot=slot)
+    def serve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("reach")
+        slot = _match(table["reach"].to_pylist(), list(range(table.num_rows)), table["rank"].to_pylist())
+        return table.select([*group, "item"]).append_column("slot", pa.array(slot, pa.int64()))
 
-    return kept.groupBy(*group).applyInPandas(serve, f"{schema}, slot bigint")
+    return kept.groupBy(*group).applyInArrow(serve, schema)
 
 
 def replay(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift,
@@ -197,41 +198,40 @@ def replay(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, sh
     slots = with_reach(fifo_slots(df, keys, day, arrival, item, shift, hot), keys, item, hot)
     for arm, order in ranks.items():
         slots = numbered(slots, keys, [*order, F.col("arrival_us"), F.col(item)], f"_{arm}", hot)
-    arms = [f"_{a}" for a in ranks]
+    arms = list(ranks)
     if not hot:
-        return _served_in_pandas(slots, keys, arms, ranks, limit)
+        return _serve(slots, keys, arms, limit)
 
     slots = materialize(slots, "stretches")
     long = (slots.groupBy(*keys, "stretch").count().where(F.col("count") > limit)
                  .select(*keys, "stretch"))
     short = slots.join(long, [*keys, "stretch"], "left_anti")
-    out = _served_in_pandas(short, keys, arms, ranks, limit)
+    out = _serve(short, keys, arms, limit)
     if long.isEmpty():
         return out
     stretches = slots.join(long, [*keys, "stretch"], "left_semi")
     split = stretches
-    for arm in ranks:
+    for arm in arms:
         starts = _split_by_rank(stretches, keys, item, f"_{arm}", limit).withColumnRenamed("_start", f"{arm}_start_us")
         split = split.join(starts, [*keys, item])
     return out.unionByName(split.select(*out.columns))
 
 
-def _served_in_pandas(slots: DataFrame, keys: list[str], arms: list[str], ranks: dict, limit: int) -> DataFrame:
+def _serve(slots: DataFrame, keys: list[str], arms: list[str], limit: int) -> DataFrame:
     """Whole stretches are bundled, so a task takes many short ones or one long one."""
-    keep = [c for c in slots.columns if c not in ("reach", "stretch", *arms)]
+    keep = [c for c in slots.columns if c not in ("reach", "stretch", *[f"_{a}" for a in arms])]
     bundled = slots.withColumn("_bundle", F.floor(F.col("stretch") / max(1, limit // 4)).cast("bigint"))
-    fields = [f for f in slots.schema if f.name in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-                       + [f"`{a}_start_us` bigint" for a in ranks])
-    names = list(ranks)
+    schema = T.StructType(slots.select(*keep).schema.fields
+                          + [T.StructField(f"{a}_start_us", T.LongType()) for a in arms])
 
-    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def serve(table: pa.Table) -> pa.Table:
         # reach follows pos, and at the start of a stretch every earlier slot is taken: one pass does all
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        reach, slots, starts = pdf["reach"].tolist(), pdf["pos"].tolist(), pdf["start_us"].to_numpy()
-        out = pdf[keep].copy()
-        for name, column in zip(names, arms):
-            out[f"{name}_start_us"] = starts[_match(reach, slots, pdf[column].tolist())]
+        table = table.sort_by("pos")
+        reach, slot = table["reach"].to_pylist(), table["pos"].to_pylist()
+        out = table.select(keep)
+        for arm in arms:
+            taken = _match(reach, slot, table[f"_{arm}"].to_pylist())
+            out = out.append_column(f"{arm}_start_us", table["start_us"].take(pa.array(taken, pa.int64())))
         return out
 
-    return bundled.groupBy(*keys, "_bundle").applyInPandas(serve, schema)
+    return bundled.groupBy(*keys, "_bundle").applyInArrow(serve, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklake.functions.arrays import as_doubles, dot
-from worklake.functions.scalars import band_rank, in_scope, priority_band
+from worklake.functions.scalars import BAND_RANK, in_scope, priority_band
 
 CHAMPION, TRIAL = "champion", "silent_trial"
 
@@ -40,70 +40,75 @@ def linear_probability(vector: Column, head: Head) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def with_heads(df: DataFrame, age: str, heads: list[Head], probability) -> DataFrame:
-    """Adds a struct column _h<i> per head; `probability(head)` is the head's score as a Column.
+def with_probabilities(df: DataFrame, heads: list[Head], probability) -> DataFrame:
+    """Adds a column _p<i> per head; `probability(head)` is the head's score as a Column. Everything that
+    follows is an expression over the item's own row."""
+    return df.select("*", *[probability(h).alias(f"_p{i}") for i, h in enumerate(heads)])
+
+
+def _scope(h: Head, age: str) -> Column:
+    return F.lit(True) if h.checks_quality else in_scope(F.lit(h.population), F.col(age))
 
-    Probabilities are kept to four digits; the cut-offs apply to the unrounded score. The quality head has
-    no band and applies to every item. Everything is an expression over the item's own row.
-    """
-    scored = df.select("*", *[probability(h).alias(f"_p{i}") for i, h in enumerate(heads)])
 
+def heads_long(df: DataFrame, keep: list[str], age: str, heads: list[Head]) -> DataFrame:
+    """One row per item and head. Probabilities are kept to four digits; the cut-offs apply to the unrounded
+    score. The quality head has no band and applies to every item."""
     def row(i: int, h: Head) -> Column:
         p = F.col(f"_p{i}")
+        band = F.lit(None).cast("string") if h.checks_quality else priority_band(p, F.lit(h.threshold), F.lit(h.p1))
         return F.struct(
             F.lit(h.name).alias("model"), F.lit(h.stage).alias("stage"), F.lit(h.version).alias("model_version"),
-            (F.lit(True) if h.checks_quality else in_scope(F.lit(h.population), F.col(age))).alias("in_scope"),
-            F.round(p, 4).alias("probability"), F.lit(h.threshold).alias("threshold"),
-            (p >= h.threshold).alias("positive"),
-            (F.lit(None).cast("string") if h.checks_quality
-             else priority_band(p, F.lit(h.threshold), F.lit(h.p1))).alias("priority"))
+            _scope(h, age).alias("in_scope"), F.round(p, 4).alias("probability"), F.lit(h.threshold).alias("threshold"),
+            (p >= h.threshold).alias("positive"), band.alias("priority"))
 
-    return scored.select(*df.columns, *[row(i, h).alias(f"_h{i}") for i, h in enumerate(heads)])
+    return df.select(*keep, F.inline(F.array(*[row(i, h) for i, h in enumerate(heads)])))
 
 
-def heads_long(df: DataFrame, keep: list[str], heads: list[Head]) -> DataFrame:
-    """One row per item and head."""
-    return df.select(*keep, F.inline(F.array(*[F.col(f"_h{i}") for i in range(len(heads))])))
-
-
-def decide(df: DataFrame, heads: list[Head]) -> DataFrame:
+def decide(df: DataFrame, age: str, heads: list[Head]) -> DataFrame:
     """The live priority of every item, and the one it would have if every trial head were live.
 
     Unfit items get NA; otherwise the most urgent in-scope head decides, none left gives NA. The quality head
     never ranks. In the trial arm a trial head stands in for the champion of its name. The heads of an item sit
-    in its row, so the decision needs neither an explode nor a shuffle.
+    in its row, so the decision needs neither an explode nor a shuffle: the least of (rank, -probability, head)
+    wins, and what else is known of a head is looked up by its number.
     """
-    ranking = {i: h for i, h in enumerate(heads) if not h.checks_quality}
-    live = [i for i, h in ranking.items() if h.stage == CHAMPION]
-    on_trial = {h.name for h in ranking.values() if h.stage == TRIAL}
-    shadow = [i for i, h in ranking.items() if h.stage == TRIAL or h.name not in on_trial]
-
-    def most_urgent(candidates: list[int]) -> Column:
-        parts = []
-        for i in candidates:
-            h = F.col(f"_h{i}")
-            parts.append(F.when(h["in_scope"], F.struct(
-                band_rank(h["priority"]).alias("rank"), (-h["probability"]).alias("p"), h["model"].alias("model"),
-                h["priority"].alias("priority"), h["threshold"].alias("threshold"),
-                h["model_version"].alias("model_version"))))
-        return F.least(*parts) if len(parts) > 1 else parts[0]
-
-    quality = [F.col(f"_h{i}.positive") for i, h in enumerate(heads) if h.checks_quality]
+    ordered = sorted(range(len(heads)), key=lambda i: (heads[i].name, heads[i].stage))  # ties go by name
+    ranking = [i for i in ordered if not heads[i].checks_quality]
+    on_trial = {heads[i].name for i in ranking if heads[i].stage == TRIAL}
+    live = [i for i in ranking if heads[i].stage == CHAMPION]
+    shadow = [i for i in ranking if heads[i].stage == TRIAL or heads[i].name not in on_trial]
+    number = {i: n for n, i in enumerate(ranking, 1)}
+
+    def key(i: int) -> Column:
+        h, p = heads[i], F.col(f"_p{i}")
+        rank = F.when(p >= max(h.p1, h.threshold), 1).when(p >= h.threshold, 2).otherwise(3)
+        return F.when(_scope(h, age), F.struct(rank.alias("rank"), (-F.round(p, 4)).alias("p"), F.lit(number[i]).alias("head")))
+
+    def least(candidates: list[int]) -> Column:
+        keys = [key(i) for i in candidates]
+        return F.least(*keys) if len(keys) > 1 else keys[0]
+
+    quality = [F.col(f"_p{i}") >= h.threshold for i, h in enumerate(heads) if h.checks_quality]
     unfit = quality[0] if quality else F.lit(None).cast("boolean")
-    kept = [c for c in df.columns if not c.startswith("_h")]
-    best = df.select(*kept, most_urgent(live).alias("_live"), most_urgent(shadow).alias("_shadow"), unfit.alias("_unfit"))
+    kept = [c for c in df.columns if c not in {f"_p{i}" for i in range(len(heads))}]
+    best = df.select(*kept, least(live).alias("_live"), least(shadow).alias("_shadow"), unfit.alias("_unfit"))
     fit = ~F.coalesce(F.col("_unfit"), F.lit(False))
+    bands = F.array(*[F.lit(b) for b in BAND_RANK])
+
+    def head_value(arm: str, value) -> Column:
+        return F.when(fit, F.element_at(F.array(*[F.lit(value(heads[i])) for i in ranking]), F.col(f"{arm}.head")))
 
-    def of(arm: str, name: str) -> Column:
-        return F.when(fit, F.col(f"{arm}.{name}"))
+    def band(arm: str) -> Column:
+        return F.coalesce(F.when(fit, F.element_at(bands, F.col(f"{arm}.rank"))), F.lit("NA"))
 
     return best.select(
-        *kept, F.coalesce(of("_live", "priority"), F.lit("NA")).alias("priority"),
-        (-of("_live", "p")).alias("probability"), of("_live", "threshold").alias("threshold"),
-        of("_live", "model").alias("triage_model"), of("_live", "model_version").alias("model_version"),
+        *kept, band("_live").alias("priority"), F.when(fit, -F.col("_live.p")).alias("probability"),
+        head_value("_live", lambda h: h.threshold).alias("threshold"),
+        head_value("_live", lambda h: h.name).alias("triage_model"),
+        head_value("_live", lambda h: h.version).alias("model_version"),
         F.when(F.col("_unfit"), "UNSUITABLE").when(F.col("_unfit").isNotNull(), "OK").alias("quality_check"),
-        F.coalesce(of("_shadow", "priority"), F.lit("NA")).alias("shadow_priority"),
-        (-of("_shadow", "p")).alias("shadow_probability"), of("_shadow", "model").alias("shadow_model"))
+        band("_shadow").alias("shadow_priority"), F.when(fit, -F.col("_shadow.p")).alias("shadow_probability"),
+        head_value("_shadow", lambda h: h.name).alias("shadow_model"))
 
 
 def quality_flags(reference: dict[str, tuple[float, float]]) -> Column:

@@ -15,7 +15,7 @@ from worklake.functions.scalars import age_years, hash_unit, population_of, trut
 from worklake.operators.latest import latest_per_key
 from worklake.operators.outcomes import model_truth, outcome_class
 from worklake.operators.queues import Shift, replay
-from worklake.operators.scoring import CHAMPION, TRIAL, Head, decide, heads_long, with_heads
+from worklake.operators.scoring import CHAMPION, TRIAL, Head, decide, heads_long, with_probabilities
 from worklake.registered.base import cte, table
 from worklake.session import has_hot_group
 
@@ -120,11 +120,11 @@ def head_probability(h: Head):
 
 
 def headed(spark: SparkSession, sf: str) -> DataFrame:
-    return with_heads(items(spark, sf).where("k <> 50"), "age_years", HEADS, head_probability)
+    return with_probabilities(items(spark, sf).where("k <> 50"), HEADS, head_probability)
 
 
 def head_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return heads_long(headed(spark, sf), ["business_date", "item_id", "age_years", "file_name"], HEADS)
+    return heads_long(headed(spark, sf), ["business_date", "item_id", "age_years", "file_name"], "age_years", HEADS)
 
 
 cte("decided", """SELECT s.business_date, s.item_id, CASE WHEN c.unfit OR l.item_id IS NULL THEN 'NA' ELSE l.priority END AS priority,
@@ -148,7 +148,7 @@ DECISION = ["priority", "probability", "threshold", "triage_model", "model_versi
 
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
-    return decide(headed(spark, sf), HEADS).select("business_date", "item_id", *DECISION)
+    return decide(headed(spark, sf), "age_years", HEADS).select("business_date", "item_id", *DECISION)
 
 
 # ---- reports: amended ones exist twice, items of low value have none yet
@@ -226,7 +226,7 @@ def is_hot(spark: SparkSession, sf: str) -> bool:
 
 def scored_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items with the decision of their row; NULL where the file was never found and nothing was scored."""
-    all_items = decide(with_heads(items(spark, sf), "age_years", HEADS, head_probability), HEADS)
+    all_items = decide(with_probabilities(items(spark, sf), HEADS, head_probability), "age_years", HEADS)
     found = F.col("k") != 50
     return all_items.select(*[c for c in all_items.columns if c not in DECISION],
                             *[F.when(found, F.col(c)).alias(c) for c in DECISION])
@@ -293,5 +293,5 @@ def heads_judged(spark: SparkSession, sf: str) -> DataFrame:
     truth = model_truth(F.col("model"), F.col("finding"), F.startswith("file_name", F.lit("QC-")), FINDING_OF, "check")
     judged = headed(spark, sf).join(reports(spark, sf), "item_id", "left")  # before the heads multiply the rows
     keep = ["business_date", "item_id", "file_name", "finding"]
-    return heads_long(judged, keep, HEADS).withColumn("truth", truth)
+    return heads_long(judged, keep, "age_years", HEADS).withColumn("truth", truth)
 
