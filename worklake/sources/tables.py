@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,13 @@ from worklake.operators.latest import latest_per_key
 DAY = "business_date"
 
 
-def write_table(df: DataFrame, path: str, by: str = DAY, mode: str = "overwrite") -> None:
+def _columns(by: str | list[str]) -> list[str]:
+    return [by] if isinstance(by, str) else by
+
+
+def write_table(df: DataFrame, path: str, by: str | list[str] = DAY, mode: str = "overwrite") -> None:
     """Write by date. REBALANCE lets AQE split a date that is too big for a task and join small ones."""
-    df.hint("rebalance", by).write.partitionBy(by).mode(mode).parquet(path)
+    df.hint("rebalance", *_columns(by)).write.partitionBy(*_columns(by)).mode(mode).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, dates: Column | None = None) -> DataFrame:
@@ -43,10 +48,20 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumnRenamed(old, new) if old in df.columns and new not in df.columns else df
 
 
-def replace_partitions(df: DataFrame, path: str, by: str = DAY) -> None:
-    """Replace exactly the dates present in df, the others stay."""
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException:
+        return False
+
+
+def replace_partitions(df: DataFrame, path: str, by: str | list[str] = DAY) -> None:
+    """Replace exactly the dates present in df, the others stay. The first write creates the table."""
+    if not exists(df.sparkSession, path):
+        return write_table(df, path, by)
     target = read_table(df.sparkSession, path).schema
-    (align_schema(df, target).hint("rebalance", by).write.partitionBy(by).mode("overwrite")
+    (align_schema(df, target).hint("rebalance", *_columns(by)).write.partitionBy(*_columns(by)).mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
@@ -66,10 +81,10 @@ def clear_partition(spark: SparkSession, path: str, schema, value: str, by: str
 
 def replace_date(df: DataFrame, path: str, date: str, by: str = DAY) -> None:
     """A re-run of one date: its rows are replaced, or removed when there are none any more."""
-    if df.isEmpty():
-        clear_partition(df.sparkSession, path, read_table(df.sparkSession, path).schema, date, by)
-    else:
+    if not df.isEmpty():
         replace_partitions(df, path, by)
+    elif exists(df.sparkSession, path):
+        clear_partition(df.sparkSession, path, read_table(df.sparkSession, path).schema, date, by)
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
