@@ -33,7 +33,7 @@ class Contract:
 
 def cleaned(value: Column) -> Column:
     """Trimmed; blank is NULL."""
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.when(F.trim(value) != "", F.trim(value))
 
 
 def _quoted(value: Column) -> Column:
@@ -73,16 +73,22 @@ def reasons(contract: Contract, value_of=F.col, parse_error: Column | None = Non
     A record that could not be parsed has its parse error as the only reason; a badly typed value is not
     also held against the allowed list.
     """
-    found = F.filter(F.array(*[F.coalesce(missing_reason(f, value_of(f.name)), type_reason(f, value_of(f.name)),
-                                          values_reason(f, value_of(f.name))) for f in contract.fields]),
-                     lambda r: r.isNotNull())
-    joined = F.nullif(F.array_join(found, "; "), F.lit(""))
-    return joined if parse_error is None else F.coalesce(parse_error, joined)
+    joined = _joined(contract, value_of)
+    text = F.when(joined != "", joined)
+    return text if parse_error is None else F.coalesce(parse_error, text)
+
+
+def _joined(contract: Contract, value_of) -> Column:
+    """concat_ws leaves out NULLs, so no array has to be built and filtered."""
+    return F.concat_ws("; ", *[F.coalesce(missing_reason(f, value_of(f.name)), type_reason(f, value_of(f.name)),
+                                          values_reason(f, value_of(f.name))) for f in contract.fields])
 
 
 def annotated(df: DataFrame, contract: Contract, parse_error: str | None = None) -> DataFrame:
-    """df with a reasons column: the one pass that both sides of the split read."""
-    return df.withColumn("reasons", reasons(contract, parse_error=F.col(parse_error) if parse_error else None))
+    """df with a reasons column: the one pass that both sides of the split read (write it before splitting)."""
+    text = F.when(F.col("_why") != "", F.col("_why"))
+    joined = df.withColumn("_why", _joined(contract, F.col))
+    return joined.select(*df.columns, (F.coalesce(F.col(parse_error), text) if parse_error else text).alias("reasons"))
 
 
 def valid_rows(annotated_df: DataFrame, contract: Contract, keep: list[str] = ()) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklake.operators.quantiles import exact_quantiles
@@ -14,35 +17,33 @@ SMALLEST_SHARE = 1e-4
 def psi(df: DataFrame, features: list[str], is_reference: Column, bins: int = 10, hot: bool | None = None) -> DataFrame:
     """(feature, psi): quantile bins of the reference, values beyond its range go to the outer bins.
 
-    All features share one job: they are unpivoted, the edges (bins + 1 numbers per feature) come back as one
-    short array per feature and are joined to the rows.
+    All features share one job: they are unpivoted, and the edges (bins + 1 numbers per feature) are joined to
+    the rows. Equal edges bound no bin of their own. A bin that is empty on both sides adds nothing to the sum,
+    so only the bins that occur are needed.
     """
     long = df.select(is_reference.alias("is_ref"), *[F.col(f).cast("double").alias(f) for f in features]) \
-             .unpivot(["is_ref"], features, "feature", "value")
-    names = {f"e{i}": i / bins for i in range(bins + 1)}
-    edges = exact_quantiles(long.where("is_ref"), ["feature"], "value", names, hot)
-    edges = edges.select("feature", F.array_sort(F.array_distinct(F.array(*names))).alias("edges"))
+             .unpivot(["is_ref"], features, "feature", "value").where("value is not null")
+    names = [f"e{i}" for i in range(bins + 1)]
+    edges = exact_quantiles(long.where("is_ref"), ["feature"], "value", {n: i / bins for i, n in enumerate(names)}, hot)
+    edges = edges.withColumn("n_edges", F.size(F.array_distinct(F.array(*names))))
     # one row per feature named by the caller, so its size is fixed; a shuffle by feature would meet hot keys
-    placed = long.where("value is not null").join(F.broadcast(edges), "feature")
-    n_edges = F.size("edges")
-    # bin i holds [edge i, edge i + 1), the last one also its upper edge
-    above = F.size(F.filter("edges", lambda e: e <= F.col("value")))
-    bin_no = F.least(F.greatest(above, F.lit(1)), n_edges - 1)
-    counts = placed.groupBy("feature", n_edges.alias("n_edges"), bin_no.alias("bin")).agg(
+    placed = long.join(F.broadcast(edges), "feature")
+    low, high = F.col(names[0]), F.col(names[-1])
+
+    def how_many(cond) -> Column:
+        return reduce(add, [cond(F.col(n)).cast("int") for n in names])
+
+    # the last bin includes its upper edge: edges equal to the highest one do not start a bin
+    reached = how_many(lambda e: (F.col("value") >= e) & (e < high))
+    bin_no = F.greatest(reached, how_many(lambda e: e == low))
+    cells = placed.groupBy("feature", "n_edges", bin_no.alias("bin")).agg(
         F.count_if("is_ref").alias("ref"), F.count_if(~F.col("is_ref")).alias("cur"))
-    totals = counts.groupBy("feature", "n_edges").agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"),
-                                                     F.collect_list(F.struct("bin", "ref", "cur")).alias("cells"))
-    # at most `bins` cells per feature; empty bins count with the smallest share too
-    floor = lambda c, n: F.greatest(c / F.greatest(n, F.lit(1)), F.lit(SMALLEST_SHARE))
-
-    def term(i: Column) -> Column:
-        cell = F.filter("cells", lambda c: c["bin"] == i)
-        e = floor(F.coalesce(F.get(cell, F.lit(0))["ref"], F.lit(0)), F.col("n_ref"))
-        a = floor(F.coalesce(F.get(cell, F.lit(0))["cur"], F.lit(0)), F.col("n_cur"))
-        return (a - e) * F.ln(a / e)
-
-    value = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("n_edges") - 1), term), F.lit(0.0), lambda s, x: s + x)
-    return totals.select("feature", F.when(F.col("n_edges") < 3, F.lit(0.0)).otherwise(value).alias("psi"))
+    of_feature = Window.partitionBy("feature")  # at most `bins` rows each
+    share = lambda c: F.greatest(F.col(c) / F.greatest(F.sum(c).over(of_feature), F.lit(1)), F.lit(SMALLEST_SHARE))
+    shares = cells.select("feature", "n_edges", share("ref").alias("e"), share("cur").alias("a"))
+    total = F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e")))
+    return shares.groupBy("feature", "n_edges").agg(total.alias("total")).select(
+        "feature", F.when(F.col("n_edges") < 3, F.lit(0.0)).otherwise(F.col("total")).alias("psi"))
 
 
 def drift_level(psi_max: Column, rows: Column, warn: float, alert: float, min_rows: int) -> Column:

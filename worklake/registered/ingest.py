@@ -9,7 +9,7 @@ from worklake.operators import recon
 from worklake.operators.latest import copies_per_key
 from worklake.registered.base import cte, query, table
 from worklake.registered.frames import EVENT_RECORD, events, raw_records
-from worklake.session import scratch_path
+from worklake.session import materialize, scratch_path
 from worklake.sources import landing, readers, tables
 
 COLUMNS = EVENT_RECORD.names
@@ -225,12 +225,12 @@ def contract_reasons(spark, sf):
   FROM {reasoned} WHERE reasons IS NOT NULL""")
 def split_valid_quarantine(spark, sf):
     """Both sides of the split in one frame; the quarantined record is read back from its JSON."""
-    found = C.annotated(raw_records(spark, sf), EVENT_RECORD)
+    found = materialize(C.annotated(raw_records(spark, sf), EVENT_RECORD), "annotated")
     valid = C.valid_rows(found, EVENT_RECORD, ["business_date"]).withColumn("side", F.lit("valid")) \
         .withColumn("reasons", F.lit(None).cast("string"))
-    back = F.from_json("record", "map<string,string>")
-    bad = C.quarantined_rows(found, EVENT_RECORD, ["business_date"]).select(
-        "business_date", *[back[n].alias(n) for n in COLUMNS], F.lit("quarantine").alias("side"), "reasons")
+    back = F.from_json("record", ", ".join(f"{n} string" for n in COLUMNS)).alias("r")
+    bad = C.quarantined_rows(found, EVENT_RECORD, ["business_date"]).select("business_date", "reasons", back).select(
+        "business_date", "r.*", F.lit("quarantine").alias("side"), "reasons")
     return valid.unionByName(bad)
 
 

@@ -316,7 +316,7 @@ def cross_view_consistency(spark, sf):
   WHERE left_value <> right_value""")
 def cross_view_differences(spark, sf):
     """The same comparison where the sides do differ: everything received against what passed the contract."""
-    found = C.annotated(raw_records(spark, sf), EVENT_RECORD)
+    found = materialize(C.annotated(raw_records(spark, sf), EVENT_RECORD), "annotated")
     count = lambda df: df.groupBy("business_date").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("user_id").alias("persons"))
     return recon.differences(count(found), count(found.where("reasons is null")), "business_date", ["records", "persons"])
 
