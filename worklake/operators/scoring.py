@@ -95,11 +95,14 @@ def decide(df: DataFrame, age: str, heads: list[Head]) -> DataFrame:
     fit = ~F.coalesce(F.col("_unfit"), F.lit(False))
     bands = F.array(*[F.lit(b) for b in BAND_RANK])
 
+    def decided_by(arm: str) -> Column:
+        return fit & F.col(arm).isNotNull()  # a NULL index must not reach the lookup
+
     def head_value(arm: str, value) -> Column:
-        return F.when(fit, F.element_at(F.array(*[F.lit(value(heads[i])) for i in ranking]), F.col(f"{arm}.head")))
+        return F.when(decided_by(arm), F.element_at(F.array(*[F.lit(value(heads[i])) for i in ranking]), F.col(f"{arm}.head")))
 
     def band(arm: str) -> Column:
-        return F.coalesce(F.when(fit, F.element_at(bands, F.col(f"{arm}.rank"))), F.lit("NA"))
+        return F.when(decided_by(arm), F.element_at(bands, F.col(f"{arm}.rank"))).otherwise("NA")
 
     return best.select(
         *kept, band("_live").alias("priority"), F.when(fit, -F.col("_live.p")).alias("probability"),

@@ -7,7 +7,7 @@ missing reports follow from values in the rows (k of props, value), never from l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklake.functions.contracts import Contract, Field
@@ -23,7 +23,7 @@ from worklake.session import has_hot_group
 SHIFT = Shift(servers=2, start_hour=8, minutes=5)
 HEADS = [
     Head("alpha", CHAMPION, "pediatric", 0.60, 0.90, "alpha-fv1-0a1b2c3", "ALPHA"),
-    Head("gamma", CHAMPION, "all", 0.75, 0.95, "gamma-fv1-1b2c3d4", "GAMMA"),
+    Head("gamma", CHAMPION, "pediatric", 0.75, 0.95, "gamma-fv1-1b2c3d4", "GAMMA"),
     Head("check", CHAMPION, "all", 0.97, 1.01, "check-fv1-2c3d4e5", checks_quality=True),
     Head("alpha", TRIAL, "pediatric", 0.55, 0.85, "alpha-fv2-3d4e5f6", "ALPHA"),
     Head("beta", TRIAL, "adult", 0.50, 0.80, "beta-fv1-4e5f6a7", "BETA"),
@@ -39,12 +39,11 @@ def sql_hash(text: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 8) AS UBIGINT) / CAST(4294967296 AS DOUBLE))"
 
 
-K = F.get_json_object("props", "$.k").cast("int")
 cte("ev", "SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, CAST(ts AS DATE) AS business_date FROM events")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").withColumn("k", K).withColumn("business_date", F.to_date("ts"))
+    return table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("business_date", F.to_date("ts"))
 
 
 # ---- records as a source sends them: strings, with faults on some values of k
@@ -83,7 +82,7 @@ cte("items", f"""SELECT e.business_date, e.event_id AS item_id, e.ts AS arrival,
   FROM {{ev}} e LEFT JOIN customer c ON c.c_custkey = e.user_id""")
 
 
-def birth_date(person) -> F.col:
+def birth_date(person: Column) -> Column:
     return F.date_add(F.lit("1950-01-01").cast("date"), F.floor(hash_unit(F.lit("birth"), person.cast("string")) * 25000).cast("int"))
 
 
