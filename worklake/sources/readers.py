@@ -21,7 +21,7 @@ def _with_place(df: DataFrame, *columns: str) -> DataFrame:
                      F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"))
 
 
-def _line_numbered(placed: DataFrame, first_line: int = 1) -> DataFrame:
+def line_numbered(placed: DataFrame, first_line: int = 1) -> DataFrame:
     """Adds _line. Inside a split rows are consecutive, so only the splits' sizes have to be summed up:
     no row is moved. One row per split takes part in the join."""
     stored = materialize(placed, "lines")
@@ -34,18 +34,22 @@ def _line_numbered(placed: DataFrame, first_line: int = 1) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, _path, _source_file, _line of every line, blank ones included."""
-    return _line_numbered(_with_place(spark.read.option("recursiveFileLookup", True).text(path), "value"))
+    return line_numbered(_with_place(spark.read.option("recursiveFileLookup", True).text(path), "value"))
 
 
 def read_jsonl(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     """One object per line; a line that is no JSON, or JSON but no object, becomes an error row."""
-    lines = read_lines(spark, path).where(F.trim("value") != "")
+    return parse_json_lines(read_lines(spark, path), contract)
+
+
+def parse_json_lines(lines: DataFrame, contract: Contract) -> DataFrame:
     parsed = F.try_parse_json("value")
     error = (F.when(parsed.isNull(), "invalid JSON")
               .when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), "not a JSON object"))
     record = F.from_json("value", "map<string,string>")
-    return lines.select("_path", "_source_file", "_line", error.alias("parse_error"),
-                        *[F.when(error.isNull(), record[n]).alias(n) for n in contract.names])
+    known = lines.where(F.trim("value") != "").select("_path", "_source_file", "_line", error.alias("parse_error"), record.alias("_r"))
+    return known.select("_path", "_source_file", "_line", "parse_error",
+                        *[F.when(F.col("parse_error").isNull(), F.col("_r")[n]).alias(n) for n in contract.names])
 
 
 def _psv_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +87,7 @@ def read_csv(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     schema = ", ".join(f"`{n}` string" for n in contract.names)
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False) \
         .option("recursiveFileLookup", True).csv(path)
-    numbered = _line_numbered(_with_place(rows, *contract.names), first_line=2)
+    numbered = line_numbered(_with_place(rows, *contract.names), first_line=2)
     return numbered.select("_path", "_source_file", "_line", F.lit(None).cast("string").alias("parse_error"), *contract.names)
 
 
