@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 from worklake.session import has_hot_group, materialize
 
 COUNT, SUM, MAX = "count", "sum", "max"
+CHUNK = "_chunk"
+
+
+def chunk(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """df cut into consecutive pieces of every group, stored, with the piece's number in _chunk.
+
+    Several scans in the same order (also over finer keys) can share one cutting: running() uses a _chunk
+    column it finds. The number comes from spark_partition_id, which is stable only once written.
+    """
+    pieces = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(df.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
+                         .withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
 def _local(kind: str, value: Column | None, window) -> Column:
@@ -36,23 +48,20 @@ def running(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str,
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[_local(k, v, w).alias(n) for n, (k, v) in specs.items()])
 
-    chunks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # spark_partition_id is stable only once written
-    chunked = materialize(
-        df.repartitionByRange(chunks, *[F.col(k) for k in keys], *order)
-          .withColumn("_chunk", F.spark_partition_id()), "chunks")
-    totals = chunked.groupBy(*keys, "_chunk").agg(*[
+    given = CHUNK in df.columns
+    chunked = df if given else chunk(df, keys, order)
+    totals = chunked.groupBy(*keys, CHUNK).agg(*[
         (F.count(F.lit(1)) if k == COUNT else F.sum(v) if k == SUM else F.max(v)).alias(f"_t_{n}")
         for n, (k, v) in specs.items()])
     # one row per chunk and group, at most chunks + groups rows
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"),
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"),
         *[(F.max if k == MAX else F.sum)(f"_t_{n}").over(before).alias(f"_o_{n}") for n, (k, _) in specs.items()])
-    same = F.col("_chunk") == F.col("_k_chunk")
+    same = F.col(CHUNK) == F.col("_k_chunk")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     scanned = chunked.select("*", *[_local(k, v, w).alias(f"_l_{n}") for n, (k, v) in specs.items()])
     out = []
     for n, (k, _) in specs.items():

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worklake.operators.ordered import MAX, SUM, numbered, running
+from worklake.operators.ordered import CHUNK, MAX, SUM, chunk, numbered, running
 from worklake.session import has_hot_group, materialize, max_group_rows
 
 MINUTE_US = 60_000_000
@@ -55,6 +55,8 @@ def fifo_slots(df: DataFrame, keys: list[str], day: str, arrival: str, item: str
         hot = has_hot_group(df, keys)
     m, k = shift.service_us, shift.servers
     timed = df.withColumn("arrival_us", F.timestamp_diff("MICROSECOND", shift_start(day, shift), F.col(arrival)))
+    if hot:
+        timed = chunk(timed, keys, [F.col("arrival_us"), F.col(item)])  # one cutting for both scans
     placed = numbered(timed, keys, [F.col("arrival_us"), F.col(item)], "_n", hot)
     placed = (placed.withColumn("pos", F.col("_n") - 1)
                     .withColumn("_server", F.col("pos") % k)
@@ -62,7 +64,7 @@ def fifo_slots(df: DataFrame, keys: list[str], day: str, arrival: str, item: str
     slack = F.greatest(F.col("arrival_us"), F.lit(0)) - F.col("_turn") * m
     scanned = running(placed, [*keys, "_server"], [F.col("pos")], {"_lag": (MAX, slack)}, hot)
     return (scanned.withColumn("start_us", F.col("_turn") * m + F.col("_lag"))
-                   .drop("_n", "_turn", "_lag").withColumnRenamed("_server", "server"))
+                   .drop("_n", "_turn", "_lag", CHUNK).withColumnRenamed("_server", "server"))
 
 
 def with_reach(slots: DataFrame, keys: list[str], item: str, hot: bool) -> DataFrame:
@@ -73,11 +75,13 @@ def with_reach(slots: DataFrame, keys: list[str], item: str, hot: bool) -> DataF
         F.struct(F.col("arrival_us").alias("_t"), F.lit(0).alias("_is_slot"), payload.alias("_row")),
         F.struct(F.col("start_us").alias("_t"), F.lit(1).alias("_is_slot"), F.when(F.lit(False), payload).alias("_row")))))
     # at equal times the arrival comes first, so only slots that start earlier are counted
-    counted = running(marks, keys, [F.col("_t"), F.col("_is_slot"), F.col("pos")],
-                      {"reach": (SUM, F.col("_is_slot").cast("bigint"))}, hot)
-    items = counted.where("_is_slot = 0").select(*keys, "pos", "_row.*", "reach")
+    order = [F.col("_t"), F.col("_is_slot"), F.col("pos")]
+    if hot:
+        marks = chunk(marks, keys, order)  # arrivals lie in it in the order of pos, so the second scan uses it too
+    counted = running(marks, keys, order, {"reach": (SUM, F.col("_is_slot").cast("bigint"))}, hot)
+    items = counted.where("_is_slot = 0").select(*keys, "pos", "_row.*", "reach", *([CHUNK] if hot else []))
     begins = F.when(F.col("reach") == F.col("pos"), F.col("pos"))
-    return running(items, keys, [F.col("pos")], {"stretch": (MAX, begins)}, hot)
+    return running(items, keys, [F.col("pos")], {"stretch": (MAX, begins)}, hot).drop(CHUNK)
 
 
 def busy_periods(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift,
@@ -127,6 +131,7 @@ def _halve(items: DataFrame, slots: DataFrame, node: list[str], limit: int) -> t
     done_items, todo_items = items.where(~big), items.where(big)
     done_slots, todo_slots = slots.where(~big), slots.where(big)
     better = todo_items.where(F.col("rank") < mid).select(*group, "hi", "item", "reach")
+    better = chunk(better, group, [F.col("reach"), F.col("item")])
     better = numbered(better, group, [F.col("reach"), F.col("item")], "_j", True)
     better = running(better, group, [F.col("_j")], {"_late": (MAX, F.col("reach") - F.col("_j") + 1)}, True)
     taken = better.select(*group, "hi", (F.col("_j") - 1 + F.col("_late")).alias("at"), F.lit(1).alias("kind"))
@@ -190,11 +195,24 @@ def replay(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, sh
            ranks: dict[str, list[Column]], hot: bool | None = None) -> DataFrame:
     """df plus pos, server, arrival_us, start_us (arrival order) and <arm>_start_us for every arm in ranks.
 
-    ranks: arm -> ordering columns; ties are broken by arrival and item.
+    ranks: arm -> ordering columns; ties are broken by arrival and item. Items are unique within their group.
     """
-    limit = max_group_rows(df.sparkSession)
     if hot is None:
         hot = has_hot_group(df, keys)
+    if not hot:
+        return _replay(df, keys, day, arrival, item, shift, ranks, False)
+    # the scans of large groups rewrite their rows, so they get the narrow ones and the rest is joined back
+    columns = {f"_{arm}_{i}": c for arm, order in ranks.items() for i, c in enumerate(order)}
+    narrow = df.select(*dict.fromkeys([*keys, day, arrival, item]), *[c.alias(n) for n, c in columns.items()])
+    named = {arm: [F.col(f"_{arm}_{i}") for i in range(len(order))] for arm, order in ranks.items()}
+    out = _replay(narrow, keys, day, arrival, item, shift, named, True)
+    added = ["pos", "server", "arrival_us", "start_us", *[f"{a}_start_us" for a in ranks]]
+    return df.join(out.select(*keys, item, *added), [*keys, item])
+
+
+def _replay(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift,
+            ranks: dict[str, list[Column]], hot: bool) -> DataFrame:
+    limit = max_group_rows(df.sparkSession)
     slots = with_reach(fifo_slots(df, keys, day, arrival, item, shift, hot), keys, item, hot)
     for arm, order in ranks.items():
         slots = numbered(slots, keys, [*order, F.col("arrival_us"), F.col(item)], f"_{arm}", hot)

@@ -25,7 +25,7 @@ def export_psv(df: DataFrame, path: str, date: str, key: str, columns: list[str]
         F.struct(F.lit(0).alias("_kind"), F.lit("|".join(columns)).alias("value")),
         F.struct(F.lit(2).alias("_kind"), F.concat(F.lit("T|"), F.col("n").cast("string")).alias("value")))))
     (rows.unionByName(frame).repartition(F.col(date), F.col("_part"))
-         .sortWithinPartitions(date, "_part", "_kind", "value").drop("_kind")
+         .sortWithinPartitions(date, "_part", "_kind").drop("_kind")
          .write.partitionBy(date, "_part").mode("overwrite").text(path))
 
 

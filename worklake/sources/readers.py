@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklake.functions.contracts import Contract
-from worklake.session import materialize
+from worklake.session import broadcast_if_small, materialize
 
 TRAILER = "T|"
 
@@ -28,6 +28,7 @@ def line_numbered(placed: DataFrame, first_line: int = 1) -> DataFrame:
     splits = stored.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_path", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = broadcast_if_small(offsets, 1_000_000)  # a split is 128 MB, so this covers 100 TB without moving lines
     line = F.col("_offset") + F.col("_seq") - F.col("_first") + first_line
     return stored.join(offsets, ["_path", "_block"]).withColumn("_line", line).drop("_block", "_seq", "_first", "_offset")
 
