@@ -48,8 +48,8 @@ def flag_latest(df: DataFrame, keys: list[str], newest: list[str], id_columns: l
     return df.join(best, cond, "left").select(*df.columns, same.cast("int").alias(name))
 
 
-def flag_latest_date(df: DataFrame, date: str, name: str = "is_latest") -> DataFrame:
+def flag_latest_date(df: DataFrame, date: str, name: str = "is_latest", dates: DataFrame | None = None) -> DataFrame:
     """1 on the newest date. The maximum is a scalar subquery: an unpartitioned window would move every row
-    to one task."""
-    newest = df.select(F.max(date)).scalar()
+    to one task. It is taken from `dates` where those are cheaper to read than df."""
+    newest = (df if dates is None else dates).select(F.max(date)).scalar()
     return df.withColumn(name, F.when(F.col(date) == newest, 1).otherwise(0))

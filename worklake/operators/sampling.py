@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worklake.functions.scalars import hash_unit
 from worklake.operators.latest import top_per_group
+from worklake.session import materialize
 
 
 def group_split(group: Column, seed: int, val_fraction: float, held_out: Column) -> Column:
@@ -37,22 +38,27 @@ def stratified_sample(df: DataFrame, split: str, source: str, key: str, per_spli
 def balanced_sample(df: DataFrame, split: str, positive: str, block: str, key: str, n_pos: int, negatives_per_positive: int,
                     seed: int) -> DataFrame:
     """n_pos positives per split and a multiple of negatives, preferably from storage blocks that the positives
-    use (fewer blocks to read); all blocks when those hold too few."""
+    use (fewer blocks to read); all blocks when those hold too few.
+
+    Two passes over the rows, each cut to its candidates before anything is shuffled; the rest works on at most
+    a few times n_pos rows per split.
+    """
+    most = n_pos * negatives_per_positive
     ordered = df.withColumn("_h", hash_order(seed, F.col(key)))
-    pos = top_per_group(ordered.where(F.col(positive) == 1), [split], [F.col("_h"), F.col(key)], n_pos)
+    in_order = [F.col("_h"), F.col(key)]
+    pos = materialize(top_per_group(ordered.where(F.col(positive) == 1), [split], in_order, n_pos), "positives")
     want = pos.groupBy(split).agg((F.count(F.lit(1)) * negatives_per_positive).alias("_want"))
-    neg = ordered.where(F.col(positive) == 0)
-    blocks = pos.select(split, F.col(block).alias("_b")).distinct()
-    blocks = blocks.select(F.col(split).alias("_s"), "_b", F.lit(1).alias("_near"))
-    marked = neg.join(blocks, (neg[split] == blocks["_s"]) & (neg[block] == blocks["_b"]), "left") \
-                .withColumn("_near", F.coalesce("_near", F.lit(0))).drop("_s", "_b")
-    enough = marked.groupBy(split).agg(F.sum("_near").alias("_n_near"))
-    pool = marked.join(enough.join(want, split), split)
-    pool = pool.where((F.col("_near") == 1) | (F.col("_n_near") < F.col("_want")))
-    # _want is at most n_pos * negatives_per_positive, so the cut before the shuffle is fixed
-    top = top_per_group(pool, [split], [F.col("_h"), F.col(key)], n_pos * negatives_per_positive)
-    w = Window.partitionBy(split).orderBy("_h", key)
-    picked = top.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_want"))
+    blocks = pos.select(F.col(split).alias("_s"), F.col(block).alias("_b"), F.lit(1).alias("_near")).distinct()
+    # at most n_pos blocks per split
+    marked = ordered.where(F.col(positive) == 0).join(
+        F.broadcast(blocks), (F.col(split) == F.col("_s")) & (F.col(block) == F.col("_b")), "left") \
+        .withColumn("_near", F.coalesce("_near", F.lit(0))).drop("_s", "_b")
+    # the best of both kinds; a split that fills `most` near ones has enough of them
+    candidates = materialize(top_per_group(marked, [split, "_near"], in_order, most), "negatives")
+    known = candidates.groupBy(split).agg(F.sum("_near").alias("_n_near")).join(want, split)
+    pool = candidates.join(known, split).where((F.col("_near") == 1) | (F.col("_n_near") < F.col("_want")))
+    w = Window.partitionBy(split).orderBy(*in_order)
+    picked = pool.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_want"))
     return pos.select(*df.columns).unionByName(picked.select(*df.columns))
 
 

@@ -318,13 +318,12 @@ def create_views(lake: Lake, date: Date) -> list[str]:
     """Register the views over the tables as of the run date; returns their names."""
     done, facts = lake.read("gold.fact_outcome"), lake.read("gold.fact_item")
     persons = lake.read("gold.dim_person", on(date)).drop(DAY)
-    newest = facts.select(F.max(DAY)).scalar()
     models, checks = lake.read("gold.daily_model_summary"), lake.read("ref.recon_results")
     quarantine = lake.read("bronze.quarantine") if lake.has("bronze.quarantine") else None
     found = {
         "v_triage_outcome": V.v_triage_outcome(done, facts.select(DAY, "item_id", "person_key", "urgency", "has_request"), persons, "item_id",
                                                "person_key", ["urgency", "has_request"], ["sex", "birth_year"]),
-        "v_daily_kpi": V.v_daily_kpi(lake.read("gold.daily_summary"), "main", "second", newest),
+        "v_daily_kpi": V.v_daily_kpi(lake.read("gold.daily_summary"), "main", "second"),
         "v_band_daily": V.v_band_daily(done, facts), "v_unit_daily": V.v_unit_daily(done, facts),
         "v_scoring_run": V.v_scoring_run(lake.read("ref.scoring_run")), "v_model_daily": V.v_model_daily(models),
         "v_silent_trial": V.v_silent_trial(models), "v_data_quality": V.v_data_quality(checks),

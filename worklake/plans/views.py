@@ -28,13 +28,11 @@ def v_triage_outcome(outcomes: DataFrame, facts: DataFrame, persons: DataFrame,
         "shadow_model", F.coalesce("priority", F.lit("UNSCORED")).alias("priority"), "model_version", "truth_known",
         "finding", "outcome", "fifo_wait_min", "triage_wait_min", "shadow_wait_min", "wait_saved_min",
         _is("truth", 1).alias("is_positive"), _is("truth_second", 1).alias("is_second"), _is("priority", "P1").alias("is_p1"))
-    newest = facts.select(F.max(DAY)).scalar()
-    return shaped.withColumn("is_latest", F.when(F.col(DAY) == newest, 1).otherwise(0))
+    return flag_latest_date(shaped, DAY, dates=facts)
 
 
-def v_daily_kpi(summary: DataFrame, positive: str, second: str, newest: Column) -> DataFrame:
-    """The daily summary with what follows from it: minutes saved, relative reduction, cost for normal items.
-    `newest` is the latest date, a scalar."""
+def v_daily_kpi(summary: DataFrame, positive: str, second: str, dates: DataFrame | None = None) -> DataFrame:
+    """The daily summary with what follows from it: minutes saved, relative reduction, cost for normal items."""
     def c(name: str) -> Column:
         return F.col(name)
 
@@ -44,12 +42,7 @@ def v_daily_kpi(summary: DataFrame, positive: str, second: str, newest: Column)
         F.when(fifo > 0, 1 - triage / fifo).alias(f"{positive}_wait_reduction"),
         (c("normal_triage_median_min") - c("normal_fifo_median_min")).alias("normal_median_minutes_added"),
         (c(f"{second}_triage_median_min") - c(f"{second}_shadow_median_min")).alias(f"{second}_minutes_go_live_saves"))
-    return derived.withColumn("is_latest", F.when(F.col(DAY) == newest, 1).otherwise(0))
-
-
-def _grouped_latest(grouped: DataFrame, outcomes: DataFrame) -> DataFrame:
-    newest = outcomes.select(F.max(DAY)).scalar()
-    return grouped.withColumn("is_latest", F.when(F.col(DAY) == newest, 1).otherwise(0))
+    return flag_latest_date(derived, DAY, dates=dates)
 
 
 def v_band_daily(outcomes: DataFrame, dates: DataFrame) -> DataFrame:
@@ -59,7 +52,7 @@ def v_band_daily(outcomes: DataFrame, dates: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("films"), reported.alias("reported"), positives.alias("positives"),
         ratio(positives, reported, None).alias("positive_rate"), F.avg("probability").alias("avg_probability"),
         F.avg("triage_wait_min").alias("avg_triage_wait_min"), F.avg("fifo_wait_min").alias("avg_fifo_wait_min"))
-    return _grouped_latest(grouped, dates)
+    return flag_latest_date(grouped, DAY, dates=dates)
 
 
 def v_unit_daily(outcomes: DataFrame, dates: DataFrame) -> DataFrame:
@@ -70,7 +63,7 @@ def v_unit_daily(outcomes: DataFrame, dates: DataFrame) -> DataFrame:
         F.avg("triage_wait_min").alias("avg_triage_wait_min"),
         F.avg(F.when(positive, F.col("fifo_wait_min"))).alias("positive_avg_fifo_wait_min"),
         F.avg(F.when(positive, F.col("triage_wait_min"))).alias("positive_avg_triage_wait_min"))
-    return _grouped_latest(grouped, dates)
+    return flag_latest_date(grouped, DAY, dates=dates)
 
 
 def v_model_event(events: DataFrame, default_model: str, tie: str) -> DataFrame:
@@ -89,8 +82,8 @@ def v_training_set(counts: DataFrame, default_model: str) -> DataFrame:
         .withColumn("prevalence", ratio(F.col("positives"), F.col("films"), None))
 
 
-def v_model_daily(model_summary: DataFrame) -> DataFrame:
-    return flag_latest_date(model_summary, DAY)
+def v_model_daily(model_summary: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    return flag_latest_date(model_summary, DAY, dates=dates)
 
 
 def v_silent_trial(model_summary: DataFrame) -> DataFrame:
@@ -104,11 +97,11 @@ def v_silent_trial(model_summary: DataFrame) -> DataFrame:
               .withColumn("specificity", ratio(F.col("tn"), neg, None))
 
 
-def v_data_quality(checks: DataFrame) -> DataFrame:
+def v_data_quality(checks: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     shaped = checks.select("*", (F.col("actual") - F.col("expected")).alias("difference"),
                            _is("status", "MISMATCH").alias("is_mismatch"), _is("status", "EXPLAINED").alias("is_explained"),
                            _is("status", "MATCHED").alias("is_matched"))
-    return flag_latest_date(shaped, DAY)
+    return flag_latest_date(shaped, DAY, dates=dates)
 
 
 def v_stage_status(audit: DataFrame, tie: str) -> DataFrame:

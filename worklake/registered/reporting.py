@@ -144,8 +144,7 @@ cte("v_kpi", """SELECT *, alpha_fifo_median_min - alpha_triage_median_min AS alp
 
 
 def view_kpi(spark, sf):
-    newest = events(spark, sf).select(F.max("business_date")).scalar()
-    return V.v_daily_kpi(daily(spark, sf), "alpha", "beta", newest)
+    return V.v_daily_kpi(daily(spark, sf), "alpha", "beta", events(spark, sf))
 
 
 query("v_daily_kpi", "SELECT * FROM {v_kpi}")(view_kpi)
@@ -203,9 +202,10 @@ cte("runs", """SELECT business_date, 'score-' || unit AS run_id, max(arrival) AS
 
 
 def runs(spark, sf):
-    return scored_items(spark, sf).groupBy("business_date", F.concat(F.lit("score-"), F.col("unit")).alias("run_id")).agg(
+    per_run = scored_items(spark, sf).groupBy("business_date", F.concat(F.lit("score-"), F.col("unit")).alias("run_id")).agg(
         F.max("arrival").alias("ended_at"), F.count(F.lit(1)).alias("studies"), F.count("priority").alias("scored"),
         F.count_if(F.col("priority") == "P1").alias("p1"))
+    return materialize(per_run, "runs")  # a log table: written by the runs, read by the view
 
 
 cte("v_runs", """SELECT *, CASE WHEN row_number() OVER (PARTITION BY business_date ORDER BY ended_at DESC, run_id DESC) = 1 THEN 1 ELSE 0 END
@@ -247,7 +247,7 @@ cte("v_models", "SELECT *, CASE WHEN business_date = max(business_date) OVER ()
 
 
 def view_models(spark, sf):
-    return V.v_model_daily(model_daily(spark, sf))
+    return V.v_model_daily(model_daily(spark, sf), events(spark, sf))
 
 
 query("v_model_daily", "SELECT * FROM {v_models}")(view_models)
@@ -270,7 +270,7 @@ cte("v_quality", """SELECT *, actual - expected AS difference, CASE WHEN status
 
 @query("v_data_quality", "SELECT * FROM {v_quality}")
 def v_data_quality(spark, sf):
-    return V.v_data_quality(bronze_checks(spark, sf))
+    return V.v_data_quality(bronze_checks(spark, sf), events(spark, sf))
 
 
 @query("v_stage_status", """SELECT business_date, stage, entity, ended_at, audit_id, rows_in FROM (SELECT *, row_number() OVER (
@@ -396,7 +396,7 @@ def bi_pct_measure(spark, sf):
 @query("bi_status_filter", """SELECT business_date, stage, entity, check_name, status, sum(expected) AS expected, sum(actual) AS actual
   FROM {v_quality} WHERE status <> 'MATCHED' GROUP BY ALL""")
 def bi_status_filter(spark, sf):
-    return D.visual(V.v_data_quality(bronze_checks(spark, sf)), ["business_date", "stage", "entity", "check_name", "status"],
+    return D.visual(V.v_data_quality(bronze_checks(spark, sf), events(spark, sf)), ["business_date", "stage", "entity", "check_name", "status"],
                     {"expected": F.sum("expected"), "actual": F.sum("actual")}, ["status <> 'MATCHED'"])
 
 

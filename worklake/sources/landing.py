@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklake.operators.recon import recon_status
+from worklake.session import broadcast_if_small
+
 # Records per extract file, so that no file (and no task) takes more than its share of a large date.
 RECORDS_PER_FILE = 500_000
 
@@ -12,7 +15,7 @@ RECORDS_PER_FILE = 500_000
 def _spread(df: DataFrame, date: str, key: str, per_file: int) -> DataFrame:
     """_part: number of the file of its date a record goes to. Dates with more records get more files."""
     sizes = df.groupBy(date).agg(F.ceil(F.count(F.lit(1)) / per_file).alias("_files")).withColumnRenamed(date, "_date")
-    return df.join(sizes, F.col(date) == F.col("_date")).withColumn(
+    return df.join(broadcast_if_small(sizes), F.col(date) == F.col("_date")).withColumn(
         "_part", F.pmod(F.xxhash64(key), F.col("_files")).cast("int")).drop("_date", "_files")
 
 
@@ -56,8 +59,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_check(manifest: DataFrame, received: DataFrame, explained: Column | bool = False) -> DataFrame:
     """Per date: the manifest's count against the records read; a date without a file has 0 received."""
-    from worklake.operators.recon import recon_status
-
     both = manifest.join(received, "business_date", "left")
     actual = F.coalesce("received", F.lit(0))
     return both.select("business_date", F.col("records").alias("expected"), actual.alias("actual"),

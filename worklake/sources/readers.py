@@ -59,13 +59,18 @@ def _psv_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return lines.where((F.col("_line") > 1) & (F.col("value") != "")), headers
 
 
+def _with_header(data: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row per file joins; counted first, so that a huge file does not send its lines to one task."""
+    return data.join(broadcast_if_small(headers), F.col("_path") == F.col("_hp"))
+
+
 def read_psv(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     """Header line, fields separated by '|', a trailer T|n. Rows with another number of fields than the header
     become error rows."""
     lines, headers = _psv_lines(spark, path)
     data = lines.where(~F.startswith("value", F.lit(TRAILER)))
     parts = F.split("value", r"\|")
-    rows = data.join(headers, F.col("_path") == F.col("_hp")).withColumn("_parts", parts)
+    rows = _with_header(data, headers).withColumn("_parts", parts)
     fits = F.size("_parts") == F.size("_header")
     error = F.when(~fits, F.concat(F.size("_parts").cast("string"), F.lit(" fields, header has "),
                                    F.size("_header").cast("string")))
