@@ -112,3 +112,10 @@ def test_export_splits_a_large_date_into_whole_files(spark):
     trailers = readers.read_trailers(spark, path).collect()
     assert len(trailers) == 4 and all(t["trailer"] == t["data_lines"] for t in trailers)
     assert landing.read_manifest(spark, manifest).first()["records"] == 1000
+
+
+def test_table_without_schema_note_is_read_as_it_is(spark):
+    path = scratch_path(spark, "log")
+    assert not tables.exists(spark, path)
+    tables.append_log(frame(spark, ("2024-01-01", 1, "a")), path)
+    assert tables.exists(spark, path) and tables.read_table(spark, path).count() == 1

@@ -6,11 +6,13 @@ behind these names.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from worklake.operators.latest import latest_per_key
 
@@ -21,15 +23,34 @@ def _columns(by: str | list[str]) -> list[str]:
     return [by] if isinstance(by, str) else by
 
 
-def write_table(df: DataFrame, path: str, by: str | list[str] = DAY, mode: str = "overwrite") -> None:
+def _schema_path(path: str) -> str:
+    return f"{path.rstrip('/')}.schema"
+
+
+def table_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The schema noted beside the table; None when there is no table. Merging the footers of all files
+    instead would read every one of them."""
+    try:
+        return StructType.fromJson(json.loads(spark.read.text(_schema_path(path), wholetext=True).first()[0]))
+    except AnalysisException:
+        return None
+
+
+def _note_schema(spark: SparkSession, path: str, schema: StructType) -> None:
+    spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(_schema_path(path))
+
+
+def write_table(df: DataFrame, path: str, by: str | list[str] = DAY) -> None:
     """Write by date. REBALANCE lets AQE split a date that is too big for a task and join small ones."""
-    df.hint("rebalance", *_columns(by)).write.partitionBy(*_columns(by)).mode(mode).parquet(path)
+    df.hint("rebalance", *_columns(by)).write.partitionBy(*_columns(by)).mode("overwrite").parquet(path)
+    _note_schema(df.sparkSession, path, df.schema)
 
 
 def read_table(spark: SparkSession, path: str, dates: Column | None = None) -> DataFrame:
     """The table, or the dates that match; a condition on the partition column prunes directories. Files
     written before a column was added read it as NULL."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+    schema = table_schema(spark, path)
+    df = spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
     return df if dates is None else df.where(dates)
 
 
@@ -49,19 +70,25 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    if table_schema(spark, path) is not None:
+        return True
     try:
-        spark.read.parquet(path)
+        spark.read.parquet(path)  # a log, written by append only
         return True
     except AnalysisException:
         return False
 
 
 def replace_partitions(df: DataFrame, path: str, by: str | list[str] = DAY) -> None:
-    """Replace exactly the dates present in df, the others stay. The first write creates the table."""
-    if not exists(df.sparkSession, path):
+    """Replace exactly the dates present in df, the others stay; columns new in df are added to the table. The
+    first write creates it."""
+    target = table_schema(df.sparkSession, path)
+    if target is None:
         return write_table(df, path, by)
-    target = read_table(df.sparkSession, path).schema
-    (align_schema(df, target).hint("rebalance", *_columns(by)).write.partitionBy(*_columns(by)).mode("overwrite")
+    aligned = align_schema(df, target)
+    if len(aligned.columns) > len(target):
+        _note_schema(df.sparkSession, path, aligned.schema)
+    (aligned.hint("rebalance", *_columns(by)).write.partitionBy(*_columns(by)).mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
