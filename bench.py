@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all cores), BENCH_RUNS (default 3, the median counts;
-fewer runs once BENCH_BUDGET_SEC, default 300, is used up).
+fewer runs once BENCH_BUDGET_SEC, default 240, is used up).
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ HEADLINE = [
 def main() -> int:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    runs, budget = int(os.environ.get("BENCH_RUNS", "3")), float(os.environ.get("BENCH_BUDGET_SEC", "300"))
+    runs, budget = int(os.environ.get("BENCH_RUNS", "3")), float(os.environ.get("BENCH_BUDGET_SEC", "240"))
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("worklake-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklake.operators.quantiles import exact_quantiles
+from worklake.session import max_group_rows
 
 # Fixed value: the least share a bin counts for.
 SMALLEST_SHARE = 1e-4
@@ -21,6 +22,8 @@ def psi(df: DataFrame, features: list[str], is_reference: Column, bins: int = 10
     the rows. Equal edges bound no bin of their own. A bin that is empty on both sides adds nothing to the sum,
     so only the bins that occur are needed.
     """
+    if hot is None:
+        hot = df.count() > max_group_rows(df.sparkSession)  # a feature has no more values than df has rows
     long = df.select(is_reference.alias("is_ref"), *[F.col(f).cast("double").alias(f) for f in features]) \
              .unpivot(["is_ref"], features, "feature", "value").where("value is not null")
     names = [f"e{i}" for i in range(bins + 1)]

@@ -34,13 +34,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     rows = df.where(F.col(value).isNotNull())
     if hot is None:
         hot = has_hot_group(rows, keys) if keys else rows.count() > max_group_rows(df.sparkSession)
+    # equal values collapse before the shuffle, so a hot group brings its distinct values, not its rows
+    counts = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     if not hot and all(m == LINEAR for _, m in wanted.values()):
         names = list(wanted)
-        q = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(wanted[n][0])) for n in names])).alias("_q"))
+        at = F.array(*[F.lit(float(wanted[n][0])) for n in names])
+        q = counts.groupBy(*keys).agg(F.percentile("_v", at, F.col("_c")).alias("_q"))
         return q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    # equal values collapse before the shuffle; the running sum of their counts gives positions
-    counts = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # the running sum of the counts gives positions
     by = keys or ["_all"]
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))

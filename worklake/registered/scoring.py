@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from worklake.functions import scalars as S
 from worklake.operators import scoring
 from worklake.operators.latest import top_per_group
 from worklake.operators.outcomes import confusion_counts, with_ratios
+from worklake.operators.quantiles import exact_quantiles
 from worklake.registered.base import query, table
-from worklake.registered.frames import (decided, head_scores, heads_judged, scored_items, sql_hash)
+from worklake.registered.frames import decided, events, head_scores, heads_judged, scored_items, sql_hash
+from worklake.session import max_group_rows
 
 # Weight vectors of two heads over 64 inputs, by rule.
 DIMENSION = 64
@@ -66,11 +69,9 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
   round(quantile_cont({f}, 0.99), 6) AS p99, round(avg({f}), 6) AS mean, round(stddev_samp({f}), 6) AS std FROM lineitem
   WHERE l_shipdate < TIMESTAMP '1998-01-01'""" for f in FEATURES))
 def quality_reference(spark, sf):
-    from worklake.operators.quantiles import exact_quantiles
-
     ref = table(spark, sf, "lineitem").where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).select(*FEATURES)
     long = ref.unpivot([], FEATURES, "feature", "value")
-    q = exact_quantiles(long, ["feature"], "value", {"p01": 0.01, "p99": 0.99})
+    q = exact_quantiles(long, ["feature"], "value", {"p01": 0.01, "p99": 0.99}, ref.count() > max_group_rows(spark))
     moments = long.groupBy("feature").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"))
     return q.join(moments, "feature").select("feature", F.round("p01", 6).alias("p01"), F.round("p99", 6).alias("p99"), "mean", "std")
 
@@ -78,8 +79,6 @@ def quality_reference(spark, sf):
 @query("quality_flags", """SELECT event_id, concat_ws(',', CASE WHEN value < 1 THEN 'value_LOW' WHEN value > 100 THEN 'value_HIGH' END,
   CASE WHEN k < 5 THEN 'k_LOW' WHEN k > 90 THEN 'k_HIGH' END) AS quality_flags FROM {ev}""")
 def quality_flags(spark, sf):
-    from worklake.registered.frames import events
-
     return events(spark, sf).select("event_id", scoring.quality_flags({"value": (1.0, 100.0), "k": (5, 90)}).alias("quality_flags"))
 
 
@@ -103,7 +102,6 @@ def batch_worklist(spark, sf):
     """The 100 most probable items of all; a top-k report."""
     top = decided(spark, sf).where("probability is not null").withColumn("_all", F.lit(0))
     top = top_per_group(top, ["_all"], [F.col("probability").desc(), F.col("item_id")], 100)
-    from pyspark.sql import Window
     place = F.row_number().over(Window.partitionBy("_all").orderBy(F.col("probability").desc(), "item_id"))
     return top.select("item_id", "priority", "probability", place.alias("place"))
 
