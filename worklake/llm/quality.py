@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from worklake.llm.common import map_texts, query, table
 
-LABELLED = 8000
+LABELLED = 5000
 WORDS = 1 << 15  # rows of word vectors; a word's row is a hash
 SHAPES = 1 << 10
 DIM = 64
@@ -64,10 +64,12 @@ class Words:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words, 2) rows of all texts, one after the other, and the number of words of each text."""
-        split = [t.split() for t in texts]
-        counts = np.array([len(s) for s in split], np.int64)
-        rows = [self.row(w) for s in split for w in s]
-        return np.array(rows, np.int64).reshape(-1, 2), counts
+        parts, counts = [np.zeros((0, 2), np.int32)], []
+        for a in range(0, len(texts), 200):  # few words at once as Python objects
+            split = [t.split() for t in texts[a:a + 200]]
+            counts += [len(s) for s in split]
+            parts.append(np.array([self.row(w) for s in split for w in s], np.int32).reshape(-1, 2))
+        return np.concatenate(parts), np.array(counts, np.int64)
 
 
 def word_vectors(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
