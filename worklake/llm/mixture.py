@@ -58,8 +58,8 @@ def slots(goals: DataFrame, seed: int = 0) -> DataFrame:
     g = g.withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / BLOCK))
     shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(0))) / SHARD))
     g = g.withColumn("shards", shards).where("slots > 0")
-    step = 8192
-    g = g.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step)))).repartition("sid", "first")
+    step, tasks = 8192, int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tiny rows that become many: not to be coalesced
+    g = g.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step)))).repartition(tasks, "sid", "first")
     g = g.withColumn("j", F.explode(F.sequence(F.col("first") * step, F.least(F.col("first") * step + step, F.col("slots")) - 1)))
     g = g.withColumn("epoch", F.floor(F.col("j") / F.col("blocks"))).withColumn("rank", F.col("j") % F.col("blocks"))
     drawn = F.element_at(F.array(*(F.lit(p).cast("long") for p in PRIMES[:-1])), (F.pmod(F.xxhash64(F.lit(seed), "sid", "epoch"), F.lit(len(PRIMES) - 1)) + 1).cast("int"))
@@ -100,10 +100,10 @@ def taken(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0) ->
              .withColumn("hi", F.least(F.lit(BLOCK), end - F.col("block") * BLOCK)))
     by_block = slots(goals, seed).groupBy("sid", "block").agg(F.collect_list("words").alias("uses"))  # a use a pass, most + 1 at most
     words = F.aggregate("uses", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least(F.col("hi"), w) - F.col("lo")))
-    used = (parts.join(by_block, ["sid", "block"]).select("sid", "start", words.alias("words"))
+    used = (parts.join(by_block.hint("merge"), ["sid", "block"]).select("sid", "start", words.alias("words"))
             .groupBy("sid", "start").agg(F.sum("words").alias("words")))
     # A document without words starts where the next one does: it has no part in the join.
-    full = placed.where("size > 0").join(used, ["sid", "start"], "left")
+    full = placed.where("size > 0").join(used.hint("merge"), ["sid", "start"], "left")
     out = ["doc_id", "size", "source_size", "target"]
     return (full.select(*out, F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
             .unionByName(placed.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))))
