@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -30,8 +31,10 @@ from worklake.llm.components import components
 GROUP = 1000  # nodes of a block; a task searches one block, or two
 SHINGLES = 300_000  # of a block
 CACHED = 300_000
+MANY = 64  # entries of a list that is held as an array
+HEAP = 2000  # entries that a heap merges; more are merged as sorted runs
 FEW_IDS = 1_000_000  # ids (16 bytes each) that are broadcast; more are joined by a shuffle
-SKIP = 0.01  # weight of the longest list's length in the number of lists put aside
+SKIP = 0.001  # weight of the longest list's length in the number of lists put aside
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -107,10 +110,6 @@ class Parts:
         return mix(mix(sums + number * _M[2]) + np.uint64(q * int(_M[1]) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
 
 
-def enough(overlap: int, a: int, b: int, least: int) -> bool:
-    return 100 * overlap >= least * (a + b - overlap)
-
-
 def search(asked: list[np.ndarray], held: list[np.ndarray], least: int, same: bool) -> list[tuple[int, int]]:
     """Links (i, j) of asked[i] and held[j]; with same, the two are one list and j < i. Enough of them to connect what is linked.
 
@@ -125,6 +124,7 @@ def search(asked: list[np.ndarray], held: list[np.ndarray], least: int, same: bo
     for j, s in enumerate(held):
         for h in _among(s, shared):
             lists[h].append(j)
+    lists = [np.array(x) if len(x) > MANY else x for x in lists]
     parent = list(range(len(asked) + (0 if same else len(held))))
     shift = 0 if same else len(asked)
 
@@ -141,30 +141,26 @@ def search(asked: list[np.ndarray], held: list[np.ndarray], least: int, same: bo
             continue
         aside = min(need - 1, int(need / (SKIP * math.log2(len(own[-1]) + 1) + 1)))
         short, long = own[:len(own) - aside], own[len(own) - aside:]
-        counts = {}
-        for j, times in groupby(heapq.merge(*short)):
-            if same and j >= i:
-                break
-            n = sum(1 for _ in times)
-            if n >= need - aside:
-                counts[j] = n
+        counts = {j: n for j, n in _merged(short, i if same else None) if n >= need - aside}
         sizes = [j for j in counts if least * max(len(s), len(held[j])) <= 100 * min(len(s), len(held[j])) and root(i) != root(j + shift)]
         if not sizes:
             continue
-        js = np.array(sizes)
-        total = np.array([counts[j] for j in sizes])
-        for done, places in enumerate(long):  # what can't reach T is dropped on the way
-            total = total + np.array([_holds(places, j) for j in js.tolist()])
-            alive = total + (len(long) - done - 1) >= need
-            if not alive.all():
-                js, total = js[alive], total[alive]
-                if not len(js):
-                    break
-        for j, n in zip(js.tolist(), total.tolist()):
-            a, b = root(i), root(j + shift)
-            if a != b and enough(n, len(s), len(held[j]), least):
-                parent[a] = b
-                out.append((i, j))
+        # A component's most promising candidates first: once one of them links, the others of its component need no look.
+        sizes.sort(key=lambda j: -counts[j])
+        asked_of: dict[int, int] = {}
+        turns: list[list[int]] = []
+        for j in sizes:
+            turn = asked_of[root(j + shift)] = asked_of.get(root(j + shift), -1) + 1
+            turn = min(turn, turn.bit_length() + 3)
+            turns += [[] for _ in range(turn + 1 - len(turns))]
+            turns[turn].append(j)
+        for turn in turns:
+            todo = [j for j in turn if root(j + shift) != root(i)]
+            for j in _probed(todo, [counts[j] for j in todo], long, len(s), held, least) if todo else ():
+                a, b = root(i), root(j + shift)
+                if a != b:
+                    parent[a] = b
+                    out.append((i, j))
     return out
 
 
@@ -174,6 +170,38 @@ def _among(s: np.ndarray, shared: np.ndarray) -> list[int]:
     return at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == s)].tolist() if len(shared) else []
 
 
+def _merged(lists: list, before: int | None) -> Iterator[tuple[int, int]]:
+    """(entry, number of lists that hold it) in order, of the entries below `before`."""
+    if sum(map(len, lists)) <= HEAP:
+        for j, times in groupby(heapq.merge(*(x.tolist() if len(x) > MANY else x for x in lists))):
+            if before is not None and j >= before:
+                return
+            yield j, sum(1 for _ in times)
+    else:
+        entries, times = np.unique(np.concatenate([np.asarray(x)[:None if before is None else np.searchsorted(x, before)] for x in lists]), return_counts=True)
+        yield from zip(entries.tolist(), times.tolist())
+
+
+def _probed(js: list[int], counts: list[int], long: list, size: int, held: list[np.ndarray], least: int) -> list[int]:
+    """Those of js that link: binary search in the lists put aside, until too few are left to reach the overlap of the two sizes."""
+    at, total = np.array(js), np.array(counts)
+    need = np.array([-(-least * (size + len(held[j])) // (100 + least)) for j in js])
+    for left in range(len(long) - 1, -1, -1):
+        places = long[len(long) - 1 - left]
+        if len(at) > 16:
+            found = np.searchsorted(places, at)
+            found[found == len(places)] = 0
+            total = total + (np.asarray(places)[found] == at)
+        else:
+            total = total + np.array([_holds(places, j) for j in at.tolist()])
+        alive = total + left >= need
+        if not alive.all():
+            at, total, need = at[alive], total[alive], need[alive]
+            if not len(at):
+                break
+    return at[total >= need].tolist()
+
+
 def _holds(places: list[int], j: int) -> bool:
     at = bisect_left(places, j)
     return at < len(places) and places[at] == j
