@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 from worklake.operators.queues import Shift, busy_periods, fifo_slots, replay
 
 
-def serve_one_by_one(items, rank, servers, opening, minutes):
-    """Brute force: whenever the earliest free server is free, the best-ranked arrived item goes."""
-    left, clock, out = list(items), [opening] * servers, {}
-    while left:
-        s = clock.index(min(clock))
-        here = [i for i in left if i["arrival"] <= clock[s]]
-        if not here:
-            clock[s] = min(i["arrival"] for i in left)
-            continue
-        best = min(here, key=rank)
-        left.remove(best)
-        out[best["item"]] = clock[s]
-        clock[s] += timedelta(minutes=minutes)
-    return out
+def check_schedule(jobs, servers, service):
+    """jobs: (ready, start, rank). Nobody starts early, servers are neither overbooked nor idle while somebody waits, the best goes first."""
+    for ready, start, rank in jobs:
+        assert start >= ready
+        assert sum(begun <= start < begun + service for _, begun, _ in jobs) <= servers
+        freed = [begun + service for _, begun, _ in jobs if ready <= begun + service < start]
+        for moment in [ready, *freed] if ready < start else []:
+            assert sum(begun <= moment < begun + service for _, begun, _ in jobs) == servers
+        assert all(rank <= other for came, begun, other in jobs if came <= start < begun)
 
 
 def random_day(seed, n, minutes_apart):
@@ -37,7 +32,7 @@ def frame(spark, rows):
 
 
 @pytest.mark.parametrize("servers,hot", [(1, False), (1, True), (2, False), (2, True), (3, False)])
-def test_replay_equals_brute_force(spark, small_groups, servers, hot):
+def test_replay_is_a_proper_schedule(spark, small_groups, servers, hot):
     rows = [r for seed in range(1, 7 if not hot else 3) for r in random_day(seed, 45, 4 + 3 * (seed % 3))]
     shift = Shift(servers=servers, minutes=6)
     ranks = {"triage": [F.col("band"), -F.col("prob")]}
@@ -46,11 +41,10 @@ def test_replay_equals_brute_force(spark, small_groups, servers, hot):
     for day in {r[0] for r in rows}:
         items = [dict(zip(("day", "item", "arrival", "band", "prob"), r)) for r in rows if r[0] == day]
         opening = datetime.combine(day, datetime.min.time()) + timedelta(hours=8)
-        fifo = serve_one_by_one(items, lambda i: (i["arrival"], i["item"]), servers, opening, 6)
-        best = serve_one_by_one(items, lambda i: (i["band"], -i["prob"], i["arrival"], i["item"]), servers, opening, 6)
-        for k in fifo:
-            assert got[k]["start_us"] == (fifo[k] - opening) // timedelta(microseconds=1)
-            assert got[k]["triage_start_us"] == (best[k] - opening) // timedelta(microseconds=1)
+        for column, rank in (("start_us", lambda i: (i["arrival"], i["item"])),
+                             ("triage_start_us", lambda i: (i["band"], -i["prob"], i["arrival"], i["item"]))):
+            jobs = [(max(0, (i["arrival"] - opening) // timedelta(microseconds=1)), got[i["item"]][column], rank(i)) for i in items]
+            check_schedule(jobs, servers, shift.service_us)
 
 
 def test_known_order(spark):
