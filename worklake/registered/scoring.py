@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from worklake.functions import scalars as S
 from worklake.operators import scoring
-from worklake.operators.latest import top_per_group
+from worklake.operators.ordered import numbered
 from worklake.operators.outcomes import confusion_counts, with_ratios
 from worklake.operators.quantiles import exact_quantiles
 from worklake.registered.base import query, table
@@ -96,14 +95,13 @@ def scoring_run_summary(spark, sf):
     return scoring.run_summary(rows, ["business_date"]).join(versions, "business_date")
 
 
-@query("batch_worklist", """SELECT item_id, priority, probability, place FROM (SELECT *, row_number() OVER (ORDER BY probability DESC, item_id) AS place
-  FROM {decided} WHERE probability IS NOT NULL) WHERE place <= 100""")
+@query("batch_worklist", """SELECT item_id, priority, probability, row_number() OVER (ORDER BY probability DESC, item_id) AS place
+  FROM {decided} WHERE probability IS NOT NULL""")
 def batch_worklist(spark, sf):
-    """The 100 most probable items of all; a top-k report."""
-    top = decided(spark, sf).where("probability is not null").withColumn("_all", F.lit(0))
-    top = top_per_group(top, ["_all"], [F.col("probability").desc(), F.col("item_id")], 100)
-    place = F.row_number().over(Window.partitionBy("_all").orderBy(F.col("probability").desc(), "item_id"))
-    return top.select("item_id", "priority", "probability", place.alias("place"))
+    """The whole ranking, numbered over pieces of the order."""
+    rows = decided(spark, sf).where("probability is not null").select("item_id", "priority", "probability").withColumn("_all", F.lit(0))
+    placed = numbered(rows, ["_all"], [F.col("probability").desc(), F.col("item_id")], "place", hot=True)
+    return placed.select("item_id", "priority", "probability", F.col("place").cast("int").alias("place"))
 
 
 @query("batch_band_counts", "SELECT priority, count(*) AS items FROM {decided} GROUP BY priority")
