@@ -1,10 +1,13 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip, exact, over sets of distinct word shingles.
 
-Equal sets are one node. Two sets that are alike enough differ in at most `differ` shingles; cut into more parts than that (by the
-shingles' hashes), they agree in a whole part. Nodes that share a part are candidates; a part's nodes are tied to its least node only.
-The clusters of tied nodes are searched: each node asks the inverted lists of the cluster's shingles for nodes that reach the overlap T
-its size demands. The longest lists are put aside, the short ones are merged by a heap, and only what comes often enough in these is
-looked up in the long ones by binary search. A cluster of more than GROUP nodes is searched in pairs of blocks. Links give components.
+Equal sets are one node. Of each node the least shingles by hash are looked at first: a prefix so long that two linked nodes have several
+shingles in common in their prefixes (a few for a small node, more for a large one). A node whose prefix holds fewer shingles that occur
+elsewhere has no link. The nodes that remain are cut into parts: two sets that are alike enough differ in at most `differ` shingles; cut
+into more parts than that (by the shingles' hashes), they agree in a whole part. Nodes that share a part are candidates; a part's nodes
+are tied to its least node only. The clusters of tied nodes are searched: each node asks the inverted lists of the cluster's shingles
+for nodes that reach the overlap T its size demands. The longest lists are put aside, the short ones are merged by a heap, and only what
+comes often enough in these is looked up in the long ones by binary search. A cluster of more than GROUP nodes is searched in pairs of
+blocks. Links give components.
 
 Shingles and sets are told apart by 64-bit hashes. Null or empty text, or text without words: no shingles, no links, its own component.
 Null ids: such rows are linked as others are, but a component's id is the least id there is (null if it has none). Repeated rows have
@@ -22,7 +25,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklake.llm.common import COLUMNS, kept, map_texts, query, table
@@ -34,6 +37,7 @@ CACHED = 300_000
 MANY = 64  # entries of a list that is held as an array
 HEAP = 2000  # entries that a heap merges; more are merged as sorted runs
 FEW_IDS = 1_000_000  # ids (16 bytes each) that are broadcast; more are joined by a shuffle
+SPARE = 10  # one in so many of a node's shingles is how many linked nodes have in common in their prefixes
 SKIP = 0.001  # weight of the longest list's length in the number of lists put aside
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -207,29 +211,86 @@ def _holds(places: list[int], j: int) -> bool:
     return at < len(places) and places[at] == j
 
 
+def common(n: int) -> int:
+    """Shingles that a node of n has in common with any other of its size in their prefixes, if they link."""
+    return max(1, n // SPARE)
+
+
+def prefix(s: np.ndarray, least: int) -> np.ndarray:
+    """The least shingles by hash. At most len(s) - overlap of a set's shingles are missing in its partner, so that the first common(n)
+    of what both have lie within this prefix of either."""
+    return s[:len(s) - -(-least * len(s) // 100) + common(len(s))]
+
+
 def prints(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """doc_id, n_shingles, node, parts (signatures); the only pass over all texts."""
+    """doc_id, n_shingles, node, prefix (hashes); the only pass over all texts."""
     def make():
-        shingles, parts = Shingles(n), Parts(least)
+        shingles = Shingles(n)
 
         def fn(cols):
             sets = [shingles.of(t) for t in cols["text"]]
             return {"doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets],
-                    "parts": [parts.of(s) for s in sets]}
+                    "prefix": [prefix(s, least).view(np.int64) for s in sets]}
         return fn
-    return map_texts(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, parts array<long>")
+    return map_texts(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, prefix array<long>")
+
 
+def claims(marks: DataFrame, least: int) -> DataFrame:
+    """Rows of a batch of nodes: for each shingle of the prefixes one row (shingle, one of its nodes, known: it has several nodes in the
+    batch), and for each node one row (known null, credit: its shingles with several nodes in the batch, less what it needs).
 
-def candidates(marks: DataFrame) -> DataFrame:
-    """u, v: each node that shares a part with another set, tied to the least node of the part. Copies collapse before the shuffle."""
-    parts = marks.where("node IS NOT NULL").select("node", F.explode("parts").alias("part"))
+    However frequent a shingle is, a batch sends one row of it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes, rows = np.unique(np.asarray(batch["node"]), return_index=True)  # copies in a batch count once
+            batch = batch.take(pa.array(rows))
+            shingles = np.asarray(batch["prefix"].flatten())
+            own = np.repeat(np.arange(len(nodes)), np.asarray(batch["prefix"].value_lengths()))
+            order = np.argsort(shingles, kind="stable")
+            found, first, times = np.unique(shingles[order], return_index=True, return_counts=True)
+            here = np.bincount(own[order][np.repeat(times > 1, times)], minlength=len(nodes))
+            # A partner may be as small as least percent of the node, and has its own, shorter prefix.
+            need = np.array([common(-(-least * n // 100)) for n in batch["n_shingles"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([found, nodes])), pa.array(np.concatenate([nodes[own[order][first]], nodes])),
+                pa.array((times > 1).tolist() + [None] * len(nodes), pa.bool_()),
+                pa.array([None] * len(found) + (here - need).tolist(), pa.int64())], names=["shingle", "node", "known", "credit"])
+    return marks.where("node IS NOT NULL").select("node", "n_shingles", "prefix").mapInArrow(run, "shingle long, node long, known boolean, credit long")
+
+
+def promising(marks: DataFrame, least: int) -> DataFrame:
+    """node of those that have enough shingles in their prefix which other nodes have too. A node in several batches is credited with
+    each shingle once in each of them, and its need is subtracted as often."""
+    rows = claims(marks, least).withColumn("of_node", F.col("known").isNull())
+    w = Window.partitionBy("shingle", "of_node")
+    shared = F.max("known").over(w) | (F.min("node").over(w) != F.max("node").over(w))
+    rows = rows.select("node", "credit", "known", shared.alias("shared"))
+    credit = F.coalesce("credit", (F.col("shared") & ~F.col("known")).cast("long"))
+    return rows.select("node", credit.alias("credit")).where("credit <> 0").groupBy("node").agg(F.sum("credit").alias("credit")).where("credit >= 0").select("node")
+
+
+def signed(sets: DataFrame, least: int) -> DataFrame:
+    """node, part (signatures) of nodes with their shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(least)
+        for batch in batches:
+            marks = [parts.of(np.frombuffer(s, np.uint64)) for s in batch["shingles"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch["node"]), [len(m) for m in marks])), pa.array(np.concatenate([np.zeros(0, np.int64), *marks]))], names=["node", "part"])
+    return sets.select("node", "shingles").mapInArrow(run, "node long, part long")
+
+
+def candidates(parts: DataFrame) -> DataFrame:
+    """u, v: each node that shares a part with another set, tied to the least node of the part."""
     shared = parts.groupBy("part").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").drop("last")
     return parts.join(shared, "part").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def members(docs: DataFrame, marks: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
-    """node, root, shingles (bytes) of the nodes in clusters, each once: their texts are read again, others aren't."""
-    wanted = marks.join(clusters, "node").groupBy("node", "root").agg(F.min("doc_id").alias("at"))
+def members(docs: DataFrame, marks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node, size, shingles (bytes) of the nodes, each once: their texts are read again, others aren't."""
+    wanted = marks.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("at"))
     wanted = kept(wanted, "jaccard-wanted")
     ids = wanted.select(F.col("at").alias("wanted_id")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= FEW_IDS else ids
@@ -240,17 +301,19 @@ def members(docs: DataFrame, marks: DataFrame, clusters: DataFrame, n: int) -> D
 
         def fn(cols):
             sets = [shingles.of(t) for t in cols["text"]]
-            return {"node": [node_of(s) if len(s) else None for s in sets], "shingles": [s.tobytes() for s in sets]}
+            return {"node": [node_of(s) if len(s) else None for s in sets], "size": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
         return fn
-    found = map_texts(texts, make, "node long, shingles binary")
-    return wanted.select("node", "root").join(found, "node").dropDuplicates(["node"])
+    found = map_texts(texts, make, "node long, size long, shingles binary")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def links(sets: DataFrame, least: int) -> DataFrame:
+def links(sets: DataFrame, clusters: DataFrame, least: int) -> DataFrame:
     """u, v: links within the clusters, enough to connect what is linked. A large cluster's blocks meet pair by pair."""
-    need = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum(F.length("shingles")) / (8 * SHINGLES)))
-    counts = sets.groupBy("root").agg(need.cast("int").alias("blocks"))
-    rows = sets.join(counts, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    need = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("size") / SHINGLES))
+    placed = sets.select("node", "size").join(clusters, "node")
+    blocks = placed.groupBy("root").agg(need.cast("int").alias("blocks"))
+    placed = placed.select("node", "root").join(blocks, "root")
+    rows = sets.select("node", "shingles").join(placed, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "shingles")
 
@@ -270,8 +333,9 @@ def links(sets: DataFrame, least: int) -> DataFrame:
 def join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; sets link at a Jaccard likeness of least percent."""
     marks = kept(prints(docs, n, least), "jaccard-prints")
-    clusters = components(candidates(marks))
-    linked = components(links(kept(members(docs, marks, clusters, n), "jaccard-sets"), least))
+    sets = kept(members(docs, marks, promising(marks, least), n), "jaccard-sets")
+    clusters = components(candidates(signed(sets, least)))
+    linked = components(links(sets, clusters, least))
     nodes = marks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     rooted = nodes.join(linked, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least_id = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
