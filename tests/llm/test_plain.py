@@ -88,6 +88,9 @@ def test_search_connects_what_is_linked(least):
         parts = jaccard.Parts(least)
         marks = [set(parts.of(s).tolist()) for s in sets]
         assert all(marks[i] & marks[j] for i, j in every)  # every linked pair shares a part
+        heads = [set(jaccard.prefix(s, least).tolist()) for s in sets]
+        need = [jaccard.common(-(-least * len(s) // 100)) for s in sets]
+        assert all(len(heads[i] & heads[j]) >= max(need[i], need[j]) for i, j in every)  # and enough of the prefixes
 
 
 def test_base_spans_equal_the_patterns():

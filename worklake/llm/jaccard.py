@@ -4,7 +4,8 @@ Equal sets are one node. Of each node the least shingles by hash are looked at f
 shingles in common in their prefixes (a few for a small node, more for a large one). A node whose prefix holds fewer shingles that occur
 elsewhere has no link. The nodes that remain are cut into parts: two sets that are alike enough differ in at most `differ` shingles; cut
 into more parts than that (by the shingles' hashes), they agree in a whole part. Nodes that share a part are candidates; a part's nodes
-are tied to its least node only. The clusters of tied nodes are searched: each node asks the inverted lists of the cluster's shingles
+are tied to its least node only. Parts go by classes of sizes, and so do ties: a node is tied in its own class and in the next, so that
+nodes of other sizes don't join a cluster. The clusters of tied nodes are searched: each node asks the inverted lists of the cluster's shingles
 for nodes that reach the overlap T its size demands. The longest lists are put aside, the short ones are merged by a heap, and only what
 comes often enough in these is looked up in the long ones by binary search. A cluster of more than GROUP nodes is searched in pairs of
 blocks. Links give components.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from worklake.llm.common import COLUMNS, kept, map_texts, query, table
 from worklake.llm.components import components
 
-GROUP = 1000  # nodes of a block; a task searches one block, or two
-SHINGLES = 300_000  # of a block
+GROUP = 3000  # nodes of a block; a task searches one block, or two
+SHINGLES = 1_000_000  # of a block
 CACHED = 300_000
 MANY = 64  # entries of a list that is held as an array
 HEAP = 2000  # entries that a heap merges; more are merged as sorted runs
@@ -94,9 +95,9 @@ class Parts:
     def of(self, s: np.ndarray) -> np.ndarray:
         """Signatures for the set's own class and, where a larger partner would lie, the next."""
         own = self.size_class(len(s))
-        return np.concatenate([self._signed(s, q) for q in (own, own + 1)]) if len(s) else np.zeros(0, np.int64)
+        return np.concatenate([self.signed(s, q) for q in (own, own + 1)]) if len(s) else np.zeros(0, np.int64)
 
-    def _signed(self, s: np.ndarray, q: int) -> np.ndarray:
+    def signed(self, s: np.ndarray, q: int) -> np.ndarray:
         while len(self.bounds) < q + 2:
             self.bounds.append(self.bounds[-1] * 100 // self.least + 1)
         largest = self.bounds[q + 1] - 1
@@ -273,13 +274,15 @@ def promising(marks: DataFrame, least: int) -> DataFrame:
 
 
 def signed(sets: DataFrame, least: int) -> DataFrame:
-    """node, part (signatures) of nodes with their shingles."""
+    """node (numbered anew for each class of sizes that it is tied in), part (signatures) of nodes with their shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(least)
         for batch in batches:
-            marks = [parts.of(np.frombuffer(s, np.uint64)) for s in batch["shingles"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch["node"]), [len(m) for m in marks])), pa.array(np.concatenate([np.zeros(0, np.int64), *marks]))], names=["node", "part"])
-    return sets.select("node", "shingles").mapInArrow(run, "node long, part long")
+            for node, own, s in zip(batch["node"].to_pylist(), batch["class"].to_pylist(), batch["shingles"].to_pylist()):
+                for q in (own, own + 1):
+                    marks = parts.signed(np.frombuffer(s, np.uint64), q)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), node)), pa.array(np.full(len(marks), q, np.int32)), pa.array(marks)], names=["node", "q", "part"])
+    return sets.select("node", "class", "shingles").mapInArrow(run, "node long, q int, part long").select(F.xxhash64("node", "q").alias("node"), "part")
 
 
 def candidates(parts: DataFrame) -> DataFrame:
@@ -288,8 +291,8 @@ def candidates(parts: DataFrame) -> DataFrame:
     return parts.join(shared, "part").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def members(docs: DataFrame, marks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, size, shingles (bytes) of the nodes, each once: their texts are read again, others aren't."""
+def members(docs: DataFrame, marks: DataFrame, nodes: DataFrame, n: int, least: int) -> DataFrame:
+    """node, size, class (of sizes), shingles (bytes) of the nodes, each once: their texts are read again, others aren't."""
     wanted = marks.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("at"))
     wanted = kept(wanted, "jaccard-wanted")
     ids = wanted.select(F.col("at").alias("wanted_id")).distinct()
@@ -297,20 +300,22 @@ def members(docs: DataFrame, marks: DataFrame, nodes: DataFrame, n: int) -> Data
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
     def make():
-        shingles = Shingles(n)
+        shingles, parts = Shingles(n), Parts(least)
 
         def fn(cols):
             sets = [shingles.of(t) for t in cols["text"]]
-            return {"node": [node_of(s) if len(s) else None for s in sets], "size": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+            return {"node": [node_of(s) if len(s) else None for s in sets], "size": [len(s) for s in sets],
+                    "class": [parts.size_class(len(s)) for s in sets], "shingles": [s.tobytes() for s in sets]}
         return fn
-    found = map_texts(texts, make, "node long, size long, shingles binary")
+    found = map_texts(texts, make, "node long, size long, class int, shingles binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def links(sets: DataFrame, clusters: DataFrame, least: int) -> DataFrame:
     """u, v: links within the clusters, enough to connect what is linked. A large cluster's blocks meet pair by pair."""
     need = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("size") / SHINGLES))
-    placed = sets.select("node", "size").join(clusters, "node")
+    placed = sets.select("node", "size", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("q"))
+    placed = placed.select(F.col("node").alias("of"), "size", F.xxhash64("node", "q").alias("node")).join(clusters, "node").drop("node").withColumnRenamed("of", "node")
     blocks = placed.groupBy("root").agg(need.cast("int").alias("blocks"))
     placed = placed.select("node", "root").join(blocks, "root")
     rows = sets.select("node", "shingles").join(placed, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -333,7 +338,7 @@ def links(sets: DataFrame, clusters: DataFrame, least: int) -> DataFrame:
 def join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; sets link at a Jaccard likeness of least percent."""
     marks = kept(prints(docs, n, least), "jaccard-prints")
-    sets = kept(members(docs, marks, promising(marks, least), n), "jaccard-sets")
+    sets = kept(members(docs, marks, promising(marks, least), n, least), "jaccard-sets")
     clusters = components(candidates(signed(sets, least)))
     linked = components(links(sets, clusters, least))
     nodes = marks.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
