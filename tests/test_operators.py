@@ -242,3 +242,14 @@ def test_names_that_hide_keys(spark):
     got = df.select(scalars.person_from_file(F.col("n")).alias("k"), scalars.planted_kind(F.col("n")).alias("p"), scalars.planted_original(F.col("n")).alias("o")).collect()
     assert [r["k"] for r in got][:4] == ["person123", "IM-0115", "NORMAL2-IM-0927", "other"]
     assert (got[4]["p"], got[4]["o"]) == ("BLUR", "IM-1-2.png")
+
+
+def test_quantiles_do_not_depend_on_the_way(spark):
+    from worklake.operators.quantiles import exact_quantiles
+
+    rng = random.Random(11)
+    rows = [("same", 0.01), ("same", 0.01)] + [(f"g{n}", round(rng.random(), 2)) for n in (7, 53, 101) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {f"q{i}": i / 10 for i in range(11)}
+    plain, large = ({r.g: r for r in exact_quantiles(df, ["g"], "v", probs, hot).collect()} for hot in (False, True))
+    assert plain == large and set(plain["same"][1:]) == {0.01}

@@ -14,14 +14,14 @@ from worklake.session import broadcast_if_small, has_hot_group, max_group_rows
 LINEAR, INDEX = "linear", "index"
 
 
-def _positions(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
-    """(low, high, weight of high), 0-based positions in the sorted group of n values."""
+def _positions(n: Column, p: float, method: str) -> tuple[Column, Column, Column, Column]:
+    """(low, high, weight of low, weight of high), 0-based positions in the sorted group of n values."""
     if method == LINEAR:
         h = (n - 1) * F.lit(float(p))
-        return F.floor(h), F.ceil(h), h - F.floor(h)
+        return F.floor(h), F.ceil(h), F.ceil(h) - h, h - F.floor(h)
     # INDEX: the value at int(p * n), never past the end; no interpolation
     at = F.least(n - 1, F.floor(F.lit(float(p)) * n))
-    return at, at, F.lit(0.0)
+    return at, at, F.lit(0.0), F.lit(0.0)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float | tuple[float, str]],
@@ -60,7 +60,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     aggs = []
     for name, (p, method) in wanted.items():
-        lo, hi, w = _positions(F.col("_n"), p, method)
-        weight = F.max(w)
-        aggs.append(F.when(weight == 0, at(lo)).otherwise(at(lo) * (1 - weight) + at(hi) * weight).alias(name))
+        lo, hi, below, above = _positions(F.col("_n"), p, method)
+        # the same products as percentile, and a value itself where both neighbours are equal: no bit differs between the two ways
+        aggs.append(F.when(at(lo) == at(hi), at(lo)).otherwise(at(lo) * F.max(below) + at(hi) * F.max(above)).alias(name))
     return placed.groupBy(*by).agg(*aggs).select(*keys, *wanted)
