@@ -11,7 +11,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ITERATIVE = {"train_head", "c_sweep"}  # trainings; SQL has no counterpart
 SAMPLE = ["contract_reasons", "read_psv_trailer", "recon_replace_stage", "scd1_current", "shadow_arbitrate", "daily_summary",
-          "v_triage_outcome", "balanced_sample", "psi", "stage_state"]
+          "v_triage_outcome", "balanced_sample", "psi", "stage_state", "trailer_check", "quarantine_summary", "bi_detail_table"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

@@ -119,3 +119,9 @@ def test_table_without_schema_note_is_read_as_it_is(spark):
     assert not tables.exists(spark, path)
     tables.append_log(frame(spark, ("2024-01-01", 1, "a")), path)
     assert tables.exists(spark, path) and tables.read_table(spark, path).count() == 1
+
+
+def test_trailers_of_files_wrong_in_opposite_ways(spark):
+    trailers = spark.createDataFrame([("a", 1, 2), ("b", 2, 1), ("c", None, 3), ("d", 4, 4)], "_path string, trailer long, data_lines long")
+    t = readers.trailer_totals(trailers).first()
+    assert (t["files"], t["agreeing"]) == (4, 1)

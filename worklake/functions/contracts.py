@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 # Fixed formats of the typed columns.
 PATTERNS = {"timestamp": "yyyy-MM-dd HH:mm:ss", "date": "yyyy-MM-dd", "date8": "yyyyMMdd", "time6": "HHmmss"}
-SHOWN = 40  # characters of a bad value quoted in its reason
 
 
 @dataclass(frozen=True)
@@ -37,7 +36,7 @@ def cleaned(value: Column) -> Column:
 
 
 def _quoted(value: Column) -> Column:
-    return F.concat(F.lit("'"), F.substring(value, 1, SHOWN), F.lit("'"))
+    return F.concat(F.lit("'"), value, F.lit("'"))
 
 
 def missing_reason(field: Field, value: Column) -> Column:

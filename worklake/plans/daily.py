@@ -138,9 +138,8 @@ def bronze(lake: Lake, date: Date) -> DataFrame:
         except AnalysisException:
             pass  # a source without a manifest has nothing to compare
         if source.has_trailer:
-            t = readers.read_trailers(lake.spark, lake.extract(source.name, date)).agg(
-                F.sum("trailer").alias("trailer"), F.sum("data_lines").alias("data_lines"))
-            parts.append(check(t, "trailer count = data lines", F.col("trailer"), F.col("data_lines")))
+            t = readers.trailer_totals(readers.read_trailers(lake.spark, lake.extract(source.name, date)))
+            parts.append(check(t, "trailer count = data lines", F.greatest("files", F.lit(1)), F.col("agreeing")))
     if quarantines:
         tables.replace_date(recon.checks(*quarantines), lake.path("bronze.quarantine"), date.isoformat())
     return _finish(lake, "bronze", date, parts)

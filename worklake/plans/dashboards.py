@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from worklake.functions.scalars import round_snapped
 
 LATEST = "is_latest = 1"
-DEFAULT_LIMIT = 1000
 
 
 def visual(view: DataFrame, dims: list[str], measures: dict[str, Column], filters: list[str] = (), sort: list[Column] = (),

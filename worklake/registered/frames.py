@@ -66,7 +66,7 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 cte("reasoned", """SELECT *, nullif(concat_ws('; ', r_ts, r_user, r_type), '') AS reasons FROM (SELECT *,
-  CASE WHEN try_strptime(ts, '%Y-%m-%d %H:%M:%S') IS NULL THEN 'ts: not a timestamp (''' || substr(ts, 1, 40) || ''')' END AS r_ts,
+  CASE WHEN try_strptime(ts, '%Y-%m-%d %H:%M:%S') IS NULL THEN 'ts: not a timestamp (''' || trim(ts) || ''')' END AS r_ts,
   CASE WHEN trim(user_id) = '' THEN 'user_id: missing' END AS r_user,
   CASE WHEN event_type NOT IN ('signup', 'error', 'click', 'view', 'purchase') THEN 'event_type: ''' || event_type
     || ''' not in [''signup'', ''error'', ''click'', ''view'', ''purchase'']' END AS r_type FROM {raw})""")

@@ -30,12 +30,14 @@ def read_psv_trailer(spark, sf):
     return readers.read_psv(spark, path, EVENT_RECORD).select(*COLUMNS, "parse_error")
 
 
-@query("trailer_check", """SELECT CAST(count(*) AS BIGINT) AS expected, CAST(count(*) AS BIGINT) AS actual, 'MATCHED' AS status
-  FROM {raw}""")
+@query("trailer_check", """SELECT CAST(count(*) AS BIGINT) AS expected, CAST(count(*) AS BIGINT) AS actual, CAST(0 AS BIGINT) AS wrong_files,
+  'MATCHED' AS status FROM {raw}""")
 def trailer_check(spark, sf):
-    counts = readers.read_trailers(spark, _exported(spark, sf, landing.export_psv))
-    both = counts.agg(F.sum("trailer").alias("expected"), F.sum("data_lines").alias("actual"))
-    return both.withColumn("status", recon.recon_status(F.col("expected"), F.col("actual")))
+    """Each file's trailer against its own lines: files that are wrong in opposite ways don't make up for each other."""
+    totals = readers.trailer_totals(readers.read_trailers(spark, _exported(spark, sf, landing.export_psv)))
+    status = recon.recon_status(F.greatest("files", F.lit(1)), F.col("agreeing"))
+    return totals.select(F.col("trailer").alias("expected"), F.col("data_lines").alias("actual"),
+                         (F.col("files") - F.col("agreeing")).alias("wrong_files"), status.alias("status"))
 
 
 @query("read_jsonl_permissive", """SELECT event_id, ts, user_id, event_type, note, CAST(NULL AS VARCHAR) AS parse_error FROM {raw}

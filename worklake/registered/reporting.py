@@ -378,12 +378,12 @@ def bi_color_split(spark, sf):
 
 @query("bi_detail_table", """SELECT triage_seq, fifo_seq, item_id, priority, outcome, finding, max(probability) AS probability,
   max(triage_wait_min) AS triage_wait, max(fifo_wait_min) AS fifo_wait FROM {v_outcome} WHERE is_latest = 1
-  GROUP BY ALL ORDER BY triage_seq, item_id LIMIT 1000""")
+  GROUP BY ALL ORDER BY triage_seq, item_id""")
 def bi_detail_table(spark, sf):
-    """The worklist of the latest day in triage order, the first 1000 rows as a table shows them."""
+    """The worklist of the latest day in triage order, all of it; a page is the caller's limit."""
     return D.visual(view_outcome(spark, sf), ["triage_seq", "fifo_seq", "item_id", "priority", "outcome", "finding"], {
         "probability": F.max("probability"), "triage_wait": F.max("triage_wait_min"), "fifo_wait": F.max("fifo_wait_min")},
-        [D.LATEST], [F.col("triage_seq"), F.col("item_id")], D.DEFAULT_LIMIT)
+        [D.LATEST], [F.col("triage_seq"), F.col("item_id")])
 
 
 @query("bi_pct_measure", """SELECT business_date, model, round(100 * max(sensitivity), 1) AS sens_pct, round(100 * max(specificity), 1) AS spec_pct

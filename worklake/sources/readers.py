@@ -88,6 +88,13 @@ def read_trailers(spark: SparkSession, path: str) -> DataFrame:
         F.count_if(~is_trailer).alias("data_lines"))
 
 
+def trailer_totals(trailers: DataFrame) -> DataFrame:
+    """One row: files, those whose own trailer says what is in them (agreeing), and both sums. A file without a trailer doesn't agree."""
+    agrees = F.coalesce(F.col("trailer") == F.col("data_lines"), F.lit(False))
+    return trailers.agg(F.count(F.lit(1)).alias("files"), F.count_if(agrees).alias("agreeing"), F.sum("trailer").alias("trailer"),
+                        F.sum("data_lines").alias("data_lines"))
+
+
 def read_csv(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     """CSV with a header line; the first record is on line 2."""
     schema = ", ".join(f"`{n}` string" for n in contract.names)
