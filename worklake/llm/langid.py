@@ -28,9 +28,17 @@ SIGNS = 128  # 0 is no letter, SIGNS - 1 any letter that no profile has
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, labelled: int = LABELLED) -> DataFrame:
-    """text and lang of the rows to learn from; their ids, at most `labelled`, are broadcast."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").withColumn("place", F.row_number().over(first))
+    """text and lang of the rows to learn from; their ids, at most `labelled`, are broadcast.
+
+    A language's rows are thinned by their hashes to about twice per_language before they are ranked, so that a ranking task's rows don't
+    grow with the input. Of more languages than `labelled` only the first by name can be in the sample; so many rows hold their counts.
+    """
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
+    counts = known.groupBy("lang").count().orderBy("lang").limit(labelled)
+    by_hash = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    thinned = known.join(F.broadcast(counts), "lang").where(by_hash / F.lit(2.0 ** 63) * F.col("count") <= 2 * per_language)
+    first = Window.partitionBy("lang").orderBy(by_hash, "doc_id")
+    ids = thinned.select("doc_id", "lang").withColumn("place", F.row_number().over(first))
     ids = ids.where(F.col("place") <= per_language).orderBy("place", "lang").limit(labelled).select("doc_id").distinct()
     return docs.join(F.broadcast(ids), "doc_id", "left_semi").where("lang IS NOT NULL").select("text", "lang")
 
