@@ -103,6 +103,15 @@ def test_jaccard(spark, docs, empty, monkeypatch):
     assert kept_ids.count(5) == 1 and 6 not in kept_ids and 50 not in kept_ids and kept_ids.count(None) == 2 and {0, 1, 2, 3, 8, 9} <= set(kept_ids)
 
 
+@pytest.mark.parametrize("n, least, words", [(3, 90, 11), (5, 80, 8)])
+@pytest.mark.parametrize("parts", [1, 2])
+def test_jaccard_keeps_nodes_with_just_enough(spark, n, least, words, parts):
+    text = " ".join(f"w{i}" for i in range(words))  # 9 of 10 shingles at 0.9, 4 of 5 at 0.8
+    pair = [(i, t, "en", "a", 1, 0.0, "x", "y", "z") for i, t in enumerate((text, text + " more"))]
+    got = jaccard.join(spark.createDataFrame(pair, SCHEMA).repartition(parts, "doc_id"), n, least)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == [(0, words - n + 1, 0), (1, words - n + 2, 0)]
+
+
 def test_licenses(spark, docs, empty):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", LICENSE.lower())

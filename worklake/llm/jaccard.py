@@ -268,9 +268,10 @@ def promising(marks: DataFrame, least: int) -> DataFrame:
     rows = claims(marks, least).withColumn("of_node", F.col("known").isNull())
     w = Window.partitionBy("shingle", "of_node")
     shared = F.max("known").over(w) | (F.min("node").over(w) != F.max("node").over(w))
-    rows = rows.select("node", "credit", "known", shared.alias("shared"))
+    rows = rows.select("node", "credit", "known", "of_node", shared.alias("shared"))
     credit = F.coalesce("credit", (F.col("shared") & ~F.col("known")).cast("long"))
-    return rows.select("node", credit.alias("credit")).where("credit <> 0").groupBy("node").agg(F.sum("credit").alias("credit")).where("credit >= 0").select("node")
+    # A node's own row stays at credit 0 too: it may be all that says the node has just what it needs.
+    return rows.select("node", "of_node", credit.alias("credit")).where("of_node OR credit <> 0").groupBy("node").agg(F.sum("credit").alias("credit")).where("credit >= 0").select("node")
 
 
 def signed(sets: DataFrame, least: int) -> DataFrame:
