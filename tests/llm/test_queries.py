@@ -200,6 +200,25 @@ def test_mixture(spark, docs, empty):
     assert mixture.taken(empty).count() == 0
 
 
+def test_mixture_of_whole_documents(spark):
+    lengths = {"a": [500] * 60, "hot": [3000] * 20, "k": [100, 900] * 20, "l": [500] * 60, "m": [500] * 20, "n": [500] * 40, "o": [500] * 60}  # the hot source is mixed to a part of its size
+    docs = [(i, f"d{i} " + "w " * (n - 1), "en", s, n) for i, (s, n) in enumerate((s, n) for s, of in lengths.items() for n in of)]
+    docs += [(None, "w " * 50, "en", "a", 1)] * 3
+    whole = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = mixture.taken(whole).collect()
+    shards = collections.Counter()
+    for r in found:
+        assert sum(x.words for x in r.spans) == r.taken and all(0 <= x.first and x.first + x.words <= r.size for x in r.spans)
+        for x in r.spans:
+            shards[x.shard] += x.words
+    size = {s: sum(len(d[1].split()) for d in docs if d[3] == s) for s in lengths}
+    goal = {s: next(r.target for r in found if r.source_size == size[s]) for s in lengths}
+    assert sum(shards.values()) == pytest.approx(sum(goal.values()), abs=3) and len(shards) > 1 and goal["hot"] < 0.5 * size["hot"]
+    mixed = mixture.stage(spark, whole, "").collect()
+    for s in lengths:
+        assert abs(sum(len(r.text.split()) for r in mixed if r.source == s) - goal[s]) <= max(lengths[s]), s
+
+
 def test_pipeline(spark, docs, empty, monkeypatch):
     import corpus_pipeline
 

@@ -3,7 +3,7 @@
 Only DataFrame functions. Every document's words lie in one stream per source, cut into blocks of BLOCK words. A source's goal is
 met by whole passes over its blocks and one part of a pass; in each pass the blocks follow a pseudorandom permutation, so no block
 comes twice in a pass. Each slot of a source is thrown at a shard by a hash: given the shards' sizes, the counts per shard are
-multinomial draws that keep every source's total.
+multinomial draws that keep every source's total. Each document says which spans of it go to which shard, in order.
 
 Null text: size 0. Null source: a source of its own, the last. Null ids and repeated rows: each row is a document; rows of equal id
 are ordered by a hash of their text. Documents without words take up no block and have taken 0. No rows: no rows.
@@ -21,12 +21,15 @@ BLOCK = 256  # words of a block
 SHARD = 256  # blocks of an output shard, on average
 BUCKETS = 1024  # pieces of a source's stream that are numbered apart
 WEIGHTS = (3, 1, 2)
+SPANS = "array<struct<epoch:long,first:long,words:long,shard:long,block:long>>"
+CLASSES, DEALT = 64, 64  # classes of sizes (four an octave) and pieces of each, in which whole copies are rounded
 PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)  # multipliers of the permutations
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, tie (a hash of the text), bucket (of the source's stream)."""
-    return (docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+    """doc_id, source, size, tie (a hash of the text), bucket (of the source's stream), row (two hashes of the whole row)."""
+    row = F.struct(F.xxhash64(*COLUMNS).alias("a"), F.xxhash64(F.lit(1), *COLUMNS).alias("b"))
+    return (docs.select("doc_id", "source", row.alias("row"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
                         F.xxhash64("text").alias("tie"))
             .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS)).cast("int")))
 
@@ -74,7 +77,7 @@ def slots(goals: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def streams(sizes: DataFrame, goals: DataFrame) -> DataFrame:
-    """doc_id, sid, size, source_size, target, start: the place of each document's first word in its source's stream."""
+    """doc_id, sid, size, tie, row, source_size, target, start: the place of each document's first word in its source's stream."""
     key = ["source", "bucket"]
     firsts = sizes.groupBy(*key).agg(F.sum("size").alias("held"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -85,11 +88,11 @@ def streams(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     placed = placed.join(firsts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     goals = goals.withColumnRenamed("source", "g")
     return (placed.join(goals, F.col("source").eqNullSafe(F.col("g")))
-            .select("doc_id", "sid", "size", "source_size", "target", (F.col("first") + F.col("in_bucket")).alias("start")))
+            .select("doc_id", "sid", "size", "tie", "row", "source_size", "target", (F.col("first") + F.col("in_bucket")).alias("start")))
 
 
-def taken(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document: the words that the mix takes of it, repeats counted."""
+def spans(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
+    """doc_id, sid, tie, row, size, source_size, target, taken, spans of every document, as taken() has them."""
     sizes = kept(sized(docs), "mixture-sizes")
     goals = kept(targets(sizes, share, most), "mixture-goals")
     placed = streams(sizes, goals)
@@ -98,15 +101,25 @@ def taken(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0) ->
              .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))))
              .withColumn("lo", F.greatest(F.lit(0), F.col("start") - F.col("block") * BLOCK))
              .withColumn("hi", F.least(F.lit(BLOCK), end - F.col("block") * BLOCK)))
-    by_block = slots(goals, seed).groupBy("sid", "block").agg(F.collect_list("words").alias("uses"))  # a use a pass, most + 1 at most
-    words = F.aggregate("uses", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least(F.col("hi"), w) - F.col("lo")))
-    used = (parts.join(by_block.hint("merge"), ["sid", "block"]).select("sid", "start", words.alias("words"))
-            .groupBy("sid", "start").agg(F.sum("words").alias("words")))
+    uses = F.collect_list(F.struct("epoch", "shard", "words")).alias("uses")  # a use a pass, most + 1 at most
+    by_block = slots(goals, seed).groupBy("sid", "block").agg(uses)
+    first = F.col("block") * BLOCK + F.col("lo") - F.col("start")
+    used = F.transform("uses", lambda u: F.struct(u["epoch"].alias("epoch"), first.alias("first"), (F.least(F.col("hi"), u["words"]) - F.col("lo")).alias("words"),
+                                                  u["shard"].alias("shard"), F.col("block").alias("block")))
+    used = (parts.join(by_block.hint("merge"), ["sid", "block"]).select("sid", "start", F.filter(used, lambda u: u["words"] > 0).alias("spans"))
+            .groupBy("sid", "start").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     # A document without words starts where the next one does: it has no part in the join.
     full = placed.where("size > 0").join(used.hint("merge"), ["sid", "start"], "left")
-    out = ["doc_id", "size", "source_size", "target"]
-    return (full.select(*out, F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
-            .unionByName(placed.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))))
+    none = F.array().cast(SPANS)
+    out = ["doc_id", "sid", "tie", "row", "size", "source_size", "target"]
+    found = full.select(*out, F.coalesce(F.col("spans").cast(SPANS), none).alias("spans")).unionByName(placed.where("size = 0").select(*out, none.alias("spans")))
+    return found.withColumn("taken", F.aggregate("spans", F.lit(0).cast("long"), lambda a, u: a + u["words"]))
+
+
+def taken(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
+    """doc_id, size, source_size, target, taken, spans of every document: the words that the mix takes of it, repeats counted, and each
+    stretch of them (pass, first word within the document, words, the shard it goes to, block of the source)."""
+    return spans(docs, share, most, seed).select("doc_id", "size", "source_size", "target", "taken", "spans")
 
 
 @query("op10_mix_sources")
@@ -114,12 +127,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def copies(taken_of: DataFrame) -> DataFrame:
+    """row, times: whole copies of each different row with some. A document comes taken / size times, rounded down or up.
+
+    What is left behind whole copies is summed along each source's documents by size, and a document gets one copy more where the sum
+    passes a half. So copies of a source are off by less than one, and words by about its largest document.
+    """
+    key = ["sid", "class", "piece"]
+    share = F.col("taken") / F.col("size")
+    rows = taken_of.where("size > 0").select("sid", "size", "doc_id", "tie", "row", F.floor(share).alias("whole"), (share - F.floor(share)).cast("decimal(24,18)").alias("rest"),
+                                             F.least(F.lit(CLASSES - 1), F.floor(4 * F.log2("size"))).alias("class"), F.pmod(F.col("row.a"), F.lit(DEALT)).alias("piece"))
+    upto = Window.partitionBy("sid").orderBy("class", "piece").rowsBetween(Window.unboundedPreceding, 0)  # CLASSES * DEALT rows at most
+    firsts = rows.groupBy(*key).agg(F.sum("rest").alias("held"))
+    firsts = firsts.withColumn("before", F.sum("held").over(upto) - F.col("held")).drop("held")
+    within = Window.partitionBy(*key).orderBy("size", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum", F.sum("rest").over(within)).join(firsts, key)
+    passed = [F.floor(F.col("before") + F.col("sum") - x + F.lit("0.5").cast("decimal(2,1)")) for x in (F.lit(0), F.col("rest"))]
+    times = (F.col("whole") + passed[0] - passed[1]).cast("long")
+    return rows.groupBy("row").agg(F.sum(times).cast("int").alias("times")).where("times > 0")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in whole documents: each comes as often as the mix takes it, to the nearest whole number."""
-    counts = taken(docs).where("taken * 2 >= size AND size > 0")
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    # Rows of one id share their counts, so that each row's place is found without a number of its own.
-    counts = counts.select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.max("times").alias("times"))
-    counts = counts.withColumnRenamed("doc_id", "mixed_id")
-    return (docs.select(*COLUMNS).join(counts, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    """The mix in whole documents: each comes as often as the mix takes it, rounded so that each source has the words it should have.
+
+    The columns of documents hold no shard: which shard a stretch of a document goes to is a column of taken().
+    """
+    taken_of = kept(spans(docs).select("doc_id", "sid", "tie", "row", "size", "taken"), "mixture-taken")
+    counts = copies(taken_of).select(F.col("row.a").alias("a"), F.col("row.b").alias("b"), "times")
+    # Equal rows share their copies: each different row is taken once.
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("a"), F.xxhash64(F.lit(1), *COLUMNS).alias("b")).dropDuplicates(["a", "b"])
+    return (rows.join(counts, ["a", "b"])
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS))
