@@ -123,6 +123,21 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == len(ROWS) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_languages_of_many_scripts():
+    profile = {"zh": [chr(0x4E00 + i) for i in range(200)] + [chr(0x4E00 + i) + chr(0x4E00 + i * 7 % 200) for i in range(150)],
+               "ru": [chr(0x430 + i) for i in range(32)] + [chr(0x430 + i) + chr(0x430 + i * 5 % 32) for i in range(32)],
+               "el": [chr(0x3B1 + i) for i in range(25)] + [chr(0x3B1 + i) + chr(0x3B1 + i * 3 % 25) for i in range(25)],
+               "aa": [" a", "a ", "a"]}
+    texts = ["".join(profile["zh"][150:200]), "".join(profile["ru"][:20]), "".join(profile["el"][:20]), "a a", "ქართული", "1 2"]
+    both = []
+    for dense in (langid.DENSE, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(langid, "DENSE", dense, raising=False)
+            both.append(langid.Ranker(profile)(texts))
+    assert both[0] == both[1] and both[0][0] == ["zh", "ru", "el", "aa", "aa", "und"]
+    assert min(both[0][1][:4]) > 0.05 and both[0][1][4:] == [0, 0]
+
+
 def test_languages(spark, docs, empty):
     found = langid.profiles(langid.sample(docs))
     got = {r.doc_id: r for r in langid.predict(docs, found).collect()}

@@ -24,7 +24,8 @@ PROFILE = 400
 PER_LANGUAGE = 3000
 LABELLED = 50_000
 UNKNOWN = "und"
-SIGNS = 128  # 0 is no letter, SIGNS - 1 any letter that no profile has
+DENSE = 1 << 22  # codes of n-grams up to which a table is held for them; more are looked up in sorted order
+CELLS = 4_000_000  # counts of documents and n-grams that are held together
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, labelled: int = LABELLED) -> DataFrame:
@@ -74,52 +75,73 @@ def profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, list[str]]:
     return found
 
 
+class Numbers:
+    """Numbers 0, 1, ... of codes in their order; `none` for any other code."""
+
+    def __init__(self, codes: dict[int, int], none: int, most: int):
+        self.none = none
+        self.codes = np.array(sorted(codes) or [-1], np.int64)
+        self.numbers = np.array([codes[c] for c in sorted(codes)] or [none], np.int32)
+        self.table = None
+        if most <= DENSE:
+            self.table = np.full(most, none, np.int32)
+            self.table[list(codes)] = list(codes.values())
+
+    def __getitem__(self, asked: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[asked]
+        at = np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)
+        return np.where(self.codes[at] == asked, self.numbers[at], self.none)
+
+
 class Ranker:
-    """Profiles as tables over signs: letters of the profiles are numbered, an n-gram is an index of one to three signs."""
+    """Profiles over signs: all letters of the profiles are numbered, an n-gram is a code of one to three signs. 0 is no letter, the last
+    sign any letter that no profile has."""
 
     def __init__(self, found: dict[str, list[str]]):
         self.langs = sorted(found)
-        use = Counter(c for grams in found.values() for g in grams for c in g if c != " ")
-        letters = [c for c, _ in sorted(use.items(), key=lambda x: (-x[1], x[0]))][:SIGNS - 2]
+        letters = sorted({c for grams in found.values() for g in grams for c in g if c != " "})
         self.sign = {c: i + 1 for i, c in enumerate(letters)}
-        known = [g for g in sorted({g for grams in found.values() for g in grams}) if all(c == " " or c in self.sign for c in g)]
+        self.base = len(letters) + 2
+        known = sorted({g for grams in found.values() for g in grams})
         self.size = len(known)
         number = {g: i for i, g in enumerate(known)}
-        self.tables = [np.full(SIGNS ** order, self.size, np.int16) for order in (1, 2, 3)]
+        codes: list[dict[int, int]] = [{}, {}, {}]
         for g, i in number.items():
             at = 0
             for c in g:
-                at = at * SIGNS + self.sign.get(c, 0)
-            self.tables[len(g) - 1][at] = i
+                at = at * self.base + self.sign.get(c, 0)
+            codes[len(g) - 1][at] = i
+        self.tables = [Numbers(c, self.size, self.base ** (k + 1)) for k, c in enumerate(codes)]
         self.furthest = max(map(len, found.values()), default=1)
         self.ranks = np.full((len(self.langs), self.size), self.furthest, np.int32)
         for row, lang in zip(self.ranks, self.langs):
             for rank, g in enumerate(found[lang]):
-                if g in number:
-                    row[number[g]] = rank
+                row[number[g]] = rank
         self.signs = None
 
     def _signs(self, codes: np.ndarray) -> np.ndarray:
         if self.signs is None:  # once a worker; not sent from the driver
-            self.signs = np.fromiter((SIGNS - 1 if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint8, 0x110000)
+            self.signs = np.fromiter((self.base - 1 if chr(c).isalpha() else 0 for c in range(0x110000)), np.int32, 0x110000)
             for c, i in self.sign.items():
                 self.signs[ord(c)] = i
         return self.signs[codes]
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for at in range(0, len(texts), 256):
-            low = [t.lower() for t in texts[at:at + 256]]
+        step = min(256, max(1, CELLS // (self.size + 1)))
+        for at in range(0, len(texts), step):
+            low = [t.lower() for t in texts[at:at + step]]
             n = len(low)
             signs = self._signs(np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32))
             lengths = np.array([len(t) + 1 for t in low])
             lengths[-1] += 1
             doc = np.concatenate([[0], np.repeat(np.arange(n), lengths)])[:len(signs)]
-            wide, index = self.size + 1, signs.astype(np.int32)
+            wide, index = self.size + 1, signs.astype(np.int64)
             counts = np.zeros(n * wide, np.int64)
             for order in (1, 2, 3):
                 if order > 1:
-                    index = index[:-1] * SIGNS + signs[order - 1:]
+                    index = index[:-1] * self.base + signs[order - 1:]
                 held = self.tables[order - 1][index]
                 counts += np.bincount(doc[order - 1:] * wide + held, minlength=n * wide)  # an n-gram counts where it ends
             counts = counts.reshape(n, wide)[:, :self.size]
