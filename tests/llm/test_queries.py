@@ -123,6 +123,15 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == len(ROWS) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_a_file_with_many_notices(spark, empty):
+    four = [notice for label, notice, _ in licenses.TEMPLATES if label in ("mit-text", "bsd-text", "isc-text", "mpl-2.0")]
+    texts = [" and so on. ".join(four), "\n\n".join(t[1] for t in licenses.TEMPLATES), "nothing of the kind", four[0]]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert {"mit-text", "bsd-text", "isc-text", "mpl-2.0"} <= set(got[0].labels.split(",")) and got[0].score == 1
+    assert {t[0] for t in licenses.TEMPLATES} <= set(got[1].labels.split(","))
+    assert got[2].labels == "" and got[3].labels == "mit-text"
+
+
 def test_languages_of_many_scripts():
     profile = {"zh": [chr(0x4E00 + i) for i in range(200)] + [chr(0x4E00 + i) + chr(0x4E00 + i * 7 % 200) for i in range(150)],
                "ru": [chr(0x430 + i) for i in range(32)] + [chr(0x430 + i) + chr(0x430 + i * 5 % 32) for i in range(32)],

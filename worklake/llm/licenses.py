@@ -1,9 +1,9 @@
 """License scans: a positional index of rare licence words, intersected by relative position, with mandatory key phrases.
 
 Only DataFrame functions. One pass over the texts keeps, per document, the places of the licence words and of the key phrases. From
-these the document frequencies of the licence words are counted over all documents; each file looks up its RARE highest-IDF licence
-words in the templates' postings, places of equal template and relative position are added up, and a template counts where its key
-phrase stands at that very position and words of at least AGREE of its weight agree.
+these the document frequencies of the licence words are counted over all documents. The mandatory key phrases give the candidates
+(template and relative position); a file with any looks up all its licence words in the templates' postings, places of equal template
+and relative position are added up by IDF, and a template counts where words of at least AGREE of its weight agree with its key phrase.
 
 Null or empty text: no words, no places, empty label lists, score 0. Null ids and repeated rows: each row is scanned by itself.
 No rows: no rows.
@@ -11,13 +11,12 @@ No rows: no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklake.llm.common import kept, query, table
 
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-RARE = 12  # licence words that a file looks up
 AGREE = 0.6  # least share of a template's weight
 
 # Phrases and their labels as the contract gives them.
@@ -92,15 +91,14 @@ def template_matches(scan: DataFrame) -> DataFrame:
     counts = of_file.groupBy("word").count()  # a row for each word of INDEX at most, as all that is broadcast here
     idf = counts.crossJoin(scan.agg(F.count(F.lit(1)).alias("n"))).select("word", F.log((F.col("n") + 1) / (F.col("count") + 0.5)).alias("idf"))
     idf = idf.withColumn("idf", F.greatest(F.lit(0.01), "idf"))
-    rarest = Window.partitionBy("rid").orderBy(F.desc("idf"), "word")
-    looked_up = of_file.join(F.broadcast(idf), "word").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= RARE).drop("place")
     postings = spark.createDataFrame(POSTINGS, "word string, template int, tpos int")
     weights = postings.join(F.broadcast(idf), "word").groupBy("template").agg(F.sum("idf").alias("weight"))
-    agreed = (hits.join(looked_up, ["rid", "word"]).join(F.broadcast(postings), "word")
-              .groupBy("rid", "template", (F.col("pos") - F.col("tpos")).alias("origin")).agg(F.sum("idf").alias("agreed")))
     number = spark.createDataFrame([(k, t, off, label) for k, (label, _, t, off) in enumerate(PHRASES) if t >= 0], "number int, template int, off int, label string")
     keys = scan.select("rid", F.explode("phrases").alias("p")).select("rid", "p.number", "p.pos").join(F.broadcast(number), "number")
     keys = keys.select("rid", "template", (F.col("pos") - F.col("off")).alias("origin"), "label").distinct()
+    # All hits of a file with a key phrase: what agrees at a place doesn't depend on what else the file holds.
+    agreed = (hits.join(keys.select("rid").distinct(), "rid", "left_semi").join(F.broadcast(postings.join(F.broadcast(idf), "word")), "word")
+              .groupBy("rid", "template", (F.col("pos") - F.col("tpos")).alias("origin")).agg(F.sum("idf").alias("agreed")))
     fits = agreed.join(keys, ["rid", "template", "origin"]).join(F.broadcast(weights), "template")
     fits = fits.withColumn("share", F.least(F.lit(1.0), F.col("agreed") / F.col("weight"))).where(F.col("share") >= AGREE)
     return fits.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
