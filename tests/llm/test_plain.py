@@ -1,5 +1,6 @@
 """Parts without Spark against brute force."""
 
+import itertools
 import random
 import sys
 
@@ -127,6 +128,13 @@ def test_walk_one_by_one_equals_walk_together(monkeypatch):
     assert all(np.array_equal(edits.Walk().bits([c])[0], b) for c, b in zip(codes, together))
 
 
+def test_walks_of_short_texts_do_not_depend_on_their_number():
+    texts = ["".join(x) for n in (1, 2, 3) for x in itertools.product("abcdefghijklmnop", repeat=n)]
+    walk, codes = edits.Walk(), [edits.codes_of(t) for t in texts]
+    many = [b for i in range(0, len(codes), 1000) for b in walk.bits(codes[i:i + 1000])]
+    assert all(np.array_equal(walk.bits([c])[0], b) for c, b in zip(codes, many))
+
+
 def test_likeness_falls_with_edits():
     random.seed(6)
     text = "".join(random.choice("etaoin shrdlu") for _ in range(3000))

@@ -91,7 +91,8 @@ class Walk:
             c = flat[pos]
             column = self.columns.get(j)
             if column is not None and column < wide:
-                out[row, column] = (c * self.marks[0, column] + self.marks[1, column]) >> 31
+                on = limit > j  # a walk ends at its limit, also between two looks at the ends
+                out[row[on], column] = (c[on] * self.marks[0, column] + self.marks[1, column]) >> 31
             pos = pos + ((c * move[j % CHUNK] + shift[j % CHUNK]) >> 31)
             j += 1
         for r, p, e in zip(row.tolist(), pos.tolist(), end.tolist()):
