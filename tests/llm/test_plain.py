@@ -110,6 +110,12 @@ def test_base_spans_equal_the_patterns():
     assert len(pii.base_spans("a" * 200_000 + "@b.c")[0]) == 1
 
 
+def test_secrets_of_any_length_are_candidates():
+    for token in ("eyJ" + "aB3_" * 200, "sk-abcdefghijklmnopqrstuv"):
+        assert [c[:3] for c in pii.candidates(f"the key {token} is")] == [(4, 8, 8 + len(token))]
+    assert pii.candidates("a" * 19 + " " + "b" * 19) == []
+
+
 def test_em_tells_good_votes_from_bad():
     rows = [(0, "1111" + "5", 500), (2, "1112" + "5", 300), (4, "2111" + "6", 80), (4, "2000" + "6", 90), (3, "0121" + "5", 9), (3, "0000" + "5", 40)]
     good = set(pii.train(rows))
