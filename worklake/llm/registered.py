@@ -6,7 +6,7 @@ from importlib import import_module
 
 from worklake.llm import common
 
-MODULES = ("mixture", "licenses", "langid", "quality", "pii", "fagin", "edits", "bpe", "counts", "jaccard", "secrets", "treap")
+MODULES = ("mixture", "licenses", "langid", "quality", "pii", "fagin", "edits", "bpe", "counts", "jaccard", "secrets", "treap", "collocations")
 
 
 def all_queries() -> dict:
