@@ -156,3 +156,40 @@ def test_likeness_falls_with_edits():
 
 def test_index_words_are_in_the_notices():
     assert all(notice.count(key) == 1 for _, notice, key in licenses.TEMPLATES)
+
+
+@pytest.mark.parametrize("least, most", [(80, 0.05), (90, 0.01)])
+def test_unrelated_sets_share_no_part_by_chance(least, most):
+    rng = np.random.default_rng(1)
+    parts = jaccard.Parts(least)
+    for size in (200, 1000, 2000, 10_000):
+        signed = [set(parts.of(np.sort(rng.integers(0, 2 ** 64, size, dtype=np.uint64))).tolist()) for _ in range(30)]
+        tied = sum(bool(a & b) for a, b in itertools.combinations(signed, 2))
+        assert tied <= most * 435
+
+
+@pytest.mark.parametrize("least", [80, 90])
+def test_linked_sets_share_a_part(least):
+    rng = np.random.default_rng(2)
+    parts = jaccard.Parts(least)
+    for size in (1, 2, 5, 8, 9, 10, 30, 100, 1000):
+        for _ in range(50):
+            a = np.unique(rng.integers(0, 2 ** 64, size, dtype=np.uint64))
+            cut = int(rng.integers(0, size // 3 + 1))
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2 ** 64, int(rng.integers(0, size // 3 + 1)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= least * (len(a) + len(b) - both):
+                assert set(parts.of(a).tolist()) & set(parts.of(b).tolist())
+
+
+def test_slices_hold_every_row():
+    import pyarrow as pa
+
+    from worklake.llm import common
+
+    texts = ["a" * n if n % 7 else None for n in (0, 1, 5, 7, 100, 3, 14, 2, 50)] + [""]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    for limit in (1, 10, 60, 10 ** 6):
+        cut = list(common.slices([batch, batch.slice(0, 0)], limit))
+        assert [r for part in cut for r in part.to_pylist()] == batch.to_pylist() and (limit > 1000) == (len(cut) == 1)
+        assert all(part.num_rows == 1 or sum(len(t or "") + 1 for t in part["text"].to_pylist()[:-1]) <= limit + 1 for part in cut)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -52,9 +54,19 @@ def pieces(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches of about `limit` bytes of column text, one row at least; only a part's rows become Python values."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy()
+        number = (np.cumsum(sizes + 1) - sizes - 1) // limit if len(sizes) else sizes
+        cuts = np.flatnonzero(np.diff(number, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str,
               limit: int = 4_000_000) -> DataFrame:
-    """df through a function from columns (as lists) to columns, over pieces of about `limit` characters of column text.
+    """df through a function from columns (as lists) to columns, over parts of about `limit` bytes of column text.
 
     make() runs once a task and returns the function; a null text reaches it as "" (and as None in column raw).
     """
@@ -62,13 +74,12 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
-        for batch in batches:
-            cols = batch.to_pydict()
+        for part in slices(batches, limit):
+            fn = fn or make()
+            cols = part.to_pydict()
             cols["raw"] = cols["text"]
             cols["text"] = [t or "" for t in cols["raw"]]
-            fn = fn or make()
-            for a, b in pieces(cols["text"], limit):
-                got = fn({k: v[a:b] for k, v in cols.items()})
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+            got = fn(cols)
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)

@@ -9,7 +9,8 @@ from worklake.llm.common import kept
 
 
 def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    """Tells one set of links from another: their number and the whole sum of their 64-bit hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

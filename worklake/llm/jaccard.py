@@ -86,6 +86,7 @@ class Parts:
 
     def __init__(self, least: int):
         self.least, self.bounds = least, [1]
+        self.spares: dict[int, int] = {}
 
     def size_class(self, n: int) -> int:
         while self.bounds[-1] <= n:
@@ -97,12 +98,27 @@ class Parts:
         own = self.size_class(len(s))
         return np.concatenate([self.signed(s, q) for q in (own, own + 1)]) if len(s) else np.zeros(0, np.int64)
 
+    def spare(self, q: int, differ: int) -> int:
+        """So many empty parts need not be told: what a set of the class before, the smallest signed here, has by chance. An empty part
+        that is told ties unrelated sets; too many spare parts are shorter ones. Either way no link is lost."""
+        lowest, most = self.bounds[max(0, q - 1)], 4 + differ // 8 if differ else 0
+        spare = 0
+        while spare < most:
+            n = differ + 1 + spare
+            empty = n * math.exp(-lowest / n)
+            if empty + 4 * math.sqrt(empty) <= spare:
+                break
+            spare += 1
+        return spare
+
     def signed(self, s: np.ndarray, q: int) -> np.ndarray:
         while len(self.bounds) < q + 2:
             self.bounds.append(self.bounds[-1] * 100 // self.least + 1)
         largest = self.bounds[q + 1] - 1
         differ = 2 * largest * (100 - self.least) // (100 + self.least)
-        spare = 1 + differ // 300 if differ else 0  # so many empty parts need not be told
+        if q not in self.spares:
+            self.spares[q] = self.spare(q, differ)
+        spare = self.spares[q]
         n = differ + 1 + spare
         place = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # rises with the hash: a part lies together
         first = np.searchsorted(place, np.arange(n, dtype=np.uint64))
