@@ -17,10 +17,12 @@ are cut into pieces at separators only. No rows: no rows. Products are decimals:
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,51 +62,65 @@ class Unit:
     """Words of texts of one language as numbers; 0 stands between pieces, 1 for the nothing between two blanks."""
 
     def __init__(self, lang: str):
-        self.lang, self.numbers, self.ids = lang, Numbers({b"\n": 0, b"": 1}), [0]
+        self.lang, self.numbers, self.ids = lang, Numbers({b"\n": 0, b"": 1}), array("q", [0])
 
     def add(self, text: bytes) -> int:
         words = text.translate(FOLD).replace(b"\n", b" \n ").split(b" ")
-        self.ids += map(self.numbers.__getitem__, words)
+        self.ids.extend(map(self.numbers.__getitem__, words))
         self.ids.append(0)
         return len(words)
 
     def stripes(self, pairs: np.ndarray | None, bits: int, groups: int) -> Iterator[pa.RecordBatch]:
         """Packed stripes: of prefixes of none and one word without a map of pairs, of two to four words with one."""
-        ids = np.array(self.ids, np.int64)
+        ids = np.frombuffer(self.ids, np.int64)
         ids = ids[ids != 1]
-        words = np.array(list(self.numbers), object)
-        hashes = np.array([zlib.crc32(w) for w in words], np.int64)
-        phrases, last = np.array([b""], object), np.zeros(1, np.int64)
-        places, prefix_at = np.arange(len(ids)), np.zeros(len(ids), np.int64)  # places that follow a phrase, and its number
-        for size in range(2 if pairs is None else LONGEST):
-            inside = ids[places] > 0
-            places, prefix_at = places[inside], prefix_at[inside]
-            if pairs is not None and size:
+        names = list(self.numbers)
+        words = np.array(names, object)
+        hashes = np.array([zlib.crc32(w) for w in names], np.int64)
+        arrow = pa.array(names, pa.binary())
+        places = np.flatnonzero(ids > 0)
+        if not len(places):
+            return
+        if pairs is None:
+            counts = np.bincount(ids[places], minlength=len(words))
+            word = np.flatnonzero(counts)
+            yield self._packed([b""], np.zeros(len(word), np.int64), word, arrow, hashes, counts[word], groups)
+        phrases, last, prefix_at = words, np.arange(len(words)), ids[places]  # the phrase that ends at a place, its last word
+        for size in range(1, 2 if pairs is None else LONGEST):
+            on = ids[places + 1] > 0  # the last id is a 0
+            places, prefix_at = places[on] + 1, prefix_at[on]
+            if pairs is not None:
                 bit = pair_bits(self.lang, hashes[last[prefix_at]], hashes[ids[places]], bits)
-                open_ = (pairs[bit >> 3] >> (bit & 7) & 1).astype(bool)
-                places, prefix_at = places[open_], prefix_at[open_]
+                on = (pairs[bit >> 3] >> (bit & 7) & 1).astype(bool)
+                places, prefix_at = places[on], prefix_at[on]
             if not len(places):
                 return
             code, found = np.unique(prefix_at * len(words) + ids[places], return_inverse=True)
             prefix, word = code // len(words), code % len(words)
-            if (size < 2) == (pairs is None):
-                yield from self._packed(size, phrases, prefix, words, word, hashes, np.bincount(found), groups)
-            phrases, last = phrases[prefix] + (b" " if size else b"") + words[word], word
-            places, prefix_at = places + 1, found
-            places, prefix_at = places[places < len(ids)], prefix_at[places < len(ids)]
+            if pairs is None or size > 1:
+                yield self._packed(phrases.tolist(), prefix, word, arrow, hashes, np.bincount(found), groups)
+            if pairs is not None:
+                phrases, last, prefix_at = phrases[prefix] + b" " + words[word], word, found
 
-    def _packed(self, size, names, prefix, words, word, hashes, counts, groups) -> Iterator[pa.RecordBatch]:
+    def _packed(self, phrases: list[bytes], prefix, word, arrow: pa.Array, hashes, counts, groups: int) -> pa.RecordBatch:
+        """The stripes of one length of prefix, a row for each group."""
         seed = zlib.crc32(self.lang.encode())
-        start = np.array([zlib.crc32(p, seed) for p in names], np.int64)
-        part = hashes[word] if size == 0 else (hashes[word] >> 7) % PARTS
+        start = np.array([zlib.crc32(p, seed) for p in phrases], np.int64)
+        part = hashes[word] if phrases == [b""] else (hashes[word] >> 7) % PARTS
         group = ((start[prefix] * 1_000_003 + part) % 2_147_483_647) % groups
         order = np.lexsort((word, prefix, group))
         group, prefix, word, counts = group[order], prefix[order], word[order], counts[order]
-        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        for a, b in zip(cuts, np.r_[cuts[1:], len(group)]):
-            first = np.flatnonzero(np.r_[True, prefix[a + 1:b] != prefix[a:b - 1]])
-            row = (group[a], self.lang, names[prefix[a:b][first]].tolist(), np.diff(np.r_[first, b - a]), words[word[a:b]].tolist(), counts[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _STRIPES)], schema=_STRIPES)
+        new_group = np.r_[True, group[1:] != group[:-1]]
+        heads = np.flatnonzero(new_group | np.r_[True, prefix[1:] != prefix[:-1]])  # where a stripe begins
+        cuts = np.flatnonzero(new_group)
+        ends = pa.array(np.append(cuts, len(group)), pa.int32())
+        of_heads = pa.array(np.searchsorted(heads, np.append(cuts, len(group))), pa.int32())
+        sizes = np.diff(np.append(heads, len(group))).astype(np.int32)
+        columns = [pa.array(group[cuts], pa.int64()), pa.array([self.lang] * len(cuts), pa.string()),
+                   pa.ListArray.from_arrays(of_heads, pa.array(phrases, pa.binary()).take(pa.array(prefix[heads]))),
+                   pa.ListArray.from_arrays(of_heads, pa.array(sizes)), pa.ListArray.from_arrays(ends, arrow.take(pa.array(word))),
+                   pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64)))]
+        return pa.RecordBatch.from_arrays(columns, schema=_STRIPES)
 
 
 def stripes(docs: DataFrame, groups: int, pairs: bytes | None = None, bits: int = 0) -> DataFrame:
@@ -145,6 +161,10 @@ def _merge(least: int):
             code, found = np.unique(prefix * len(words.dictionary) + np.asarray(words.indices), return_inverse=True)
             counts = np.zeros(len(code), np.int64)
             np.add.at(counts, found, np.asarray(flat["counts"]))
+            root = pc.index(prefixes.dictionary, pa.scalar(b"", pa.binary())).as_py()
+            if root >= 0:  # this group's part of the language's words
+                for name, value in zip(out, (lang, 0, None, int(counts[code // len(words.dictionary) == root].sum()))):
+                    out[name].append(value)
             for c, a in zip(code[counts >= least].tolist(), counts[counts >= least].tolist()):
                 p, w = prefixes.dictionary[c // len(words.dictionary)].as_py(), words.dictionary[c % len(words.dictionary)].as_py()
                 out["lang"].append(lang)
@@ -155,9 +175,9 @@ def _merge(least: int):
     return run
 
 
-def merged(packed: DataFrame, least: int) -> DataFrame:
-    """lang, size, phrase, a of the entries of all stripes that reach least."""
-    return packed.groupBy("grp").applyInArrow(_merge(least), ENTRIES)
+def merged(packed: DataFrame, groups: int, least: int) -> DataFrame:
+    """lang, size, phrase, a of the entries of all stripes that reach least; rows of size 0 hold parts of a language's words."""
+    return packed.repartition(max(8, groups // 4), "grp").groupBy("grp").applyInArrow(_merge(least), ENTRIES)
 
 
 def pair_map(entries: DataFrame, bits: int) -> bytes:
@@ -177,22 +197,19 @@ def pair_map(entries: DataFrame, bits: int) -> bytes:
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, size, phrase, a of all phrases of one to LONGEST words that stand least times or more; size 0 with phrase null is n."""
+    """lang, size, phrase, a of all phrases of one to LONGEST words that stand least times or more; rows of size 0 sum up to n."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0  # at most as many words
     groups = max(8, -(-chars // (4 * GROUP)))
     bits = min(PAIR_BITS, max(16, int(chars // 8).bit_length()))
-    first = kept(stripes(docs, groups), "stripes-1")
-    n = first.where(F.get("prefixes", F.lit(0)) == F.lit(b"")).select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("a"))
-    n = n.groupBy("lang").agg(F.sum("a").alias("a")).select("lang", F.lit(0).alias("size"), F.lit(None).cast("string").alias("phrase"), "a")
-    short = kept(merged(first, least).unionByName(n), "collocations-1")
-    long = merged(stripes(docs, groups, pair_map(short, bits), bits), least)
+    short = kept(merged(stripes(docs, groups), groups, least), "collocations-1")
+    long = merged(stripes(docs, groups, pair_map(short, bits), bits), groups, least)
     return short.unionByName(kept(long, "collocations-2"))
 
 
 def ranked(counts: DataFrame, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first phrases by score and a, falling, and phrase, from frequent()."""
-    n = counts.where("size = 0").select("lang", F.col("a").alias("n"))
+    n = counts.where("size = 0").groupBy("lang").agg(F.sum("a").alias("n"))
     phrases = counts.where("size >= 2").select("lang", "size", "phrase", "a", F.split("phrase", " ").alias("words"))
     part = counts.where("size >= 1").select("lang", "phrase", "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
