@@ -16,6 +16,7 @@ from worklake.session import scratch_path
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+ROWS_A_BATCH, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]  # of documents
 
 
@@ -35,10 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the cluster's shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once to the cluster's shared folder and read again: cuts lineage, survives lost executors.
+
+    Rows go to Python workers by BATCH while it is written: whole texts are wide, and Spark's 10,000 rows a batch would be held several
+    times over at both ends.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(ROWS_A_BATCH)
+    spark.conf.set(ROWS_A_BATCH, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ROWS_A_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pieces(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
