@@ -20,10 +20,10 @@ def spark():
 
 
 @pytest.fixture
-def small_groups(spark):
-    """Any group of more than a handful of rows counts as too large for one task."""
-    from worklake.session import MAX_GROUP_ROWS
+def small_pieces(spark):
+    """Ordered scans are cut into pieces of a handful of rows."""
+    from worklake.session import PIECE_ROWS
 
-    spark.conf.set(MAX_GROUP_ROWS, "8")
+    spark.conf.set(PIECE_ROWS, "8")
     yield
-    spark.conf.unset(MAX_GROUP_ROWS)
+    spark.conf.unset(PIECE_ROWS)

@@ -1,6 +1,7 @@
-"""Hand-checked cases and brute-force comparisons; every operator with a path for large groups runs both ways."""
+"""Hand-checked cases and brute-force comparisons; scans run over one piece and over many."""
 
 import bisect
+import dataclasses
 import math
 import random
 import statistics
@@ -12,22 +13,28 @@ from pyspark.sql import functions as F
 
 from worklake.functions import arrays, scalars
 from worklake.operators import drift, evaluate, governance, latest, outcomes, recon, sampling, scoring, training
-from worklake.operators.ordered import COUNT, MAX, SUM, running
+from worklake.operators.ordered import CHUNK, COUNT, MAX, SUM, chunk, running
 from worklake.operators.quantiles import exact_quantiles
 
-HOT = pytest.mark.parametrize("hot", [False, True])
+
+
+@pytest.fixture(params=["1000000", "8"])
+def pieces(spark, request):
+    """One piece, and pieces of a handful of rows."""
+    spark.conf.set("spark.worklake.pieceRows", request.param)
+    yield
+    spark.conf.unset("spark.worklake.pieceRows")
 
 
 def values(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-@HOT
-def test_running(spark, small_groups, hot):
+def test_running(spark, pieces):
     rng = random.Random(1)
     rows = [(rng.choice("aab"), i, rng.choice([None, *range(9)])) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, i int, v int")
-    got = running(df, ["k"], [F.col("i")], {"n": (COUNT,), "s": (SUM, F.col("v")), "m": (MAX, F.col("v"))}, hot)
+    got = running(df, ["k"], [F.col("i")], {"n": (COUNT,), "s": (SUM, F.col("v")), "m": (MAX, F.col("v"))})
     by = {r["i"]: r for r in got.collect()}
     assert len(by) == 200
     for k in "ab":
@@ -37,41 +44,35 @@ def test_running(spark, small_groups, hot):
             assert (by[i]["n"], by[i]["s"], by[i]["m"]) == (n, sum(seen) if seen else None, max(seen) if seen else None)
 
 
-@HOT
-def test_quantiles(spark, small_groups, hot):
+def test_quantiles(spark, pieces):
     rng = random.Random(2)
     groups = {k: [round(rng.gauss(0, 5), 1) for _ in range(n)] for k, n in (("a", 61), ("b", 10), ("c", 1))}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]], "k string, v double")
     probs = {"q10": 0.1, "median": 0.5, "p90": (0.9, "index")}
-    for r in exact_quantiles(df, ["k"], "v", probs, hot).collect():
+    for r in exact_quantiles(df, ["k"], "v", probs).collect():
         vs = sorted(groups[r["k"]])
         assert r["q10"] == pytest.approx(np.quantile(vs, 0.1))
         assert r["median"] == pytest.approx(statistics.median(vs))
         assert r["p90"] == vs[min(len(vs) - 1, int(0.9 * len(vs)))]
     everything = [v for vs in groups.values() for v in vs]
-    assert exact_quantiles(df, [], "v", {"m": 0.5}, hot).first()["m"] == pytest.approx(np.quantile(everything, 0.5))
-
-
-@pytest.mark.parametrize("limit", ["1000000", "8"])
-def test_ranking_metrics_with_ties(spark, limit):
-    spark.conf.set("spark.worklake.maxGroupRows", limit)
-    try:
-        rng = random.Random(3)
-        rows = [(rng.randint(0, 1), round(rng.random(), 1)) for _ in range(80)]
-        df = spark.createDataFrame(rows, "y int, s double")
-        pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
-        pairs = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
-        assert evaluate.auroc(df, "y", "s").first()[0] == pytest.approx(pairs / len(pos) / len(neg))
-        ap = 0.0
-        for t in sorted(set(s for _, s in rows), reverse=True):
-            above = [y for y, s in rows if s >= t]
-            ap += sum(1 for y, s in rows if y and s == t) / len(pos) * sum(above) / len(above)
-        assert evaluate.auprc(df, "y", "s").first()[0] == pytest.approx(ap)
-        assert evaluate.choose_threshold(df, "y", "s", 0.9).first()[0] == sorted(pos)[int(np.floor((1 - 0.9) * len(pos)))]
-        assert evaluate.choose_threshold(df.where("y = 0"), "y", "s", 0.9).first()[0] == 0.5
-        assert evaluate.brier(df, "y", "s").first()[0] == pytest.approx(np.mean([(s - y) ** 2 for y, s in rows]))
-    finally:
-        spark.conf.unset("spark.worklake.maxGroupRows")
+    assert exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(np.quantile(everything, 0.5))
+
+
+def test_ranking_metrics_with_ties(spark, pieces):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 1), round(rng.random(), 1)) for _ in range(80)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    pairs = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+    assert evaluate.auroc(df, "y", "s").first()[0] == pytest.approx(pairs / len(pos) / len(neg))
+    ap = 0.0
+    for t in sorted(set(s for _, s in rows), reverse=True):
+        above = [y for y, s in rows if s >= t]
+        ap += sum(1 for y, s in rows if y and s == t) / len(pos) * sum(above) / len(above)
+    assert evaluate.auprc(df, "y", "s").first()[0] == pytest.approx(ap)
+    assert evaluate.choose_threshold(df, "y", "s", 0.9).first()[0] == sorted(pos)[int(np.floor((1 - 0.9) * len(pos)))]
+    assert evaluate.choose_threshold(df.where("y = 0"), "y", "s", 0.9).first()[0] == 0.5
+    assert evaluate.brier(df, "y", "s").first()[0] == pytest.approx(np.mean([(s - y) ** 2 for y, s in rows]))
 
 
 def psi_by_hand(ref, cur):
@@ -92,14 +93,13 @@ def psi_by_hand(ref, cur):
     return total
 
 
-@HOT
-def test_psi(spark, small_groups, hot):
+def test_psi(spark, pieces):
     rng = np.random.default_rng(4)
     ref = {"smooth": rng.normal(0, 1, 400), "tied": rng.integers(0, 4, 400).astype(float), "flat": np.ones(400)}
     cur = {"smooth": rng.normal(1, 1, 150), "tied": rng.integers(1, 6, 150).astype(float), "flat": np.zeros(150)}
     rows = [(True, *map(float, r)) for r in zip(*ref.values())] + [(False, *map(float, r)) for r in zip(*cur.values())]
     df = spark.createDataFrame(rows, "is_ref boolean, smooth double, tied double, flat double")
-    got = {r["feature"]: r["psi"] for r in drift.psi(df, list(ref), F.col("is_ref"), hot=hot).collect()}
+    got = {r["feature"]: r["psi"] for r in drift.psi(df, list(ref), F.col("is_ref")).collect()}
     for f in ref:
         assert got[f] == pytest.approx(psi_by_hand(ref[f], cur[f]), abs=1e-9)
 
@@ -161,7 +161,12 @@ def test_trained_head_is_at_the_minimum(spark):
     assert np.allclose(fit.mean, x.mean(0)) and np.allclose(fit.std, x.std(0))
     w, weight = np.array(fit.weights), np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     r = weight * (1 / (1 + np.exp(-(z @ w + fit.intercept))) - y)
-    assert np.abs(w + c * (z.T @ r)).max() < 1e-4 and abs(c * r.sum()) < 1e-4
+    gradient = max(np.abs(w + c * (z.T @ r)).max(), abs(c * r.sum()))
+    assert gradient < 1e-9
+    proof = training.certificate(df, "v", "y", [fit, dataclasses.replace(fit, c=0.2)]).collect()
+    assert abs(proof[0].gradient - gradient) < 1e-9 and proof[1].gradient > 1e-3  # the second isn't at the minimum of its loss
+    both = np.array([r[0] for r in df.select(training.probabilities(F.col("v"), [fit, fit])).collect()])
+    assert np.allclose(both, (1 / (1 + np.exp(-(z @ w + fit.intercept))))[:, None])
     head = scoring.Head("h", scoring.CHAMPION, "all", .5, .9, "1", weights=fit.weights, mean=fit.mean, std=fit.std, intercept=fit.intercept)
     p = [r[0] for r in df.select(scoring.linear_probability(F.col("v"), head)).collect()]
     assert np.allclose(p, 1 / (1 + np.exp(-(z @ w + fit.intercept))))
@@ -244,12 +249,58 @@ def test_names_that_hide_keys(spark):
     assert (got[4]["p"], got[4]["o"]) == ("BLUR", "IM-1-2.png")
 
 
-def test_quantiles_do_not_depend_on_the_way(spark):
-    from worklake.operators.quantiles import exact_quantiles
-
+def test_quantiles_do_not_depend_on_pieces_or_partitions(spark):
     rng = random.Random(11)
     rows = [("same", 0.01), ("same", 0.01)] + [(f"g{n}", round(rng.random(), 2)) for n in (7, 53, 101) for _ in range(n)]
-    df = spark.createDataFrame(rows, "g string, v double")
     probs = {f"q{i}": i / 10 for i in range(11)}
-    plain, large = ({r.g: r for r in exact_quantiles(df, ["g"], "v", probs, hot).collect()} for hot in (False, True))
-    assert plain == large and set(plain["same"][1:]) == {0.01}
+    found = []
+    for parts, pieces in ((1, "1000000"), (4, "1000000"), (64, "5")):
+        spark.conf.set("spark.worklake.pieceRows", pieces)
+        df = spark.createDataFrame(rows, "g string, v double").repartition(parts)
+        found.append({r.g: r for r in exact_quantiles(df, ["g"], "v", probs).collect()})
+    spark.conf.unset("spark.worklake.pieceRows")
+    assert found[0] == found[1] == found[2] and set(found[0]["same"][1:]) == {0.01}
+
+
+def test_quantiles_of_counted_values(spark):
+    df = spark.createDataFrame([(1.0, 3), (2.0, 1), (10.0, 4)], "v double, n int")
+    assert exact_quantiles(df, [], "v", {"q": 0.4}, "n").first().q == pytest.approx(np.quantile([1] * 3 + [2] + [10] * 4, 0.4))
+
+
+def test_pieces_hold_about_the_wanted_rows(spark):
+    spark.conf.set("spark.worklake.pieceRows", "20000")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        rows = spark.range(200_000, numPartitions=4).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+                                                            F.hash("id").alias("v"), "id")
+        cut = chunk(rows, ["k"], [F.col("v"), F.col("id")])
+        sizes = [r["count"] for r in cut.groupBy(CHUNK).count().collect()]
+        assert len(sizes) == 10 and max(sizes) <= 40_000
+        n = running(cut, ["k"], [F.col("v"), F.col("id")], {"n": (COUNT,)})
+        assert n.groupBy("k").agg(F.max("n").alias("m"), F.count_distinct("n").alias("d"), F.count("n").alias("c")).where("m <> c or d <> c").count() == 0
+    finally:
+        spark.conf.unset("spark.worklake.pieceRows")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_many_models_in_one_table(spark, pieces):
+    rng = random.Random(5)
+    rows = [(m, s, rng.randint(0, 1), round(rng.random(), 2)) for m in (0.1, 0.2) for s in ("val", "test") for _ in range(60)] + [(0.3, "val", 0, 0.4)]
+    df = spark.createDataFrame(rows, "c double, split string, y int, s double")
+    ranked = evaluate.ranked_counts(evaluate.score_counts(df, "y", "s", ["c", "split"]), ["c", "split"])
+    cut = evaluate.thresholds(ranked.where("split = 'val'"), ["c"], 0.9)
+    cuts = {r.c: r.threshold for r in cut.collect()}
+    got = {(r.c, r.split): r for r in evaluate.model_metrics(ranked.join(cut, "c"), ["c", "split"]).collect()}
+    bands = evaluate.model_bands(ranked.join(cut, "c").where("split = 'test'"), ["c"], [0.5, 0.95]).collect()
+    assert cuts[0.3] == 0.5 and got[(0.3, "val")].auroc is None
+    for c in (0.1, 0.2):
+        one = df.where(F.col("c") == c)
+        assert cuts[c] == evaluate.choose_threshold(one.where("split = 'val'"), "y", "s", 0.9).first()[0]
+        for split in ("val", "test"):
+            part, r = one.where(F.col("split") == split), got[(c, split)]
+            plain = evaluate.classification_metrics(part, "y", "s", F.lit(cuts[c])).first()
+            assert all(r[k] == pytest.approx(plain[k]) for k in ("n", "prevalence", "tp", "fp", "tn", "fn", "sensitivity", "specificity", "precision", "f1"))
+            assert r.auroc == pytest.approx(evaluate.auroc(part, "y", "s").first()[0]) and r.auprc == pytest.approx(evaluate.auprc(part, "y", "s").first()[0])
+            assert r.brier == pytest.approx(evaluate.brier(part, "y", "s").first()[0])
+        plain = {r.cut: r for r in evaluate.p1_cut_sweep(one.where("split = 'test'"), "y", "s", cuts[c], [0.5, 0.95]).collect()}
+        assert {r.cut: tuple(r[2:]) for r in bands if r.c == c} == {k: tuple(r[1:]) for k, r in plain.items()}

@@ -31,12 +31,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "day date, item bigint, arrival timestamp_ntz, band int, prob double")
 
 
-@pytest.mark.parametrize("servers,hot", [(1, False), (1, True), (2, False), (2, True), (3, False)])
-def test_replay_is_a_proper_schedule(spark, small_groups, servers, hot):
-    rows = [r for seed in range(1, 7 if not hot else 3) for r in random_day(seed, 45, 4 + 3 * (seed % 3))]
+@pytest.mark.parametrize("servers", [1, 2, 3])
+def test_replay_is_a_proper_schedule(spark, small_pieces, servers):
+    rows = [r for seed in range(1, 3) for r in random_day(seed, 45, 4 + 3 * (seed % 3))]
     shift = Shift(servers=servers, minutes=6)
     ranks = {"triage": [F.col("band"), -F.col("prob")]}
-    got = {r["item"]: r for r in replay(frame(spark, rows), ["day"], "day", "arrival", "item", shift, ranks, hot).collect()}
+    got = {r["item"]: r for r in replay(frame(spark, rows), ["day"], "day", "arrival", "item", shift, ranks).collect()}
     assert len(got) == len(rows)
     for day in {r[0] for r in rows}:
         items = [dict(zip(("day", "item", "arrival", "band", "prob"), r)) for r in rows if r[0] == day]
@@ -59,11 +59,10 @@ def test_known_order(spark):
     assert by_triage[0]["triage_start_us"] == 0
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_periods_begin_when_all_servers_are_idle(spark, small_groups, hot):
+def test_periods_begin_when_all_servers_are_idle(spark, small_pieces):
     rows = random_day(3, 40, 9)
     shift = Shift(minutes=6)
-    got = sorted(busy_periods(frame(spark, rows), ["day"], "day", "arrival", "item", shift, hot).collect(),
+    got = sorted(busy_periods(frame(spark, rows), ["day"], "day", "arrival", "item", shift).collect(),
                  key=lambda r: r["pos"])
     period, end = 0, None
     for r in got:
@@ -73,9 +72,12 @@ def test_periods_begin_when_all_servers_are_idle(spark, small_groups, hot):
         end = r["start_us"] + shift.service_us
 
 
-def test_hot_and_plain_slots_agree(spark, small_groups):
+def test_slots_do_not_depend_on_the_pieces(spark):
     df = frame(spark, random_day(5, 60, 5))
-    cols = ["item", "pos", "start_us", "server"]
-    plain = fifo_slots(df, ["day"], "day", "arrival", "item", Shift(servers=2), False).select(cols)
-    hot = fifo_slots(df, ["day"], "day", "arrival", "item", Shift(servers=2), True).select(cols)
-    assert sorted(plain.collect()) == sorted(hot.collect())
+    found = []
+    for rows in ("1000000", "7"):
+        spark.conf.set("spark.worklake.pieceRows", rows)
+        slots = fifo_slots(df, ["day"], "day", "arrival", "item", Shift(servers=2))
+        found.append(sorted(slots.select("item", "pos", "start_us", "server").collect()))
+    spark.conf.unset("spark.worklake.pieceRows")
+    assert found[0] == found[1]

@@ -9,9 +9,8 @@ from worklake.registered import all_queries, all_sql
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ITERATIVE = {"train_head", "c_sweep"}  # trainings; SQL has no counterpart
 SAMPLE = ["contract_reasons", "read_psv_trailer", "recon_replace_stage", "scd1_current", "shadow_arbitrate", "daily_summary",
-          "v_triage_outcome", "balanced_sample", "psi", "stage_state", "trailer_check", "quarantine_summary", "bi_detail_table"]
+          "v_triage_outcome", "balanced_sample", "psi", "stage_state", "trailer_check", "quarantine_summary", "bi_detail_table", "read_csv_header", "train_head", "c_sweep", "c_sweep_bands"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -25,7 +24,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(all_queries()) - set(all_sql()) == ITERATIVE
+    assert set(all_queries()) == set(all_sql())
 
 
 def test_sql_is_valid(duck):
@@ -45,10 +44,10 @@ def test_same_rows(spark, duck, name):
     assert ours == theirs and ours
 
 
-def test_whole_tables_the_hot_way(spark, duck):
-    """With every group too large for one task, the queue and the summaries come out the same."""
-    spark.conf.set("spark.worklake.maxGroupRows", "20")
+def test_whole_tables_in_small_pieces(spark, duck):
+    """Cut into pieces of a few rows, the queue and the summaries come out the same."""
+    spark.conf.set("spark.worklake.pieceRows", "100")
     try:
         test_same_rows(spark, duck, "daily_summary")
     finally:
-        spark.conf.unset("spark.worklake.maxGroupRows")
+        spark.conf.unset("spark.worklake.pieceRows")

@@ -21,7 +21,7 @@ def test_psv_with_trailer_and_short_row(spark, tmp_path):
     assert set(rows) == {2, 4, 5}
     assert (rows[2]["a"], rows[2]["b"], rows[2]["parse_error"]) == ("1", "2", None)
     assert rows[4]["parse_error"] == "1 fields, header has 2" and rows[4]["a"] is None
-    t = readers.read_trailers(spark, path).first()
+    t = readers.read_trailers(readers.psv_splits(spark, path, ORDERS)).first()
     assert (t["trailer"], t["data_lines"]) == (2, 3)
 
 
@@ -42,6 +42,36 @@ def test_csv_lines_start_at_two(spark, tmp_path):
     assert {(r["_line"], r["a"]) for r in readers.read_csv(spark, path, ORDERS).collect()} == {(2, "x"), (3, "y")}
 
 
+def test_csv_by_each_files_own_header(spark, tmp_path):
+    write(tmp_path, "1.csv", 'b,x,a\n"1, ""one""",2,3\n,,\n"",5,"back\\"slash"\n1,2\n1,2,3,4\n"open,2,3\n')
+    write(tmp_path, "2.csv", "a,x\nq,w\n")
+    write(tmp_path, "3.csv", "c,d\n1,2\n")
+    path = write(tmp_path, "4.csv", "")
+    rows = {(r["_source_file"], r["_line"]): (r["a"], r["b"], r["parse_error"]) for r in readers.read_csv(spark, path, ORDERS).collect()}
+    assert rows == {
+        ("1.csv", 2): ("3", '1, "one"', None), ("1.csv", 3): (None, None, None), ("1.csv", 4): ('back"slash', "", None),
+        ("1.csv", 5): (None, None, "2 fields, header has 3"), ("1.csv", 6): (None, None, "4 fields, header has 3"), ("1.csv", 7): ("3", '"open', None),
+        ("2.csv", 2): ("q", None, None), ("3.csv", 2): (None, None, "no header")}
+
+
+def test_headers_and_trailers_across_splits(spark, tmp_path):
+    for name, n in (("a.psv", 3000), ("b.psv", 10)):
+        path = write(tmp_path, name, "b|a\n" + "".join(f"{i}|row {i}\n" for i in range(2, n + 2)) + f"T|{n}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        splits = readers.psv_splits(spark, path, ORDERS)
+        got = readers.read_psv(spark, path, ORDERS, splits)
+        assert splits.count() > 5 and got.count() == 3010
+        assert got.where("a <> concat('row ', _line) OR b <> _line OR parse_error IS NOT NULL").count() == 0
+        t = readers.trailer_totals(readers.read_trailers(splits)).first()
+        assert (t["files"], t["agreeing"], t["trailer"], t["data_lines"]) == (2, 2, 3010, 3010)
+        moved = splits.withColumn("_first", F.col("_first") + 1)  # as if the files had been cut otherwise
+        with pytest.raises(Exception, match="counted otherwise"):
+            readers.read_psv(spark, path, ORDERS, moved).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_lines_are_numbered_across_splits(spark, tmp_path):
     path = write(tmp_path, "long.txt", "".join(f"row {i}\n" for i in range(1, 4001)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
@@ -109,7 +139,7 @@ def test_export_splits_a_large_date_into_whole_files(spark):
     landing.write_manifest(df, manifest, "s", "business_date")
     got = readers.read_psv(spark, path, ORDERS)
     assert got.where("parse_error is null").select("a").distinct().count() == 1000
-    trailers = readers.read_trailers(spark, path).collect()
+    trailers = readers.read_trailers(readers.psv_splits(spark, path, ORDERS)).collect()
     assert len(trailers) == 4 and all(t["trailer"] == t["data_lines"] for t in trailers)
     assert landing.read_manifest(spark, manifest).first()["records"] == 1000
 

@@ -1,8 +1,9 @@
-"""Running count / sum / max over ordered groups of any size.
+"""Running count / sum / max over ordered groups of any size, by a two-level prefix scan.
 
-A window puts a whole group into one task. That is right while groups are small; a group that
-outgrows a task is range-partitioned on its order, each chunk is scanned by its own task, and the
-totals of the chunks before it are added. Both ways give the same rows.
+Rows are stored and cut along group and order into pieces of about `spark.worklake.pieceRows` rows, whatever groups they belong to:
+as many pieces as the rows need, with bounds that Spark samples. Each piece is scanned by its own task, and what a group has in the
+pieces before is added. A large group is spread over many pieces, many small groups share one; the rows decide how many pieces there
+are, not how they are scanned.
 """
 
 from __future__ import annotations
@@ -10,21 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklake.session import has_hot_group, materialize
+from worklake.session import materialize, piece_rows, stored_rows
 
 COUNT, SUM, MAX = "count", "sum", "max"
 CHUNK = "_chunk"
 
 
 def chunk(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """df cut into consecutive pieces of every group, stored, with the piece's number in _chunk.
+    """df cut into consecutive pieces along keys and order, stored, with the piece's number in _chunk.
 
-    Several scans in the same order (also over finer keys) can share one cutting: running() uses a _chunk
-    column it finds. The number comes from spark_partition_id, which is stable only once written.
+    Several scans in the same order (also over finer keys) can share one cutting: running() uses a _chunk column it finds.
+    The number comes from spark_partition_id, which is stable only once written.
     """
-    pieces = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return materialize(df.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
-                         .withColumn(CHUNK, F.spark_partition_id()), "chunks")
+    stored, rows = stored_rows(df, "rows")
+    pieces = max(1, -(-rows // piece_rows(df.sparkSession)))
+    if pieces == 1:  # one piece holds everything
+        return stored.withColumn(CHUNK, F.lit(0))
+    return materialize(stored.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
+                             .withColumn(CHUNK, F.spark_partition_id()), "pieces")
 
 
 def _local(kind: str, value: Column | None, window) -> Column:
@@ -34,30 +38,23 @@ def _local(kind: str, value: Column | None, window) -> Column:
     return F.sum(value).over(frame) if kind == SUM else F.max(value).over(frame)
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str, tuple],
-            hot: bool | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str, tuple]) -> DataFrame:
     """Add one running aggregate per entry of aggs: name -> (COUNT,) | (SUM, column) | (MAX, column).
 
-    `order` has to be a total order within the group. `hot` says whether some group is too large
-    for one task; None looks.
+    `order` has to be a total order within the group.
     """
-    if hot is None:
-        hot = has_hot_group(df, keys)
     specs = {n: (s[0], s[1] if len(s) > 1 else None) for n, s in aggs.items()}
-    if not hot:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[_local(k, v, w).alias(n) for n, (k, v) in specs.items()])
-
-    given = CHUNK in df.columns
-    chunked = df if given else chunk(df, keys, order)
+    chunked = df if CHUNK in df.columns else chunk(df, keys, order)
     totals = chunked.groupBy(*keys, CHUNK).agg(*[
         (F.count(F.lit(1)) if k == COUNT else F.sum(v) if k == SUM else F.max(v)).alias(f"_t_{n}")
         for n, (k, v) in specs.items()])
-    # one row per chunk and group, at most chunks + groups rows
+    # one row per piece and group in it, at most pieces + groups rows
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"),
         *[(F.max if k == MAX else F.sum)(f"_t_{n}").over(before).alias(f"_o_{n}") for n, (k, _) in specs.items()])
+    # only a group that began in an earlier piece has something to add: as many rows as pieces, or fewer
+    carried = offsets.where(F.coalesce(*[F.col(f"_o_{n}").cast("string") for n in specs]).isNotNull())
     same = F.col(CHUNK) == F.col("_k_chunk")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -72,10 +69,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str,
             out.append((F.coalesce(off, F.lit(0)) + loc).alias(n))
         else:
             out.append(F.coalesce(off + loc, off, loc).alias(n))
-    return scanned.join(offsets, same, "left").select(*df.columns, *out)
+    return scanned.join(carried, same, "left").select(*df.columns, *out)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str,
-             hot: bool | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """1-based position within the group."""
-    return running(df, keys, order, {name: (COUNT,)}, hot)
+    return running(df, keys, order, {name: (COUNT,)})

@@ -49,8 +49,7 @@ def distinct_versions(column: Column) -> Column:
     return F.nullif(F.array_join(F.sort_array(F.collect_set(column)), ","), F.lit(""))
 
 
-def group_waits(outcomes: DataFrame, keys: list[str], groups: dict[str, Column], arms: dict[str, str],
-                hot: bool) -> DataFrame:
+def group_waits(outcomes: DataFrame, keys: list[str], groups: dict[str, Column], arms: dict[str, str]) -> DataFrame:
     """Median of every arm and 90th percentile per class of items: <class>_<arm>_median_min / _p90_min.
 
     One long frame (day, class, arm, wait) feeds a single exact-quantile job, whatever the number of classes.
@@ -60,7 +59,7 @@ def group_waits(outcomes: DataFrame, keys: list[str], groups: dict[str, Column],
                for g, cond in groups.items() for a, col in arms.items()]
     long = outcomes.select(*keys, F.inline(F.array(*entries))).where("series is not null")
     by = [*keys, "series"]
-    both = exact_quantiles(long, by, "wait", {"median": (0.5, LINEAR), "p90": (0.9, INDEX)}, hot)
+    both = exact_quantiles(long, by, "wait", {"median": (0.5, LINEAR), "p90": (0.9, INDEX)})
     pick = []
     for g in groups:
         for a in arms:

@@ -1,15 +1,14 @@
-"""Exact quantiles per group, for groups of any size."""
+"""Exact quantiles per group, for groups of any size, by rank: equal values collapse to counts, a prefix scan gives their ranks."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklake.operators.ordered import SUM, running
-from worklake.session import broadcast_if_small, has_hot_group, max_group_rows
+from worklake.operators.ordered import CHUNK, SUM, chunk, running
 
 LINEAR, INDEX = "linear", "index"
 
@@ -25,34 +24,22 @@ def _positions(n: Column, p: float, method: str) -> tuple[Column, Column, Column
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float | tuple[float, str]],
-                    hot: bool | None = None) -> DataFrame:
+                    times: str | None = None) -> DataFrame:
     """One row per group with a column per entry of probs: name -> probability, or (probability, method).
 
     linear interpolates between neighbours; index takes the value at position int(p * n). NULLs are ignored.
+    times: a column that says how often a row counts.
     """
     wanted = {n: p if isinstance(p, tuple) else (p, LINEAR) for n, p in probs.items()}
-    rows = df.where(F.col(value).isNotNull())
-    if hot is None:
-        hot = has_hot_group(rows, keys) if keys else rows.count() > max_group_rows(df.sparkSession)
-    # equal values collapse before the shuffle, so a hot group brings its distinct values, not its rows
-    counts = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    if not hot and all(m == LINEAR for _, m in wanted.values()):
-        names = list(wanted)
-        at = F.array(*[F.lit(float(wanted[n][0])) for n in names])
-        q = counts.groupBy(*keys).agg(F.percentile("_v", at, F.col("_c")).alias("_q"))
-        return q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-    # the running sum of the counts gives positions
     by = keys or ["_all"]
-    if not keys:
-        counts = counts.withColumn("_all", F.lit(0))
-    placed = running(counts, by, [F.col("_v")], {"_upto": (SUM, F.col("_c"))}, hot)
-    if hot:
-        sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(k).alias(f"_s_{k}") for k in by], "_n")
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by])
-        placed = placed.join(broadcast_if_small(sizes), same)
-    else:
-        placed = placed.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    rows = df.where(F.col(value).isNotNull())
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    # equal values collapse before anything is sorted, so a hot group brings its distinct values, not its rows
+    counts = chunk(rows.groupBy(*by, F.col(value).alias("_v")).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c")), by, [F.col("_v")])
+    placed = running(counts, by, [F.col("_v")], {"_upto": (SUM, F.col("_c"))}).drop(CHUNK)
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(k).alias(f"_s_{k}") for k in by], "_n")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by])
+    placed = placed.join(sizes, same)
     first = F.col("_upto") - F.col("_c")
 
     def at(pos: Column) -> Column:
@@ -61,6 +48,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     aggs = []
     for name, (p, method) in wanted.items():
         lo, hi, below, above = _positions(F.col("_n"), p, method)
-        # the same products as percentile, and a value itself where both neighbours are equal: no bit differs between the two ways
+        # a value itself where both neighbours are equal
         aggs.append(F.when(at(lo) == at(hi), at(lo)).otherwise(at(lo) * F.max(below) + at(hi) * F.max(above)).alias(name))
     return placed.groupBy(*by).agg(*aggs).select(*keys, *wanted)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worklake.operators.ordered import CHUNK, MAX, SUM, chunk, numbered, running
-from worklake.session import has_hot_group, materialize, max_group_rows
+from worklake.session import materialize, piece_rows
 
 MINUTE_US = 60_000_000
 
@@ -48,26 +48,22 @@ def at_time(day: str, offset: str, shift: Shift) -> Column:
     return F.timestamp_add("MICROSECOND", F.col(offset), shift_start(day, shift))
 
 
-def fifo_slots(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift,
-               hot: bool | None = None) -> DataFrame:
+def fifo_slots(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift) -> DataFrame:
     """Adds pos (0-based arrival position), arrival_us and start_us, both relative to the shift start."""
-    if hot is None:
-        hot = has_hot_group(df, keys)
     m, k = shift.service_us, shift.servers
     timed = df.withColumn("arrival_us", F.timestamp_diff("MICROSECOND", shift_start(day, shift), F.col(arrival)))
-    if hot:
-        timed = chunk(timed, keys, [F.col("arrival_us"), F.col(item)])  # one cutting for both scans
-    placed = numbered(timed, keys, [F.col("arrival_us"), F.col(item)], "_n", hot)
+    timed = chunk(timed, keys, [F.col("arrival_us"), F.col(item)])  # one cutting for both scans
+    placed = numbered(timed, keys, [F.col("arrival_us"), F.col(item)], "_n")
     placed = (placed.withColumn("pos", F.col("_n") - 1)
                     .withColumn("_server", F.col("pos") % k)
                     .withColumn("_turn", F.floor(F.col("pos") / k).cast("bigint")))
     slack = F.greatest(F.col("arrival_us"), F.lit(0)) - F.col("_turn") * m
-    scanned = running(placed, [*keys, "_server"], [F.col("pos")], {"_lag": (MAX, slack)}, hot)
+    scanned = running(placed, [*keys, "_server"], [F.col("pos")], {"_lag": (MAX, slack)})
     return (scanned.withColumn("start_us", F.col("_turn") * m + F.col("_lag"))
                    .drop("_n", "_turn", "_lag", CHUNK).withColumnRenamed("_server", "server"))
 
 
-def with_reach(slots: DataFrame, keys: list[str], item: str, hot: bool) -> DataFrame:
+def with_reach(slots: DataFrame, keys: list[str], item: str) -> DataFrame:
     """Adds reach (first slot the item may use) and stretch (position where its independent stretch begins)."""
     # a mark for the arrival carries the row, the mark for the slot only its time
     payload = F.struct(*[c for c in slots.columns if c not in (*keys, "pos")])
@@ -76,36 +72,33 @@ def with_reach(slots: DataFrame, keys: list[str], item: str, hot: bool) -> DataF
         F.struct(F.col("start_us").alias("_t"), F.lit(1).alias("_is_slot"), F.when(F.lit(False), payload).alias("_row")))))
     # at equal times the arrival comes first, so only slots that start earlier are counted
     order = [F.col("_t"), F.col("_is_slot"), F.col("pos")]
-    if hot:
-        marks = chunk(marks, keys, order)  # arrivals lie in it in the order of pos, so the second scan uses it too
-    counted = running(marks, keys, order, {"reach": (SUM, F.col("_is_slot").cast("bigint"))}, hot)
-    items = counted.where("_is_slot = 0").select(*keys, "pos", "_row.*", "reach", *([CHUNK] if hot else []))
+    marks = chunk(marks, keys, order)  # arrivals lie in it in the order of pos, so the second scan uses it too
+    counted = running(marks, keys, order, {"reach": (SUM, F.col("_is_slot").cast("bigint"))})
+    items = counted.where("_is_slot = 0").select(*keys, "pos", "_row.*", "reach", CHUNK)
     begins = F.when(F.col("reach") == F.col("pos"), F.col("pos"))
-    return running(items, keys, [F.col("pos")], {"stretch": (MAX, begins)}, hot).drop(CHUNK)
+    return running(items, keys, [F.col("pos")], {"stretch": (MAX, begins)}).drop(CHUNK)
 
 
-def busy_periods(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift,
-                 hot: bool | None = None) -> DataFrame:
+def busy_periods(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift) -> DataFrame:
     """Arrival-order slots plus period: 1-based number of the stretch in which someone is always waiting or served.
 
     A new period starts where an item arrives after every earlier item has been finished.
     """
-    if hot is None:
-        hot = has_hot_group(df, keys)
-    slots = fifo_slots(df, keys, day, arrival, item, shift, hot)
+    slots = chunk(fifo_slots(df, keys, day, arrival, item, shift), keys, [F.col("pos")])
     # starts never decrease with pos, so the item just before an item is the last to finish before it
-    if hot:
-        prior = slots.select(*[F.col(k).alias(f"_p_{k}") for k in keys], (F.col("pos") + 1).alias("_p_pos"),
-                             F.col("start_us").alias("_before"))
-        cond = F.col("pos") == F.col("_p_pos")
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
-        slots = slots.join(prior, cond, "left").select(*slots.columns, "_before")
-    else:
-        slots = slots.withColumn("_before", F.lag("start_us").over(Window.partitionBy(*keys).orderBy("pos")))
+    # the first of a piece looks back at the pieces before it
+    edge = slots.groupBy(*keys, CHUNK).agg(F.max("start_us").alias("_edge"))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(CHUNK).alias("_p_chunk"), F.max("_edge").over(earlier).alias("_edge"))
+    cond = F.col(CHUNK) == F.col("_p_chunk")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    own = F.lag("start_us").over(Window.partitionBy(*keys, CHUNK).orderBy("pos"))
+    slots = slots.withColumn("_own", own).join(edge, cond, "left").withColumn("_before", F.coalesce("_own", "_edge"))
+    slots = slots.drop("_own", "_edge", "_p_chunk", *[f"_p_{k}" for k in keys])
     begins = F.col("_before").isNull() | (F.greatest(F.col("arrival_us"), F.lit(0))
                                           > F.col("_before") + shift.service_us)
-    return running(slots, keys, [F.col("pos")], {"period": (SUM, begins.cast("bigint"))}, hot).drop("_before")
+    return running(slots, keys, [F.col("pos")], {"period": (SUM, begins.cast("bigint"))}).drop("_before", CHUNK)
 
 
 def _match(reach: list[int], slots: list[int], ranks: list[int]) -> list[int]:
@@ -132,8 +125,8 @@ def _halve(items: DataFrame, slots: DataFrame, node: list[str], limit: int) -> t
     done_slots, todo_slots = slots.where(~big), slots.where(big)
     better = todo_items.where(F.col("rank") < mid).select(*group, "hi", "item", "reach")
     better = chunk(better, group, [F.col("reach"), F.col("item")])
-    better = numbered(better, group, [F.col("reach"), F.col("item")], "_j", True)
-    better = running(better, group, [F.col("_j")], {"_late": (MAX, F.col("reach") - F.col("_j") + 1)}, True)
+    better = numbered(better, group, [F.col("reach"), F.col("item")], "_j")
+    better = running(better, group, [F.col("_j")], {"_late": (MAX, F.col("reach") - F.col("_j") + 1)})
     taken = better.select(*group, "hi", (F.col("_j") - 1 + F.col("_late")).alias("at"), F.lit(1).alias("kind"))
     points = (taken
               .unionByName(todo_items.select(*group, "hi", F.col("reach").alias("at"), F.lit(0).alias("kind"),
@@ -142,7 +135,7 @@ def _halve(items: DataFrame, slots: DataFrame, node: list[str], limit: int) -> t
                                              "slot", "start_us"), allowMissingColumns=True))
     taken_here = F.col("kind") == 1
     counted = running(points, group, [F.col("at"), F.col("kind"), F.col("item")],
-                      {"cnt": (SUM, taken_here.cast("bigint")), "last": (MAX, F.when(taken_here, F.col("at")))}, True)
+                      {"cnt": (SUM, taken_here.cast("bigint")), "last": (MAX, F.when(taken_here, F.col("at")))})
     counted = counted.withColumn("_mid", mid)
     new_lo = lambda up: F.when(up, F.col("lo")).otherwise(F.col("_mid"))
     new_hi = lambda up: F.when(up, F.col("_mid")).otherwise(F.col("hi"))
@@ -165,7 +158,7 @@ def _split_by_rank(stretches: DataFrame, keys: list[str], item: str, rank: str,
     sized = stretches.join(sizes, node)
     items = numbered(sized.select(*node, F.col(item).alias("item"), (F.col("reach") - F.col("stretch")).alias("reach"),
                                   F.col(rank).alias("_r"), F.lit(0).cast("bigint").alias("lo"), "hi"),
-                     node, [F.col("_r")], "_n", True)
+                     node, [F.col("_r")], "_n")
     items = materialize(items.withColumn("rank", F.col("_n") - 1).drop("_n", "_r"), "items")
     slots = materialize(sized.select(*node, (F.col("pos") - F.col("stretch")).alias("slot"), "start_us",
                                      F.lit(0).cast("bigint").alias("lo"), "hi"), "slots")
@@ -192,34 +185,27 @@ def _match_nodes(items: DataFrame, group: list[str]) -> DataFrame:
 
 
 def replay(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift,
-           ranks: dict[str, list[Column]], hot: bool | None = None) -> DataFrame:
+           ranks: dict[str, list[Column]]) -> DataFrame:
     """df plus pos, server, arrival_us, start_us (arrival order) and <arm>_start_us for every arm in ranks.
 
     ranks: arm -> ordering columns; ties are broken by arrival and item. Items are unique within their group.
     """
-    if hot is None:
-        hot = has_hot_group(df, keys)
-    if not hot:
-        return _replay(df, keys, day, arrival, item, shift, ranks, False)
-    # the scans of large groups rewrite their rows, so they get the narrow ones and the rest is joined back
+    # the scans rewrite their rows, so they get the narrow ones and the rest is joined back
     columns = {f"_{arm}_{i}": c for arm, order in ranks.items() for i, c in enumerate(order)}
     narrow = df.select(*dict.fromkeys([*keys, day, arrival, item]), *[c.alias(n) for n, c in columns.items()])
     named = {arm: [F.col(f"_{arm}_{i}") for i in range(len(order))] for arm, order in ranks.items()}
-    out = _replay(narrow, keys, day, arrival, item, shift, named, True)
+    out = _replay(narrow, keys, day, arrival, item, shift, named)
     added = ["pos", "server", "arrival_us", "start_us", *[f"{a}_start_us" for a in ranks]]
     return df.join(out.select(*keys, item, *added), [*keys, item])
 
 
 def _replay(df: DataFrame, keys: list[str], day: str, arrival: str, item: str, shift: Shift,
-            ranks: dict[str, list[Column]], hot: bool) -> DataFrame:
-    limit = max_group_rows(df.sparkSession)
-    slots = with_reach(fifo_slots(df, keys, day, arrival, item, shift, hot), keys, item, hot)
+            ranks: dict[str, list[Column]]) -> DataFrame:
+    limit = piece_rows(df.sparkSession)
+    slots = with_reach(fifo_slots(df, keys, day, arrival, item, shift), keys, item)
     for arm, order in ranks.items():
-        slots = numbered(slots, keys, [*order, F.col("arrival_us"), F.col(item)], f"_{arm}", hot)
+        slots = numbered(slots, keys, [*order, F.col("arrival_us"), F.col(item)], f"_{arm}")
     arms = list(ranks)
-    if not hot:
-        return _serve(slots, keys, arms, limit)
-
     slots = materialize(slots, "stretches")
     long = (slots.groupBy(*keys, "stretch").count().where(F.col("count") > limit)
                  .select(*keys, "stretch"))

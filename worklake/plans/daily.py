@@ -22,7 +22,7 @@ from worklake.operators import outcomes as O
 from worklake.operators.ordered import numbered
 from worklake.operators.queues import Shift, at_time, replay
 from worklake.plans import views as V
-from worklake.session import has_hot_group, materialize
+from worklake.session import materialize
 from worklake.sources import landing, readers, tables
 
 DAY = "business_date"
@@ -138,7 +138,7 @@ def bronze(lake: Lake, date: Date) -> DataFrame:
         except AnalysisException:
             pass  # a source without a manifest has nothing to compare
         if source.has_trailer:
-            t = readers.trailer_totals(readers.read_trailers(lake.spark, lake.extract(source.name, date)))
+            t = readers.trailer_totals(readers.read_trailers(readers.psv_splits(lake.spark, lake.extract(source.name, date), source.contract)))
             parts.append(check(t, "trailer count = data lines", F.greatest("files", F.lit(1)), F.col("agreeing")))
     if quarantines:
         tables.replace_date(recon.checks(*quarantines), lake.path("bronze.quarantine"), date.isoformat())
@@ -202,7 +202,7 @@ def gold(lake: Lake, date: Date) -> DataFrame:
         DAY, F.col("request_no").alias("item_id"), "record_id", S.pseudonym(lake.salt, F.col("person_no")).alias("person_key"),
         "file_name", "arrival", "requested_at", "unit", "urgency", "note", "height", "width",
         S.age_years(F.to_date("arrival"), F.col("birth_date")).alias("age_years"), "has_request")
-    facts = numbered(aged, [DAY], [F.col("arrival"), F.col("item_id")], "fifo_seq", has_hot_group(records.select(DAY), [DAY]))
+    facts = numbered(aged, [DAY], [F.col("arrival"), F.col("item_id")], "fifo_seq")
     tables.replace_date(facts, lake.path("gold.fact_item"), date.isoformat())
 
     if lake.has("silver.report"):
@@ -259,7 +259,6 @@ def outcomes(lake: Lake, date: Date, first: Date, allow_unscored: bool = False)
     """Outcomes and summaries of the date and the day before, whose reports may have been signed since."""
     days = F.col(DAY).isin([d for d in (date - timedelta(days=1), date) if d >= first])
     facts = lake.read("gold.fact_item", days)
-    hot = has_hot_group(facts.select(DAY), [DAY])
     newest = [F.col("scored_at").desc(), F.col("run_id").desc()]
     scores = latest.latest_per_key(lake.read("gold.priority_score", days), ["item_id"], newest) \
         .drop(DAY, "file_name", "age_years", "threshold", "run_id", "scored_at")
@@ -269,8 +268,8 @@ def outcomes(lake: Lake, date: Date, first: Date, allow_unscored: bool = False)
     shadow = S.worklist_rank(F.when(has_shadow, F.col("shadow_priority")).otherwise(F.col("priority")),
                              F.when(has_shadow, F.col("shadow_probability")).otherwise(F.col("probability")))
     served = replay(ranked, [DAY], DAY, "arrival", "item_id", lake.shift,
-                    {"triage": S.worklist_rank(F.col("priority"), F.col("probability")), "shadow": shadow}, hot)
-    served = numbered(served, [DAY], [F.col("triage_start_us"), F.col("item_id")], "triage_seq", hot)
+                    {"triage": S.worklist_rank(F.col("priority"), F.col("probability")), "shadow": shadow})
+    served = numbered(served, [DAY], [F.col("triage_start_us"), F.col("item_id")], "triage_seq")
     for arm, start in (("fifo", "start_us"), ("triage", "triage_start_us"), ("shadow", "shadow_start_us")):
         served = served.withColumn(f"{arm}_end_us", F.col(start) + lake.shift.service_us).withColumn(
             f"{arm}_wait_min", F.round((F.col(f"{arm}_end_us") - F.col("arrival_us")) / F.lit(60000000.0), 1))
@@ -291,7 +290,7 @@ def outcomes(lake: Lake, date: Date, first: Date, allow_unscored: bool = False)
 
     done = lake.read("gold.fact_outcome", days)
     classes = {"main": F.col("truth") == 1, "second": F.col("truth_second") == 1, "normal": F.col("finding") == lake.normal_finding}
-    waits = O.group_waits(done, [DAY], classes, {a: f"{a}_wait_min" for a in ("fifo", "triage", "shadow")}, hot)
+    waits = O.group_waits(done, [DAY], classes, {a: f"{a}_wait_min" for a in ("fifo", "triage", "shadow")})
     tables.replace_partitions(O.daily_summary(done, waits, DAY, "main", "second"), lake.path("gold.daily_summary"))
     heads = latest.latest_per_key(lake.read("gold.head_score", days), ["item_id", "model", "stage"], newest)
     by_head = O.model_truth(F.col("model"), F.col("finding"), S.planted_kind(F.col("file_name")).isNotNull(),

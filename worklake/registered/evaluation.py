@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from worklake.functions.arrays import as_doubles
 from worklake.functions.scalars import hash_unit
 from worklake.operators import drift as R
 from worklake.operators import evaluate as E
 from worklake.operators import governance as G
-from worklake.operators import scoring, training
+from worklake.operators import training
 from worklake.operators.latest import flag_latest
 from worklake.operators.outcomes import trial_evidence
 from worklake.operators.quantiles import exact_quantiles
+from worklake.operators.sampling import group_split
 from worklake.registered.base import cte, query, table
 from worklake.registered.frames import sql_hash
 from worklake.registered.reporting import model_daily, model_events
+from worklake.session import materialize
 
 # Scores with two digits, so that ties occur; the positives score higher on average.
 cte("judged", f"""SELECT doc_id, quality AS y, round(CASE WHEN quality = 1 THEN 0.25 + 0.75 * p ELSE 0.85 * p END, 2) AS s FROM (
@@ -228,39 +231,114 @@ def skip_if_same_hash(spark, sf):
     return candidates(spark, sf).select("candidate", G.build_decision("aaaa").alias("decision"))
 
 
-# ---- training
+# ---- training: embeddings by groups of ids, fitted on train, threshold from val, judged on test
+
+# Regularisation strengths to compare, and the strength of the single head.
+C_VALUES, C_HEAD = (0.5, 0.05, 0.01, 0.002), 0.05
+TARGET = 0.95
+SPLIT_SEED, VAL_SHARE = 42, 0.15
+
+cte("vectors", f"""SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(label < 3 AS BIGINT) AS y, CASE WHEN vec_id // 4 % 5 = 0 THEN 'test'
+  WHEN {sql_hash(f"'{SPLIT_SEED}:' || CAST(vec_id // 4 AS VARCHAR)")} < {VAL_SHARE} THEN 'val' ELSE 'train' END AS split FROM embeddings""")
+_D = 64  # length of the vectors
+_FREE = 2.0  # the intercept's input, so that its direction is not much flatter or steeper than the others
+_STEPS = 600
+
+
+def _sum_list(what: str, n: int) -> str:
+    return "[" + ", ".join(what.replace("#", str(i + 1)) for i in range(n)) + "]"
+
+
+cte("scaled", f"""SELECT vec_id, y, split, list_append(list_transform(list_zip(e, mean, std), lambda t: (t[1] - t[2]) / CASE WHEN t[3] = 0 THEN 1 ELSE t[3] END), {_FREE}) AS z
+  FROM {{vectors}}, (SELECT {_sum_list('avg(e[#])', _D)} AS mean, {_sum_list('stddev_pop(e[#])', _D)} AS std FROM {{vectors}} WHERE split = 'train')""")
+cte("learned", f"""SELECT z, y, n, CASE WHEN y = 1 THEN n / (CAST(2 AS DOUBLE) * pos) ELSE n / (CAST(2 AS DOUBLE) * (n - pos)) END AS weight
+  FROM {{scaled}}, (SELECT count(*) AS n, sum(y) AS pos FROM {{scaled}} WHERE split = 'train') WHERE split = 'train'""")
+# Accelerated gradient steps on |w|^2 / 2 + C * (weighted log loss); the intercept is free. The loss is strictly convex: any way that
+# arrives at its minimum arrives at the same weights.
+cte("fitted", f"""SELECT c, w FROM (WITH RECURSIVE step AS (
+  SELECT c, 0 AS it, list_transform(range({_D + 1}), lambda i: CAST(0 AS DOUBLE)) AS w, list_transform(range({_D + 1}), lambda i: CAST(0 AS DOUBLE)) AS ahead
+  FROM (SELECT CAST(unnest([{', '.join(map(str, C_VALUES))}]) AS DOUBLE) AS c)
+  UNION ALL
+  SELECT c, it + 1, new_w, list_transform(list_zip(new_w, w), lambda t: t[1] + pace * (t[1] - t[2])) FROM (
+    SELECT c, it, w, list_transform(list_zip(ahead, g, range({_D + 1})), lambda t: t[1] - ((CASE WHEN t[3] < {_D} THEN t[1] ELSE 0 END) + c * t[2]) / steep) AS new_w,
+      (1 - sqrt(least(1, c * n * 0.6) / steep)) / (1 + sqrt(least(1, c * n * 0.6) / steep)) AS pace FROM (
+      SELECT c, it, w, ahead, any_value(n) AS n, 1 + c * any_value(n) * 2 AS steep, {_sum_list('sum(r * z[#])', _D + 1)} AS g FROM (
+        SELECT s.*, l.z, l.n, l.weight * (1 / (1 + exp(-list_dot_product(l.z, s.ahead))) - l.y) AS r FROM step s, {{learned}} l WHERE s.it < {_STEPS})
+      GROUP BY c, it, w, ahead)))
+  SELECT c, w FROM step WHERE it = {_STEPS})""")
+cte("swept", "SELECT c, vec_id, split, y, 1 / (1 + exp(-list_dot_product(z, w))) AS s FROM {scaled}, {fitted}")
+cte("cut_off", f"""SELECT c, max(s) FILTER (i = k) AS threshold FROM (SELECT c, s, row_number() OVER (PARTITION BY c ORDER BY s) - 1 AS i,
+  floor((1 - CAST({TARGET} AS DOUBLE)) * count(*) OVER (PARTITION BY c)) AS k FROM {{swept}} WHERE split = 'val' AND y = 1) GROUP BY c""")
+cte("sweep_auc", """SELECT p.c, p.split, sum(CASE WHEN p.s > n.s THEN 1.0 WHEN p.s = n.s THEN 0.5 ELSE 0.0 END) / count(*) AS auroc
+  FROM (SELECT * FROM {swept} WHERE y = 1) p JOIN (SELECT * FROM {swept} WHERE y = 0) n ON n.c = p.c AND n.split = p.split GROUP BY ALL""")
+cte("sweep_metrics", """SELECT c, split, n, prevalence, threshold, tp, fp, tn, fn, auroc, brier, sens AS sensitivity, spec AS specificity, prec AS precision,
+  CASE WHEN prec + sens > 0 THEN 2 * prec * sens / (prec + sens) ELSE 0 END AS f1 FROM (SELECT *, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS sens,
+    coalesce(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 0) AS spec, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS prec
+  FROM (SELECT s.c, s.split, any_value(t.threshold) AS threshold, any_value(a.auroc) AS auroc, count(*) AS n, avg(y) AS prevalence, avg((s - y) * (s - y)) AS brier,
+    count(*) FILTER (y = 1 AND s >= threshold) AS tp, count(*) FILTER (y = 0 AND s >= threshold) AS fp,
+    count(*) FILTER (y = 0 AND s < threshold) AS tn, count(*) FILTER (y = 1 AND s < threshold) AS fn
+    FROM {swept} s JOIN {cut_off} t ON t.c = s.c JOIN {sweep_auc} a ON a.c = s.c AND a.split = s.split GROUP BY s.c, s.split))""")
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y"))
+    group = F.expr("vec_id div 4")
+    return table(spark, sf, "embeddings").select("vec_id", as_doubles(F.col("embedding")).alias("embedding"), (F.col("label") < 3).cast("bigint").alias("y"),
+                                                 group_split(group, SPLIT_SEED, VAL_SHARE, group % 5 == 0).alias("split"))
 
 
-def _scored(rows, fitted):
-    head = scoring.Head("trained", scoring.CHAMPION, "all", 0.5, 0.9, "fv1", weights=fitted.weights, mean=fitted.mean,
-                        std=fitted.std, intercept=fitted.intercept)
-    return rows.select("vec_id", "y", scoring.linear_probability(F.col("embedding"), head).alias("s"))
+def _sweep(spark, sf, strengths):
+    """(certificate, probabilities per row and strength, ranked counts per strength and split with the strength's threshold)."""
+    rows = _vectors(spark, sf)
+    train = rows.where("split = 'train'")
+    fits = training.train_heads(train, "embedding", "y", list(strengths))
+    scored = rows.select("vec_id", "split", "y", F.posexplode(training.probabilities(F.col("embedding"), fits)).alias("_i", "s"))
+    scored = scored.withColumn("c", F.get(F.array(*[F.lit(f.c) for f in fits]), F.col("_i"))).drop("_i")
+    ranked = materialize(E.ranked_counts(E.score_counts(scored, "y", "s", ["c", "split"]), ["c", "split"]), "ranked")
+    cut = E.thresholds(ranked.where("split = 'val'"), ["c"], TARGET)  # a row for each strength
+    return training.certificate(train, "embedding", "y", fits), scored, ranked.join(cut, "c")
+
+
+_RATIOS = ("prevalence", "threshold", "auroc", "brier", "sensitivity", "specificity", "precision", "f1")
+_ROUNDED = ", ".join(f"round({c}, 5) AS {c}" for c in _RATIOS)
 
 
-@query("train_head", None)
+@query("train_head", f"""SELECT split, n, tp, fp, tn, fn, {_ROUNDED}, true AS at_minimum FROM {{sweep_metrics}} WHERE c = {C_HEAD}""")
 def train_head(spark, sf):
-    """Probabilities of a freshly trained head; iterative, so SQL has no counterpart (tested by its gradient)."""
-    rows = _vectors(spark, sf)
-    return _scored(rows, training.train_heads(rows, "embedding", "y", [0.05])[0]).select("vec_id", "y", F.round("s", 4).alias("probability"))
+    """Fitted on train, its threshold chosen on val, its figures on each split; the gradient proves the fit."""
+    proof, _, ranked = _sweep(spark, sf, [C_HEAD])
+    metrics = E.model_metrics(ranked, ["c", "split", "threshold"])
+    at = proof.select("c", (F.col("gradient") < 1e-9).alias("at_minimum"))
+    return metrics.join(at, "c").select("split", "n", "tp", "fp", "tn", "fn", *[F.round(c, 5).alias(c) for c in _RATIOS], "at_minimum")
+
+
+@query("train_head_scores", f"SELECT vec_id, split, y, round(s, 4) AS probability FROM {{swept}} WHERE c = {C_HEAD}")
+def train_head_scores(spark, sf):
+    _, scored, _ = _sweep(spark, sf, [C_HEAD])
+    return scored.select("vec_id", "split", "y", F.round("s", 4).alias("probability"))
 
 
-# Regularisation strengths to compare.
-C_VALUES = (0.5, 0.05, 0.01, 0.002)
+_SWEEP_QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
 
 
-@query("c_sweep", None)
+@query("c_sweep", f"""SELECT c, n, tp, fp, tn, fn, {_ROUNDED}, {', '.join(f'round({q}, 5) AS {q}' for q in _SWEEP_QUANTILES)}, round(val_brier, 5) AS val_brier,
+  true AS at_minimum FROM {{sweep_metrics}} JOIN (SELECT c, {', '.join(f'quantile_cont(s, {p}) AS {q}' for q, p in _SWEEP_QUANTILES.items())} FROM {{swept}} WHERE split = 'test' GROUP BY c) USING (c)
+  JOIN (SELECT c, brier AS val_brier FROM {{sweep_metrics}} WHERE split = 'val') USING (c) WHERE split = 'test'""")
 def c_sweep(spark, sf):
-    """One training per strength: AUROC, Brier and the threshold that keeps 95 % sensitivity."""
-    from worklake.operators.recon import checks
-
-    parts, vectors = [], _vectors(spark, sf)
-    for fitted in training.train_heads(vectors, "embedding", "y", list(C_VALUES)):
-        rows, c = _scored(vectors, fitted), fitted.c
-        parts.append(E.auroc(rows, "y", "s").withColumn("c", F.lit(c)).withColumn("brier", E.brier(rows, "y", "s").scalar())
-                     .withColumn("threshold", E.choose_threshold(rows, "y", "s", 0.95).scalar()))
-    return checks(*parts).select("c", F.round("auroc", 4).alias("auroc"), F.round("brier", 4).alias("brier"),
-                                 F.round("threshold", 4).alias("threshold"))
+    """A head per strength, all scored in one pass over the rows and ranked in one table of counts."""
+    proof, _, ranked = _sweep(spark, sf, C_VALUES)
+    test, metrics = ranked.where("split = 'test'"), E.model_metrics(ranked, ["c", "split", "threshold"])
+    val = metrics.where("split = 'val'").select("c", F.round("brier", 5).alias("val_brier"))
+    q = E.model_quantiles(test, ["c"], _SWEEP_QUANTILES)
+    at = proof.select("c", (F.col("gradient") < 1e-9).alias("at_minimum"))
+    out = metrics.where("split = 'test'").join(q, "c").join(val, "c").join(at, "c")
+    return out.select("c", "n", "tp", "fp", "tn", "fn", *[F.round(c, 5).alias(c) for c in (*_RATIOS, *_SWEEP_QUANTILES)], "val_brier", "at_minimum")
+
+
+@query("c_sweep_bands", """SELECT s.c, CAST(cut AS DOUBLE) AS cut, count(*) FILTER (s >= cut) AS p1, coalesce(sum(y) FILTER (s >= cut), 0) AS p1_pos,
+  count(*) FILTER (s >= threshold AND s < cut) AS p2, coalesce(sum(y) FILTER (s >= threshold AND s < cut), 0) AS p2_pos, count(*) FILTER (s < threshold) AS p3,
+  coalesce(sum(y) FILTER (s < threshold), 0) AS p3_pos FROM {swept} s JOIN {cut_off} t ON t.c = s.c
+  CROSS JOIN (VALUES (0.8), (0.9), (0.95), (0.98), (0.99), (0.995), (0.999)) v(cut) WHERE split = 'test' AND CAST(cut AS DOUBLE) > threshold GROUP BY s.c, cut""")
+def c_sweep_bands(spark, sf):
+    """Rows and positives per band of every strength and candidate cut on test."""
+    _, _, ranked = _sweep(spark, sf, C_VALUES)
+    return E.model_bands(ranked.where("split = 'test'"), ["c"], CUTS)

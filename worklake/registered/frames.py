@@ -17,7 +17,6 @@ from worklake.operators.outcomes import model_truth, outcome_class
 from worklake.operators.queues import Shift, replay
 from worklake.operators.scoring import CHAMPION, TRIAL, Head, decide, heads_long, with_probabilities
 from worklake.registered.base import cte, table
-from worklake.session import has_hot_group
 
 # Fixed values of the stand-ins.
 SHIFT = Shift(servers=2, start_hour=8, minutes=5)
@@ -218,11 +217,6 @@ cte("queued", f"""SELECT f.*, t.triage_start_us, s.shadow_start_us,
   FROM {{q_fifo}} f JOIN {{q_triage}} t ON t.item_id = f.item_id JOIN {{q_shadow}} s ON s.item_id = f.item_id""")
 
 
-def is_hot(spark: SparkSession, sf: str) -> bool:
-    """Whether a business date is too large for one task; asked of the bare date column."""
-    return has_hot_group(events(spark, sf).select("business_date"), ["business_date"])
-
-
 def scored_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items with the decision of their row; NULL where the file was never found and nothing was scored."""
     all_items = decide(with_probabilities(items(spark, sf), HEADS, head_probability), "age_years", HEADS)
@@ -231,14 +225,13 @@ def scored_items(spark: SparkSession, sf: str) -> DataFrame:
                             *[F.when(found, F.col(c)).alias(c) for c in DECISION])
 
 
-def queued(spark: SparkSession, sf: str, hot: bool | None = None) -> DataFrame:
-    hot = is_hot(spark, sf) if hot is None else hot
+def queued(spark: SparkSession, sf: str) -> DataFrame:
     has_shadow = F.col("shadow_priority").isNotNull()
     band = F.when(has_shadow, F.col("shadow_priority")).otherwise(F.col("priority"))
     prob = F.when(has_shadow, F.col("shadow_probability")).otherwise(F.col("probability"))
     out = replay(scored_items(spark, sf), ["business_date"], "business_date", "arrival", "item_id", SHIFT,
                  {"triage": worklist_rank(F.col("priority"), F.col("probability")),
-                  "shadow": worklist_rank(band, prob)}, hot)
+                  "shadow": worklist_rank(band, prob)})
     for arm, start in (("fifo", "start_us"), ("triage", "triage_start_us"), ("shadow", "shadow_start_us")):
         out = out.withColumn(f"{arm}_wait_min", F.round((F.col(start) + _M - F.col("arrival_us")) / F.lit(60000000.0), 1))
     return out
@@ -264,9 +257,8 @@ cte("outcomes", """SELECT business_date, item_id, arrival, unit, age_years, file
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     from worklake.operators.ordered import numbered
 
-    hot = is_hot(spark, sf)
-    joined = queued(spark, sf, hot).join(reports(spark, sf), "item_id", "left")
-    joined = numbered(joined, ["business_date"], [F.col("triage_start_us"), F.col("item_id")], "triage_seq", hot)
+    joined = queued(spark, sf).join(reports(spark, sf), "item_id", "left")
+    joined = numbered(joined, ["business_date"], [F.col("triage_start_us"), F.col("item_id")], "triage_seq")
     known = F.col("finding").isNotNull()
     flagged = F.col("priority").isin("P1", "P2")
     truth = model_truth(F.col("triage_model"), F.col("finding"), F.startswith("file_name", F.lit("QC-")), FINDING_OF, "check")

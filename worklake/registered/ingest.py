@@ -34,7 +34,7 @@ def read_psv_trailer(spark, sf):
   'MATCHED' AS status FROM {raw}""")
 def trailer_check(spark, sf):
     """Each file's trailer against its own lines: files that are wrong in opposite ways don't make up for each other."""
-    totals = readers.trailer_totals(readers.read_trailers(spark, _exported(spark, sf, landing.export_psv)))
+    totals = readers.trailer_totals(readers.read_trailers(readers.psv_splits(spark, _exported(spark, sf, landing.export_psv), EVENT_RECORD)))
     status = recon.recon_status(F.greatest("files", F.lit(1)), F.col("agreeing"))
     return totals.select(F.col("trailer").alias("expected"), F.col("data_lines").alias("actual"),
                          (F.col("files") - F.col("agreeing")).alias("wrong_files"), status.alias("status"))
@@ -52,11 +52,26 @@ def read_jsonl_permissive(spark, sf):
     return readers.read_jsonl(spark, path, EVENT_RECORD).select(*COLUMNS, "parse_error")
 
 
-@query("read_csv_header", """SELECT event_id, ts, nullif(user_id, '') AS user_id, event_type, trim(note) AS note FROM {raw}""")
+@query("read_csv_header", """SELECT event_id, ts, user_id, event_type, trim(note) AS note, CAST(NULL AS VARCHAR) AS parse_error FROM {raw}
+  UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR), 'a "quoted", field', '', NULL FROM supplier
+  UNION ALL SELECT NULL, NULL, NULL, NULL, '', '2 fields, header has 5' FROM nation
+  UNION ALL SELECT NULL, NULL, NULL, NULL, '', '7 fields, header has 5' FROM region
+  UNION ALL SELECT NULL, NULL, NULL, NULL, '', 'no header' FROM region""")
 def read_csv_header(spark, sf):
+    """The extract, and files whose header has another order, an extra and a missing column; whose lines are too short or too long; and
+    whose first line is no header."""
     path = _exported(spark, sf, landing.export_csv)
+    other = table(spark, sf, "supplier").select(
+        F.lit("x").alias("extra"), F.lit('a "quoted", field').alias("event_type"), F.col("s_nationkey").cast("string").alias("user_id"),
+        F.concat(F.lit("S"), "s_suppkey").alias("event_id"), F.col("s_name").alias("ts"))
+    other.write.option("header", True).csv(f"{path}/reordered")
+    head, line = ",".join(COLUMNS), F.concat(F.col("r_regionkey").cast("string"), F.lit(",a,b,c,d,e,f"))
+    short, many = table(spark, sf, "nation").select(F.concat("n_nationkey", F.lit(",a")).alias("value")), table(spark, sf, "region").select(line.alias("value"))
+    for name, first, lines in (("short", head, short), ("long", head, many), ("headless", "1,2,3", many)):
+        framed = lines.select(F.lit(1).alias("_kind"), "value").unionByName(spark.range(1).select(F.lit(0).alias("_kind"), F.lit(first).alias("value")))
+        framed.repartition(1).sortWithinPartitions("_kind").select("value").write.text(f"{path}/{name}")  # 26 lines at most
     return readers.read_csv(spark, path, EVENT_RECORD).select(
-        "event_id", "ts", "user_id", "event_type", F.coalesce(F.trim("note"), F.lit("")).alias("note"))
+        "event_id", "ts", "user_id", "event_type", F.coalesce(F.trim("note"), F.lit("")).alias("note"), "parse_error")
 
 
 @query("export_extract_manifest", """SELECT 'events' AS source, business_date, count(*) AS records FROM {ev} GROUP BY business_date""")

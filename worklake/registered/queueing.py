@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from worklake.operators.ordered import numbered
 from worklake.operators.queues import at_time, busy_periods, fifo_slots
 from worklake.registered.base import query
-from worklake.registered.frames import _M, SHIFT, is_hot, items, outcomes, queued
+from worklake.registered.frames import _M, SHIFT, items, outcomes, queued
 
 _AT = "CAST(business_date AS TIMESTAMP) + INTERVAL 8 HOUR + to_microseconds(CAST({} AS BIGINT))"
 
@@ -17,7 +17,7 @@ _AT = "CAST(business_date AS TIMESTAMP) + INTERVAL 8 HOUR + to_microseconds(CAST
 def queue_fifo(spark, sf):
     """Arrival order in closed form: two windows, no row leaves the JVM."""
     slots = fifo_slots(items(spark, sf).select("business_date", "item_id", "arrival"), ["business_date"], "business_date",
-                       "arrival", "item_id", SHIFT, is_hot(spark, sf))
+                       "arrival", "item_id", SHIFT)
     ended = slots.withColumn("end_us", F.col("start_us") + _M)
     return ended.select("business_date", "item_id", "pos", at_time("business_date", "start_us", SHIFT).alias("starts"),
                         at_time("business_date", "end_us", SHIFT).alias("ends"),
@@ -29,7 +29,7 @@ def queue_fifo(spark, sf):
   FROM {{q_fifo}})""")
 def queue_busy_periods(spark, sf):
     return busy_periods(items(spark, sf).select("business_date", "item_id", "arrival"), ["business_date"], "business_date",
-                        "arrival", "item_id", SHIFT, is_hot(spark, sf)).select("business_date", "item_id", "period")
+                        "arrival", "item_id", SHIFT).select("business_date", "item_id", "period")
 
 
 @query("queue_triage", f"""SELECT business_date, item_id, {_AT.replace('{}', 'triage_start_us')} AS starts, triage_wait_min FROM {{queued}}""")
@@ -56,7 +56,7 @@ def slot_reader_id(spark, sf):
     """Items go round the servers in arrival order, which is a valid assignment: a server's items never overlap.
     With one server it is the only one; with more, servers that get free at the same moment are interchangeable."""
     slots = fifo_slots(items(spark, sf).select("business_date", "item_id", "arrival"), ["business_date"], "business_date",
-                       "arrival", "item_id", SHIFT, is_hot(spark, sf))
+                       "arrival", "item_id", SHIFT)
     return slots.select("business_date", "item_id",
                         F.concat(F.lit("RAD"), F.lpad((F.col("server") + 1).cast("string"), 2, "0")).alias("reader"))
 
@@ -64,9 +64,8 @@ def slot_reader_id(spark, sf):
 @query("triage_seq", """SELECT business_date, item_id, row_number() OVER (PARTITION BY business_date ORDER BY triage_start_us, item_id) AS triage_seq
   FROM {queued}""")
 def triage_seq(spark, sf):
-    hot = is_hot(spark, sf)
-    return numbered(queued(spark, sf, hot).select("business_date", "item_id", "triage_start_us"), ["business_date"],
-                    [F.col("triage_start_us"), F.col("item_id")], "triage_seq", hot).drop("triage_start_us")
+    return numbered(queued(spark, sf).select("business_date", "item_id", "triage_start_us"), ["business_date"],
+                    [F.col("triage_start_us"), F.col("item_id")], "triage_seq").drop("triage_start_us")
 
 
 @query("outcome_class", "SELECT item_id, priority, finding, outcome FROM {outcomes}")

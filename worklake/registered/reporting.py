@@ -10,7 +10,7 @@ from worklake.operators import recon
 from worklake.plans import dashboards as D
 from worklake.plans import views as V
 from worklake.registered.base import cte, query, table
-from worklake.registered.frames import (EVENT_RECORD, events, heads_judged, is_hot, items, outcomes, raw_records, reports,
+from worklake.registered.frames import (EVENT_RECORD, events, heads_judged, items, outcomes, raw_records, reports,
                                         scored_items)
 from worklake.registered.ingest import bronze_checks
 from worklake.session import materialize
@@ -44,7 +44,7 @@ cte("daily", f"""SELECT c.*, {_ratios}, round(CAST(reported AS DOUBLE) / studies
 
 
 def waits(spark, sf, rows=None):
-    return O.group_waits(outcomes(spark, sf) if rows is None else rows, ["business_date"], _classes(), ARMS, is_hot(spark, sf))
+    return O.group_waits(outcomes(spark, sf) if rows is None else rows, ["business_date"], _classes(), ARMS)
 
 
 def daily(spark, sf, rows=None):

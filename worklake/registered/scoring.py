@@ -11,7 +11,6 @@ from worklake.operators.outcomes import confusion_counts, with_ratios
 from worklake.operators.quantiles import exact_quantiles
 from worklake.registered.base import query, table
 from worklake.registered.frames import decided, events, head_scores, heads_judged, scored_items, sql_hash
-from worklake.session import max_group_rows
 
 # Weight vectors of two heads over 64 inputs, by rule.
 DIMENSION = 64
@@ -70,7 +69,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def quality_reference(spark, sf):
     ref = table(spark, sf, "lineitem").where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).select(*FEATURES)
     long = ref.unpivot([], FEATURES, "feature", "value")
-    q = exact_quantiles(long, ["feature"], "value", {"p01": 0.01, "p99": 0.99}, ref.count() > max_group_rows(spark))
+    q = exact_quantiles(long, ["feature"], "value", {"p01": 0.01, "p99": 0.99})
     moments = long.groupBy("feature").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"))
     return q.join(moments, "feature").select("feature", F.round("p01", 6).alias("p01"), F.round("p99", 6).alias("p99"), "mean", "std")
 
@@ -100,7 +99,7 @@ def scoring_run_summary(spark, sf):
 def batch_worklist(spark, sf):
     """The whole ranking, numbered over pieces of the order."""
     rows = decided(spark, sf).where("probability is not null").select("item_id", "priority", "probability").withColumn("_all", F.lit(0))
-    placed = numbered(rows, ["_all"], [F.col("probability").desc(), F.col("item_id")], "place", hot=True)
+    placed = numbered(rows, ["_all"], [F.col("probability").desc(), F.col("item_id")], "place")
     return placed.select("item_id", "priority", "probability", F.col("place").cast("int").alias("place"))
 
 

@@ -10,7 +10,7 @@ from worklake.operators import joins, latest
 from worklake.operators.ordered import numbered
 from worklake.operators.sampling import overlap_pairs
 from worklake.registered.base import cte, query, table
-from worklake.registered.frames import (EVENT_RECORD, birth_date, decided, events, is_hot, items, queued, raw_records,
+from worklake.registered.frames import (EVENT_RECORD, birth_date, decided, events, items, queued, raw_records,
                                         reports, scored_items, signed_reports, sql_hash)
 
 
@@ -283,7 +283,7 @@ def latest_stage_status(spark, sf):
 @query("fifo_seq", """SELECT business_date, item_id, row_number() OVER (PARTITION BY business_date ORDER BY arrival, item_id) AS fifo_seq FROM {items}""")
 def fifo_seq(spark, sf):
     return numbered(items(spark, sf).select("business_date", "item_id", "arrival"), ["business_date"],
-                    [F.col("arrival"), F.col("item_id")], "fifo_seq", is_hot(spark, sf)).drop("arrival")
+                    [F.col("arrival"), F.col("item_id")], "fifo_seq").drop("arrival")
 
 
 @query("is_latest_global", """SELECT business_date, event_id, CASE WHEN business_date = (SELECT max(business_date) FROM {ev}) THEN 1 ELSE 0 END
@@ -306,6 +306,6 @@ def is_latest_after_group(spark, sf):
 def worklist_order(spark, sf):
     rows = scored_items(spark, sf)
     order = [*S.worklist_rank(F.col("priority"), F.col("probability")), F.col("arrival"), F.col("item_id")]
-    return numbered(rows, ["business_date"], order, "place", is_hot(spark, sf)).select("business_date", "item_id", "priority", "place")
+    return numbered(rows, ["business_date"], order, "place").select("business_date", "item_id", "priority", "place")
 
 

@@ -1,23 +1,22 @@
-"""Session-level settings: where shared intermediate tables go, and how big one group may get."""
+"""Session-level settings: where shared intermediate tables go, and how many rows a piece of an ordered scan takes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of one group that a single window or grouped task may hold. Groups beyond it take the
-# chunked path, which gives the same rows.
-MAX_GROUP_ROWS = "spark.worklake.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 1_000_000
+# Rows that one task of an ordered scan, or of a grouped match, is to take.
+PIECE_ROWS = "spark.worklake.pieceRows"
+DEFAULT_PIECE_ROWS = 1_000_000
 
 _local_scratch: str | None = None
 
 
-def max_group_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(MAX_GROUP_ROWS, str(DEFAULT_MAX_GROUP_ROWS)))
+def piece_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(PIECE_ROWS, str(DEFAULT_PIECE_ROWS)))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -45,14 +44,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def has_hot_group(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    """True when some group of df holds more rows than one task should take."""
-    limit = limit or max_group_rows(df.sparkSession)
-    if df.count() <= limit:
-        return False
-    return not df.groupBy(*keys).count().where(F.col("count") > limit).isEmpty()
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint when it is seen to hold at most `rows` rows; else Spark joins it by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def stored_rows(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """materialize, and the number of rows as observed while they were written: no job of its own."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return stored, seen.get["rows"]

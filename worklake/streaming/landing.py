@@ -24,13 +24,12 @@ def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
 def ingest_new_files(spark: SparkSession, landing: str, contract: Contract, bronze: str, quarantine: str,
                      checkpoint: str) -> StreamingQuery:
     """Start a run over all JSON-lines files that are new under landing; it ends when they are done."""
-    lines = spark.readStream.option("recursiveFileLookup", True).text(landing).select(
-        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_source_file"),
-        F.col("_metadata.file_block_start").alias("_block"))
+    lines = spark.readStream.option("recursiveFileLookup", True).text(landing).select("value", "_metadata")
 
     def batch(df: DataFrame, number: int) -> None:
-        placed = df.withColumn("_seq", F.monotonically_increasing_id())
-        found = annotated(readers.parse_json_lines(readers.line_numbered(placed), contract), contract, "parse_error")
+        placed = readers.placed_lines(df)
+        numbered = readers.numbered_lines(placed, readers.split_table(placed))
+        found = annotated(readers.parse_json_lines(numbered, contract), contract, "parse_error")
         found = materialize(found, "annotated")
         keep = ["_source_file", "_line"]
         _write_batch(valid_rows(found, contract, keep), bronze, number)
