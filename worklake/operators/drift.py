@@ -77,9 +77,11 @@ def drift_level(psi_max: Column, rows: Column, warn: float, alert: float, min_ro
     return (F.when(rows < min_rows, "TOO_FEW").when(worst >= alert, "ALERT").when(worst >= warn, "WARN").otherwise("OK"))
 
 
-def drift_report(psi_rows: DataFrame, rows: Column, warn: float, alert: float, min_rows: int) -> DataFrame:
-    """One row: psi of every feature as JSON, the worst, and the level."""
-    kept = psi_rows.select("feature", F.round("psi", 4).alias("psi"))
-    return kept.agg(F.max("psi").alias("psi_max"),
-                    F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "psi"))))).alias("psi_json")) \
-        .withColumn("drift_level", drift_level(F.col("psi_max"), rows, warn, alert, min_rows))
+def drift_report(psi_rows: DataFrame, sizes: DataFrame, keys: list[str], warn: float, alert: float, min_rows: int) -> DataFrame:
+    """Per key of sizes (keys, rows): psi of every feature as JSON, the worst, and the level; without a feature NULL, {} and TOO_FEW."""
+    entry = F.concat(F.lit('"'), "feature", F.lit('":'), F.format_string("%.4f", F.col("psi")))
+    found = psi_rows.select(*keys, "feature", F.round("psi", 4).alias("psi")).groupBy(*keys).agg(
+        F.max("psi").alias("psi_max"), F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("psi_json"))
+    level = F.when(F.col("psi_max").isNull(), "TOO_FEW").otherwise(drift_level(F.col("psi_max"), F.col("rows"), warn, alert, min_rows))
+    return sizes.join(found, keys, "left").select(
+        *keys, "rows", "psi_max", F.coalesce("psi_json", F.lit("{}")).alias("psi_json"), level.alias("drift_level"))

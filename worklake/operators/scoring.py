@@ -128,8 +128,9 @@ def run_summary(decided: DataFrame, keys: list[str], wanted: str = "wanted", sco
         F.count_if(F.col(wanted) & ~F.col(scored)).alias("missing"),
         band("P1").alias("p1"), band("P2").alias("p2"), band("P3").alias("p3"), band("NA").alias("not_triaged"),
         F.count_if(F.col(scored) & (F.col("quality_check") == "UNSUITABLE")).alias("unsuitable"))
-    return out.withColumn("status", F.when(F.col("studies") == 0, "FAILED")
-                          .when(F.col("missing") > 0, "PARTIAL").otherwise("SUCCEEDED"))
+    none, some = F.col("studies") == 0, F.col("missing") > 0
+    return out.withColumn("status", F.when(none, "FAILED").when(some, "PARTIAL").otherwise("SUCCEEDED")).withColumn(
+        "message", F.when(none, "no items for the date").when(some, F.concat(F.lit("files not found: "), F.col("missing"))).otherwise(""))
 
 
 def versions_json(long: DataFrame, keys: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ def v_triage_outcome(outcomes: DataFrame, facts: DataFrame, persons: DataFrame,
     p = persons.select(person, *person_columns)
     joined = outcomes.join(f, [DAY, item]).join(p, person, "left")
     shaped = joined.select(
-        DAY, item, *fact_columns, *person_columns, "fifo_seq", "triage_seq", "probability",
+        DAY, item, "arrival", "unit", "age_years", *fact_columns, *person_columns, "fifo_seq", "triage_seq", "probability",
         age_band(F.col("age_years")).alias("age_band"), "population", "triage_model", "quality_check", "shadow_priority",
         "shadow_model", F.coalesce("priority", F.lit("UNSCORED")).alias("priority"), "model_version", "truth_known",
         "finding", "outcome", "fifo_wait_min", "triage_wait_min", "shadow_wait_min", "wait_saved_min",

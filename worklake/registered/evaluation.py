@@ -15,6 +15,8 @@ from worklake.operators.outcomes import trial_evidence
 from worklake.operators.quantiles import exact_quantiles
 from worklake.operators.sampling import group_split
 from worklake.registered.base import cte, query, table
+from worklake.registered.drifting import REPORT as _REPORT
+from worklake.registered.drifting import psi_sql
 from worklake.registered.frames import sql_hash
 from worklake.registered.reporting import model_daily, model_events
 from worklake.session import materialize
@@ -127,15 +129,21 @@ def psi(spark, sf):
     return psi_rows(spark, sf).select("feature", F.round("psi", 6).alias("psi"))
 
 
-@query("drift_report", """SELECT max(round(psi, 4)) AS psi_max, '{{' || string_agg('"' || feature || '":' || printf('%.1f', 0.0), ',' ORDER BY feature) || '}}' AS zeros,
-  count(*) AS features, CASE WHEN max(psi) >= 0.25 THEN 'ALERT' WHEN max(psi) >= 0.10 THEN 'WARN' ELSE 'OK' END AS drift_level FROM {psi_all}""")
+cte("in_scope_lines", f"""SELECT *, CASE WHEN l_orderkey % 50 = 0 THEN 'rare' ELSE l_returnflag END AS lot, {_IS_REF} AS is_ref FROM lineitem WHERE l_discount > 0""")
+cte("lot_psi", psi_sql("{in_scope_lines}", FEATURES, "is_ref", "lot"))
+
+
+@query("drift_report", f"""SELECT lot, n.rows, psi_max, psi_json, CASE WHEN n.rows < 1000 THEN 'TOO_FEW' WHEN psi_max >= 0.25 THEN 'ALERT' WHEN psi_max >= 0.10 THEN 'WARN' ELSE 'OK' END AS drift_level
+  FROM (SELECT key AS lot, {_REPORT} FROM {{lot_psi}} GROUP BY key) p JOIN (SELECT lot, count(*) AS rows FROM {{in_scope_lines}} WHERE NOT is_ref GROUP BY lot) n USING (lot)""")
 def drift_report(spark, sf):
-    """The report's JSON is checked by its keys, its numbers by the maximum."""
-    rows = psi_rows(spark, sf)
-    report = R.drift_report(rows, F.lit(1000), 0.10, 0.25, 30)
-    shown = F.map_keys(F.from_json("psi_json", "map<string,double>"))
-    zeros = F.concat(F.lit("{"), F.array_join(F.transform(shown, lambda k: F.concat(F.lit('"'), k, F.lit('":0.0'))), ","), F.lit("}"))
-    return report.select("psi_max", zeros.alias("zeros"), F.size(shown).cast("bigint").alias("features"), "drift_level")
+    """Lots of later lines in scope (with a discount) against the stored bins of the earlier ones, which are read once."""
+    is_ref = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    lines = table(spark, sf, "lineitem").where("l_discount > 0")
+    reference = materialize(R.reference_bins(lines.where(is_ref), FEATURES), "bins")
+    now = lines.where(~is_ref).withColumn("lot", F.when(F.col("l_orderkey") % 50 == 0, "rare").otherwise(F.col("l_returnflag")))
+    counts = R.value_counts(now, FEATURES, "lot")
+    sizes = now.groupBy("lot").agg(F.count(F.lit(1)).alias("rows"))
+    return R.drift_report(R.psi_of_counts(reference, counts, "lot"), sizes, ["lot"], 0.10, 0.25, 1000)
 
 
 @query("drift_level", """SELECT event_type, user_id, count(*) AS n, round(max(value) / 2000, 6) AS worst, CASE WHEN count(*) < 12 THEN 'TOO_FEW'
@@ -170,13 +178,21 @@ GATE = [G.Rule("auroc", "auroc", at_least=0.94), G.Rule("sensitivity", "sensitiv
         G.Rule("specificity", "specificity", at_least=0.65), G.Rule("brier", "brier", at_most=0.12)]
 
 
-@query("kpi_gate", """SELECT candidate, check_name, passed FROM (SELECT candidate, 'auroc' AS check_name, auroc >= 0.94 AS passed FROM {candidates}
-  UNION ALL SELECT candidate, 'sensitivity', sensitivity >= 0.93 FROM {candidates} UNION ALL SELECT candidate, 'specificity', specificity >= 0.65 FROM {candidates}
-  UNION ALL SELECT candidate, 'brier', brier <= 0.12 FROM {candidates} UNION ALL SELECT candidate, 'trained on the whole table', built_limit = 0 FROM {candidates}
-  UNION ALL SELECT candidate, 'feature hash matches', feature_hash = 'aaaa' FROM {candidates}
-  UNION ALL SELECT candidate, 'no regression against the incumbent', coalesce(auroc >= coalesce(champion_auroc, trial_auroc) - CAST(0.01 AS DOUBLE), true) FROM {candidates})""")
+_INCUMBENT = "coalesce(champion_auroc, trial_auroc)"
+
+
+@query("kpi_gate", f"""SELECT candidate, check_name, CAST(value AS DOUBLE) AS value, rule, passed FROM (
+  SELECT candidate, 'auroc' AS check_name, auroc AS value, '>= 0.94' AS rule, auroc >= 0.94 AS passed FROM {{candidates}}
+  UNION ALL SELECT candidate, 'sensitivity', sensitivity, '>= 0.93', sensitivity >= 0.93 FROM {{candidates}}
+  UNION ALL SELECT candidate, 'specificity', specificity, '>= 0.65', specificity >= 0.65 FROM {{candidates}}
+  UNION ALL SELECT candidate, 'brier', brier, '<= 0.12', brier <= 0.12 FROM {{candidates}}
+  UNION ALL SELECT candidate, 'trained on the whole table', built_limit, 'no limit', built_limit = 0 FROM {{candidates}}
+  UNION ALL SELECT candidate, 'feature hash matches', NULL, '== aaaa', feature_hash = 'aaaa' FROM {{candidates}}
+  UNION ALL SELECT candidate, 'no regression against the incumbent', CASE WHEN {_INCUMBENT} IS NOT NULL THEN auroc END,
+    CASE WHEN {_INCUMBENT} IS NULL THEN 'no incumbent yet' ELSE '>= ' || printf('%.4f', {_INCUMBENT} - CAST(0.01 AS DOUBLE)) END,
+    coalesce(auroc >= {_INCUMBENT} - CAST(0.01 AS DOUBLE), true) FROM {{candidates}})""")
 def kpi_gate(spark, sf):
-    return G.gate(candidates(spark, sf), ["candidate"], GATE, "aaaa", 0.01).select("candidate", "check_name", "passed")
+    return G.gate(candidates(spark, sf), ["candidate"], GATE, "aaaa", 0.01).select("candidate", "check_name", "value", "rule", "passed")
 
 
 @query("kpi_gate_verdict", """SELECT candidate, failed_checks = 0 AS passed, failed_checks FROM (SELECT candidate,

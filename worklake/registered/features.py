@@ -166,13 +166,11 @@ def array_stats(spark, sf):
     return stats.select("vec_id", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p05", "p95", "spread", "roughness")], "size")
 
 
-@query("assemble_inputs", """SELECT vec_id, len(embedding) + 2 AS size, round(list_sum(CAST(embedding AS DOUBLE[])) + label + 1, 6) AS total FROM embeddings""")
+@query("assemble_inputs", """SELECT vec_id, unnest(range(len(x))) AS place, round(unnest(x), 6) AS value FROM (
+  SELECT vec_id, list_concat(CAST(embedding AS DOUBLE[]), [CAST(label AS DOUBLE), CAST(1 AS DOUBLE)]) AS x FROM embeddings)""")
 def assemble(spark, sf):
-    """Embedding and two extra numbers in the fixed order, checked by size and sum."""
+    """Embedding and two extra numbers in the fixed order, whatever order they are asked for in; compared place by place."""
     e = table(spark, sf, "embeddings")
     parts = {"embedding": F.col("embedding"), "quality": F.array(F.col("label").cast("double"), F.lit(1.0))}
-    x = assemble_inputs(parts, ["quality", "embedding"])
-    return e.select("vec_id", x.alias("x")).select("vec_id", F.size("x").alias("size"), F.round(
-        F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
-
-
+    return e.select("vec_id", F.posexplode(assemble_inputs(parts, ["quality", "embedding"])).alias("place", "value")).select(
+        "vec_id", F.col("place").cast("bigint").alias("place"), F.round("value", 6).alias("value"))

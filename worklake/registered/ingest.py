@@ -94,14 +94,18 @@ def manifest_check(spark, sf):
 
 
 @query("discover_from_path", """SELECT event_type AS label_name, strftime(business_date, 'business_date=%Y-%m-%d') AS source_split,
-  1 AS has_files FROM {ev} GROUP BY ALL""")
+  '/files/' || strftime(business_date, 'business_date=%Y-%m-%d') || '/label=' || event_type AS folder, CAST(sum(strlen(props) + 1) AS BIGINT) AS bytes FROM {ev} GROUP BY ALL""")
 def discover_from_path(spark, sf):
-    path = scratch_path(spark, "files")
+    """Each file's folder, the label and split taken from it, and its bytes; files of another kind beside them are left out."""
+    path = f"{scratch_path(spark, 'tree')}/files"
     (events(spark, sf).select("business_date", F.col("event_type").alias("label"), F.col("props").alias("value"))
      .hint("rebalance", "business_date").write.partitionBy("business_date", "label").text(path))
+    events(spark, sf).select("business_date", F.col("event_type").alias("label"), "event_id").hint("rebalance", "business_date").write.partitionBy(
+        "business_date", "label").mode("append").json(path)
     found = readers.discover(spark, path, [".txt"])
-    return found.groupBy(F.regexp_replace("label_name", "^label=", "").alias("label_name"), "source_split").agg(
-        F.when(F.sum("length") > 0, 1).otherwise(0).alias("has_files"))
+    folder = F.regexp_extract("path", r"(/files/.*)/[^/]+$", 1)
+    return found.groupBy(F.regexp_replace("label_name", "^label=", "").alias("label_name"), "source_split", folder.alias("folder")).agg(
+        F.sum("length").alias("bytes"))
 
 
 # ---- tables

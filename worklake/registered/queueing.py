@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from worklake.operators.ordered import numbered
@@ -51,12 +53,11 @@ def wait_compare(spark, sf):
     return queued(spark, sf).select("item_id", "fifo_wait_min", "triage_wait_min", "shadow_wait_min", saved.alias("wait_saved_min"))
 
 
-@query("slot_reader_id", """SELECT business_date, item_id, 'RAD' || lpad(CAST(pos % 2 + 1 AS VARCHAR), 2, '0') AS reader FROM {q_fifo}""")
+@query("slot_reader_id", """SELECT business_date, item_id, 'RAD01' AS reader FROM {q_fifo}""")
 def slot_reader_id(spark, sf):
-    """Items go round the servers in arrival order, which is a valid assignment: a server's items never overlap.
-    With one server it is the only one; with more, servers that get free at the same moment are interchangeable."""
+    """With one server, as a shift has it: with more, which of several idle servers takes an item is left open."""
     slots = fifo_slots(items(spark, sf).select("business_date", "item_id", "arrival"), ["business_date"], "business_date",
-                       "arrival", "item_id", SHIFT)
+                       "arrival", "item_id", replace(SHIFT, servers=1))
     return slots.select("business_date", "item_id",
                         F.concat(F.lit("RAD"), F.lpad((F.col("server") + 1).cast("string"), 2, "0")).alias("reader"))
 

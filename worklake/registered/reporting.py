@@ -13,6 +13,7 @@ from worklake.registered.base import cte, query, table
 from worklake.registered.frames import (EVENT_RECORD, events, heads_judged, items, outcomes, raw_records, reports,
                                         scored_items)
 from worklake.registered.ingest import bronze_checks
+from worklake.registered.scoring import run_summaries
 from worklake.session import materialize
 
 ARMS = {a: f"{a}_wait_min" for a in ("fifo", "triage", "shadow")}
@@ -116,7 +117,7 @@ def late_truth_refresh(spark, sf):
 
 # ---- views
 
-cte("v_outcome", """SELECT o.business_date, o.item_id, i.value, c.c_mktsegment, o.fifo_seq, o.triage_seq, o.probability,
+cte("v_outcome", """SELECT o.business_date, o.item_id, o.arrival, o.unit, o.age_years, i.value, c.c_mktsegment, o.fifo_seq, o.triage_seq, o.probability,
   CASE WHEN o.age_years IS NULL THEN 'UNKNOWN' WHEN o.age_years < 1 THEN '<1' WHEN o.age_years < 3 THEN '1-2'
   WHEN o.age_years < 18 THEN '3-17' WHEN o.age_years < 40 THEN '18-39' WHEN o.age_years < 65 THEN '40-64' ELSE '65+' END AS age_band,
   o.population, o.triage_model, o.quality_check, o.shadow_priority, o.shadow_model, coalesce(o.priority, 'UNSCORED') AS priority,
@@ -197,14 +198,17 @@ def v_model_event(spark, sf):
     return V.v_model_event(model_events(spark, sf), "default", "event_id")
 
 
-cte("runs", """SELECT business_date, 'score-' || unit AS run_id, max(arrival) AS ended_at, count(*) AS studies, count(priority) AS scored,
-  count(*) FILTER (priority = 'P1') AS p1 FROM {scored_items} GROUP BY business_date, unit""")
+# A date's run is repeated once; the first ended an hour before.
+cte("runs", """SELECT r.*, 'score-' || business_date || '-' || attempt AS run_id, CAST(business_date AS TIMESTAMP) + to_hours(20 + attempt) AS ended_at,
+  CASE attempt WHEN 0 THEN 'schedule' ELSE 'user' END AS triggered_by FROM {run_summary} r, (SELECT unnest([0, 1]) AS attempt)""")
 
 
 def runs(spark, sf):
-    per_run = scored_items(spark, sf).groupBy("business_date", F.concat(F.lit("score-"), F.col("unit")).alias("run_id")).agg(
-        F.max("arrival").alias("ended_at"), F.count(F.lit(1)).alias("studies"), F.count("priority").alias("scored"),
-        F.count_if(F.col("priority") == "P1").alias("p1"))
+    attempt = F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt")
+    per_run = run_summaries(spark, sf).select("*", attempt).select(
+        "*", F.concat_ws("-", F.lit("score"), F.col("business_date").cast("string"), "attempt").alias("run_id"),
+        F.timestamp_add("HOUR", F.col("attempt") + 20, F.col("business_date").cast("timestamp_ntz")).alias("ended_at"),
+        F.when(F.col("attempt") == 0, "schedule").otherwise("user").alias("triggered_by")).drop("attempt")
     return materialize(per_run, "runs")  # a log table: written by the runs, read by the view
 
 
@@ -284,12 +288,13 @@ def v_stage_status(spark, sf):
 
 
 @query("v_quarantine", """SELECT business_date, 'events' AS source_system, 'event_record' AS entity, 'events.psv' AS file_name,
-  CAST(event_id AS BIGINT) AS line_no, reasons FROM {reasoned} WHERE reasons IS NOT NULL""")
+  CAST(event_id AS BIGINT) AS line_no, reasons, '{{' || concat_ws(',', '"event_id":"' || event_id || '"', '"ts":"' || ts || '"', '"user_id":"' || user_id || '"',
+  '"event_type":"' || event_type || '"', '"note":"' || note || '"') || '}}' AS source_record FROM {reasoned} WHERE reasons IS NOT NULL""")
 def v_quarantine(spark, sf):
     found = C.annotated(raw_records(spark, sf), EVENT_RECORD)
     bad = C.quarantined_rows(found, EVENT_RECORD, ["business_date", F.lit("events").alias("source"), F.lit("events.psv").alias("_source_file"),
                                                    F.col("event_id").cast("bigint").alias("_line")])
-    return V.v_quarantine(bad).drop("source_record")
+    return V.v_quarantine(bad)
 
 
 # ---- view against view

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worklake.functions import scalars as S
-from worklake.operators import scoring
+from worklake.functions.scalars import in_scope as in_scope_of
+from worklake.operators import drift, scoring
 from worklake.operators.ordered import numbered
 from worklake.operators.outcomes import confusion_counts, with_ratios
 from worklake.operators.quantiles import exact_quantiles
-from worklake.registered.base import query, table
+from worklake.registered.base import cte, query, table
+from worklake.registered.drifting import REPORT as _REPORT
+from worklake.registered.drifting import psi_sql
 from worklake.registered.frames import decided, events, head_scores, heads_judged, scored_items, sql_hash
+from worklake.session import materialize
 
 # Weight vectors of two heads over 64 inputs, by rule.
 DIMENSION = 64
@@ -80,18 +84,50 @@ def quality_flags(spark, sf):
     return events(spark, sf).select("event_id", scoring.quality_flags({"value": (1.0, 100.0), "k": (5, 90)}).alias("quality_flags"))
 
 
-@query("scoring_run_summary", """SELECT r.*, v.heads_json FROM (SELECT business_date, count(*) AS studies, count(priority) AS scored,
-  count(*) - count(priority) AS missing, count(*) FILTER (priority = 'P1') AS p1, count(*) FILTER (priority = 'P2') AS p2,
-  count(*) FILTER (priority = 'P3') AS p3, count(*) FILTER (priority = 'NA') AS not_triaged,
-  count(*) FILTER (quality_check = 'UNSUITABLE') AS unsuitable,
-  CASE WHEN count(*) > count(priority) THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS status FROM {scored_items} GROUP BY business_date) r
-  JOIN (SELECT business_date, '{{' || string_agg('"' || model || '/' || stage || '":"' || v || '"', ',' ORDER BY model || '/' || stage) || '}}' AS heads_json
-    FROM (SELECT business_date, model, stage, max(model_version) AS v FROM {head_scores} GROUP BY ALL) GROUP BY business_date) v
-  ON v.business_date = r.business_date""")
-def scoring_run_summary(spark, sf):
-    rows = scored_items(spark, sf).withColumn("wanted", F.lit(True)).withColumn("scored", F.col("priority").isNotNull())
+# A run is a business date; the day after the last has no items. Drift is judged on items in scope of the main head, against earlier ones.
+QUALITY = ["value", "k"]
+_REFERENCE_END, _MIN_ROWS = "2024-01-05", 57
+cte("drift_items", f"""SELECT business_date, value, k, business_date < DATE '{_REFERENCE_END}' AS is_ref FROM {{scored_items}}
+  WHERE priority IS NOT NULL AND (age_years IS NULL OR age_years < 18)""")
+cte("run_psi", psi_sql("(SELECT *, false AS copy FROM {drift_items} WHERE is_ref UNION ALL SELECT business_date, value, k, false, true FROM {drift_items})", QUALITY, "is_ref", "business_date"))
+cte("run_drift", f"""SELECT business_date, n AS drift_rows, psi_max, coalesce(psi_json, '{{{{}}}}') AS psi_json, CASE WHEN psi_max IS NULL OR n < {_MIN_ROWS} THEN 'TOO_FEW'
+  WHEN psi_max >= 0.25 THEN 'ALERT' WHEN psi_max >= 0.10 THEN 'WARN' ELSE 'OK' END AS drift_level FROM (SELECT business_date, count(*) AS n FROM {{drift_items}} GROUP BY business_date)
+  LEFT JOIN (SELECT key AS business_date, {_REPORT} FROM {{run_psi}} GROUP BY key) USING (business_date)""")
+cte("run_summary", """SELECT d.business_date, coalesce(studies, 0) AS studies, coalesce(scored, 0) AS scored, coalesce(missing, 0) AS missing, coalesce(p1, 0) AS p1,
+  coalesce(p2, 0) AS p2, coalesce(p3, 0) AS p3, coalesce(not_triaged, 0) AS not_triaged, coalesce(unsuitable, 0) AS unsuitable,
+  CASE WHEN studies IS NULL THEN 'FAILED' WHEN missing > 0 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS status,
+  CASE WHEN studies IS NULL THEN 'no items for the date' WHEN missing > 0 THEN 'files not found: ' || missing ELSE '' END AS message, heads_json,
+  coalesce(drift_rows, 0) AS drift_rows, psi_max, coalesce(psi_json, '{{}}') AS psi_json, coalesce(drift_level, 'TOO_FEW') AS drift_level
+  FROM (SELECT DISTINCT business_date FROM {ev} UNION ALL SELECT CAST(max(business_date) + INTERVAL 1 DAY AS DATE) FROM {ev}) d
+  LEFT JOIN (SELECT business_date, count(*) AS studies, count(priority) AS scored, count(*) - count(priority) AS missing, count(*) FILTER (priority = 'P1') AS p1,
+    count(*) FILTER (priority = 'P2') AS p2, count(*) FILTER (priority = 'P3') AS p3, count(*) FILTER (priority = 'NA') AS not_triaged,
+    count(*) FILTER (quality_check = 'UNSUITABLE') AS unsuitable FROM {scored_items} GROUP BY business_date) r USING (business_date)
+  LEFT JOIN (SELECT business_date, '{{' || string_agg('"' || model || '/' || stage || '":"' || v || '"', ',' ORDER BY model || '/' || stage) || '}}' AS heads_json
+    FROM (SELECT business_date, model, stage, max(model_version) AS v FROM {head_scores} GROUP BY ALL) GROUP BY business_date) v USING (business_date)
+  LEFT JOIN {run_drift} USING (business_date)""")
+
+
+def run_summaries(spark, sf):
+    """One row per run: volumes, status with its message, versions, drift against the bins that were stored of the reference."""
+    rows = scored_items(spark, sf)
+    in_scope = rows.where(F.col("priority").isNotNull() & in_scope_of(F.lit("pediatric"), F.col("age_years")))
+    early = F.col("business_date") < F.lit(_REFERENCE_END).cast("date")
+    reference = materialize(drift.reference_bins(in_scope.where(early), QUALITY), "bins")
+    dates = events(spark, sf).select("business_date")
+    runs = dates.distinct().unionByName(dates.agg(F.date_add(F.max("business_date"), 1).alias("business_date")))
+    wanted = runs.join(rows.withColumn("wanted", F.lit(True)).withColumn("scored", F.col("priority").isNotNull()), "business_date", "left")
+    counts = drift.value_counts(in_scope, QUALITY, "business_date")
+    sizes = runs.join(in_scope.groupBy("business_date").agg(F.count(F.lit(1)).alias("n")), "business_date", "left").select(
+        "business_date", F.coalesce("n", F.lit(0)).alias("rows"))
+    report = drift.drift_report(drift.psi_of_counts(reference, counts, "business_date"), sizes, ["business_date"], 0.10, 0.25, _MIN_ROWS)
     versions = scoring.versions_json(head_scores(spark, sf), ["business_date"])
-    return scoring.run_summary(rows, ["business_date"]).join(versions, "business_date")
+    return scoring.run_summary(wanted, ["business_date"]).join(versions, "business_date", "left").join(
+        report.withColumnRenamed("rows", "drift_rows"), "business_date", "left")
+
+
+@query("scoring_run_summary", "SELECT * FROM {run_summary}")
+def scoring_run_summary(spark, sf):
+    return run_summaries(spark, sf)
 
 
 @query("batch_worklist", """SELECT item_id, priority, probability, row_number() OVER (ORDER BY probability DESC, item_id) AS place
