@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 ROWS_A_BATCH, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+ROW_GROUP = 8 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]  # of documents
 
 
@@ -39,13 +40,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df written once to the cluster's shared folder and read again: cuts lineage, survives lost executors.
 
     Rows go to Python workers by BATCH while it is written: whole texts are wide, and Spark's 10,000 rows a batch would be held several
-    times over at both ends.
+    times over at both ends. Row groups are small for the same reason: a writer holds one until it is full.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     before = spark.conf.get(ROWS_A_BATCH)
     spark.conf.set(ROWS_A_BATCH, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(ROWS_A_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,11 +14,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worklake.llm.common import COLUMNS, map_texts, query, table
+from worklake.llm.common import COLUMNS, map_texts, pieces, query, table
 
 PROFILE = 400
 PER_LANGUAGE = 3000
@@ -184,14 +185,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.05) -> DataFrame:
     """Documents in a language that can be told: those without a letter, and those unlike every profile, go."""
     found = profiles(sample(docs))
-    schema = ", ".join(f"{c} {t}" for c, t in docs.select(*COLUMNS).dtypes)
 
-    def make():
+    @F.pandas_udf("boolean")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:  # texts go to the worker, only the decision comes back
         ranker = Ranker(found)
-
-        def fn(cols):
-            names, scores = ranker(cols["text"])
-            keep = [i for i, (lang, s) in enumerate(zip(names, scores)) if lang != UNKNOWN and s >= least]
-            return {c: [(cols["raw"] if c == "text" else cols[c])[i] for i in keep] for c in COLUMNS}
-        return fn
-    return map_texts(docs.select(*COLUMNS), make, schema)
+        for texts in batches:
+            keep: list[bool] = []
+            for a, b in pieces(texts := [t or "" for t in texts], 1_000_000):
+                keep += [lang != UNKNOWN and s >= least for lang, s in zip(*ranker(texts[a:b]))]
+            yield pd.Series(keep, dtype=bool)
+    return docs.select(*COLUMNS).where(told("text"))
