@@ -119,3 +119,9 @@ def training_set_counts(films: DataFrame, split: str, positive: str, person: str
     total = (total.join(persons, by) if by else total.withColumn("persons", persons.scalar()))
     return (grouped.withColumnRenamed(split, "data_split").withColumn("persons", F.lit(None).cast("bigint"))
             .unionByName(total.withColumn("data_split", F.lit("all"))))
+
+
+def touched_dates(arrived: DataFrame, items: DataFrame, item: str, day: str) -> list:
+    """The dates of the items that the arrived reports are on, to prune partitions by: as many values as dates, whatever the rows."""
+    found = items.select(item, day).join(arrived.select(item).distinct(), item, "left_semi").select(day).distinct()
+    return sorted(r[0] for r in found.collect())

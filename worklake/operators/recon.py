@@ -48,6 +48,19 @@ def stage_status(check_rows: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("status", F.when(F.col("mismatched") > 0, "FAILED").otherwise("COMPLETED"))
 
 
+def audit_rows(check_rows: DataFrame, volumes: DataFrame, keys: list[str]) -> DataFrame:
+    """A stage's audit: a row per entity with what came in, went out and was rejected, and the row '*' with their sums.
+
+    volumes: keys, entity, rows_in, rows_out, rows_rejected. An entity whose extract is missing has volumes of NULL and the status MISSING.
+    """
+    sums = ("rows_in", "rows_out", "rows_rejected")
+    lost = F.col("rows_in").isNull()
+    entities = volumes.select(*keys, "entity", *sums, F.when(lost, "MISSING").otherwise("COMMITTED").alias("status"))
+    total = volumes.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+    whole = stage_status(check_rows, keys).join(total, keys, "left").select(*keys, F.lit("*").alias("entity"), *sums, "status", "matched", "explained", "mismatched")
+    return whole.unionByName(entities, allowMissingColumns=True)
+
+
 def require_completed(check_rows: DataFrame) -> None:
     """Stop the pipeline on an unexplained mismatch."""
     bad = check_rows.where("status = 'MISMATCH'").agg(F.count(F.lit(1))).first()[0]

@@ -74,23 +74,37 @@ def read_csv_header(spark, sf):
         "event_id", "ts", "user_id", "event_type", F.coalesce(F.trim("note"), F.lit("")).alias("note"), "parse_error")
 
 
-@query("export_extract_manifest", """SELECT 'events' AS source, business_date, count(*) AS records FROM {ev} GROUP BY business_date""")
+def _landed(spark, sf):
+    """The extract and its manifest, the manifest's rows checked against what was written."""
+    root = scratch_path(spark, "landed")
+    landing.export_with_manifest(landing.export_jsonl, raw_records(spark, sf), f"{root}/events", f"{root}/manifest", "events", "business_date", "event_id", COLUMNS)
+    return f"{root}/events", f"{root}/manifest"
+
+
+@query("export_extract_manifest", """SELECT 'events' AS source, business_date, count(*) AS records, count(*) AS read_back FROM {ev} GROUP BY business_date""")
 def export_extract_manifest(spark, sf):
-    path = scratch_path(spark, "manifest")
-    landing.write_manifest(events(spark, sf), path, "events", "business_date")
-    return landing.read_manifest(spark, path)
+    """The manifest beside the records that are read back from the extract."""
+    extract, manifest = _landed(spark, sf)
+    back = landing.records_received(spark, extract).withColumnRenamed("received", "read_back")
+    return landing.read_manifest(spark, manifest).join(back, "business_date")
+
 
+_LOST, _SHORT = "2024-01-20", "2024-01-10"
 
-@query("manifest_check", """SELECT business_date, count(*) AS expected, count(*) FILTER (event_type <> 'signup') AS actual,
-  CASE WHEN count(*) = count(*) FILTER (event_type <> 'signup') THEN 'MATCHED' ELSE 'MISMATCH' END AS status
-  FROM {ev} GROUP BY business_date""")
+
+@query("manifest_check", f"""SELECT business_date, expected, actual, CASE WHEN expected = actual THEN 'MATCHED' ELSE 'MISMATCH' END AS status FROM (
+  SELECT business_date, count(*) AS expected, CASE business_date WHEN DATE '{_LOST}' THEN 0 WHEN DATE '{_SHORT}' THEN count(*) FILTER (k < 50) ELSE count(*) END AS actual
+  FROM {{ev}} GROUP BY business_date)""")
 def manifest_check(spark, sf):
-    """The manifest counts all records; the extract that arrives lacks one kind of event."""
-    path = scratch_path(spark, "manifest")
-    landing.write_manifest(events(spark, sf), path, "events", "business_date")
-    received = events(spark, sf).where("event_type <> 'signup'").groupBy("business_date").agg(
-        F.count(F.lit(1)).alias("received"))
-    return landing.manifest_check(landing.read_manifest(spark, path), received)
+    """The extract is written and then damaged: a date's files are lost, another date's are cut short. What is there is read and counted."""
+    extract, manifest = _landed(spark, sf)
+    short = raw_records(spark, sf).join(events(spark, sf).where(f"business_date = date'{_SHORT}' and k < 50").select(F.col("event_id").cast("string")), "event_id", "left_semi")
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in COLUMNS]))
+    nothing = F.col("business_date") == F.lit(_LOST).cast("date")
+    lost = raw_records(spark, sf).where(nothing).limit(1).select("business_date", F.lit("").alias("value"))  # overwritten by an empty line
+    damaged = short.select("business_date", text.alias("value")).unionByName(lost)
+    tables.overwrite_text(damaged, extract)
+    return landing.manifest_check(landing.read_manifest(spark, manifest), landing.records_received(spark, extract))
 
 
 @query("discover_from_path", """SELECT event_type AS label_name, strftime(business_date, 'business_date=%Y-%m-%d') AS source_split,
@@ -336,8 +350,27 @@ def recon_replace_stage(spark, sf):
     return recon.replace_stage(bronze_checks(spark, sf), new, "bronze", F.col("business_date") >= F.lit("2024-01-20").cast("date"))
 
 
-@query("stage_status", """SELECT business_date, stage, count(*) FILTER (status = 'MATCHED') AS matched,
-  count(*) FILTER (status = 'EXPLAINED') AS explained, count(*) FILTER (status = 'MISMATCH') AS mismatched,
-  CASE WHEN count(*) FILTER (status = 'MISMATCH') > 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM {bronze_checks} GROUP BY ALL""")
+cte("volumes", """SELECT business_date, 'bronze' AS stage, 'event_record' AS entity, count(*) AS rows_in, count(*) FILTER (reasons IS NULL) AS rows_out,
+  count(*) FILTER (reasons IS NOT NULL) AS rows_rejected FROM {reasoned} GROUP BY business_date
+  UNION ALL SELECT DISTINCT business_date, 'bronze', 'lost_record', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM {ev} WHERE k = 7""")
+cte("audit", """SELECT s.business_date, s.stage, '*' AS entity, v.rows_in, v.rows_out, v.rows_rejected, CASE WHEN mismatched > 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+  matched, explained, mismatched FROM (SELECT business_date, stage, count(*) FILTER (status = 'MATCHED') AS matched,
+  count(*) FILTER (status = 'EXPLAINED') AS explained, count(*) FILTER (status = 'MISMATCH') AS mismatched FROM {bronze_checks} GROUP BY ALL) s
+  JOIN (SELECT business_date, stage, CAST(sum(rows_in) AS BIGINT) AS rows_in, CAST(sum(rows_out) AS BIGINT) AS rows_out, CAST(sum(rows_rejected) AS BIGINT) AS rows_rejected
+    FROM {volumes} GROUP BY ALL) v ON v.business_date = s.business_date AND v.stage = s.stage
+  UNION ALL SELECT business_date, stage, entity, rows_in, rows_out, rows_rejected, CASE WHEN rows_in IS NULL THEN 'MISSING' ELSE 'COMMITTED' END, NULL, NULL, NULL FROM {volumes}""")
+
+
+def audit(spark, sf):
+    """Status and volumes per date, of each entity and of the stage. On some dates a second extract is missing."""
+    per_day = received_per_day(spark, sf)
+    volumes = per_day.select("business_date", F.lit("bronze").alias("stage"), F.lit("event_record").alias("entity"), F.col("received").alias("rows_in"),
+                             F.col("loaded").alias("rows_out"), F.col("rejected").alias("rows_rejected"))
+    lost = events(spark, sf).where("k = 7").select("business_date").distinct().select(
+        "business_date", F.lit("bronze").alias("stage"), F.lit("lost_record").alias("entity"), *[F.lit(None).cast("bigint").alias(c) for c in volumes.columns[3:]])
+    return recon.audit_rows(bronze_checks(spark, sf), volumes.unionByName(lost), ["business_date", "stage"])
+
+
+@query("stage_status", "SELECT * FROM {audit}")
 def stage_status(spark, sf):
-    return recon.stage_status(bronze_checks(spark, sf), ["business_date", "stage"])
+    return audit(spark, sf)

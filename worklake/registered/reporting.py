@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from worklake.functions import contracts as C
 from worklake.operators import outcomes as O
 from worklake.operators import recon
+from worklake.operators.joins import orphans
+from worklake.operators.latest import latest_per_key
 from worklake.plans import dashboards as D
 from worklake.plans import views as V
 from worklake.registered.base import cte, query, table
-from worklake.registered.frames import (EVENT_RECORD, events, heads_judged, items, outcomes, raw_records, reports,
+from worklake.registered.frames import (EVENT_RECORD, FINDING_OF, events, heads_judged, items, outcomes, raw_records, reports,
                                         scored_items)
-from worklake.registered.ingest import bronze_checks
+from worklake.registered.ingest import audit, bronze_checks
 from worklake.registered.scoring import run_summaries
-from worklake.session import materialize
+from worklake.session import materialize, scratch_path
+from worklake.sources import tables
 
 ARMS = {a: f"{a}_wait_min" for a in ("fifo", "triage", "shadow")}
 _WHERE = {"alpha": "truth = 1", "beta": "truth_second = 1", "normal": "finding = 'NORMAL'"}
@@ -101,18 +104,39 @@ def trial_evidence(spark, sf):
     return O.trial_evidence(model_daily(spark, sf), ["model", "model_version"])
 
 
-@query("late_truth_refresh", """SELECT DISTINCT i.business_date, r.report_date, count(*) OVER (PARTITION BY i.business_date, r.report_date) AS late_reports,
-  (SELECT count(*) FROM {items} x WHERE x.business_date = i.business_date) AS items_to_refresh
-  FROM {signed_reports} r JOIN {items} i ON i.item_id = r.item_id WHERE r.report_date > i.business_date""")
+_ARRIVED = "2024-01-13"  # the date whose reports arrive after the outcomes were built
+cte("touched_dates", f"""SELECT DISTINCT i.business_date FROM {{signed_reports}} r JOIN {{items}} i ON i.item_id = r.item_id WHERE r.report_date = DATE '{_ARRIVED}'""")
+cte("known_reports", f"""SELECT item_id, finding, report_date FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY report_ts DESC, version DESC) AS rn
+  FROM {{signed_reports}} WHERE report_date <= DATE '{_ARRIVED}') WHERE rn = 1""")
+
+
+@query("late_truth_refresh", """SELECT s.business_date, s.item_id, s.priority, r.finding, CASE WHEN s.priority IS NULL THEN 'UNSCORED' WHEN r.finding IS NULL THEN 'PENDING'
+    WHEN s.triage_model IS NULL THEN 'NOT_TRIAGED' WHEN r.finding = upper(s.triage_model) THEN CASE WHEN s.priority IN ('P1', 'P2') THEN 'TP' ELSE 'FN' END
+    WHEN s.priority IN ('P1', 'P2') THEN 'FP' ELSE 'TN' END AS outcome, t.business_date IS NOT NULL AS refreshed
+  FROM {scored_items} s LEFT JOIN {known_reports} r ON r.item_id = s.item_id LEFT JOIN {touched_dates} t ON t.business_date = s.business_date""")
 def late_truth_refresh(spark, sf):
-    """Dates whose outcomes have to be rebuilt because reports on their items were signed on a later date."""
+    """Outcomes stand as of the day before; the reports of one date arrive. Only the dates of their items are read, judged again and
+    overwritten; all others keep the rows they had."""
     from worklake.registered.frames import signed_reports
 
-    i = items(spark, sf).select("item_id", "business_date")
-    late = signed_reports(spark, sf).join(i, "item_id").where("report_date > business_date")
-    touched = late.groupBy("business_date", "report_date").agg(F.count(F.lit(1)).alias("late_reports"))
-    sizes = i.groupBy("business_date").agg(F.count(F.lit(1)).alias("items_to_refresh"))
-    return touched.join(sizes, "business_date")
+    root = scratch_path(spark, "late")
+    keep = ["business_date", "item_id", "file_name", "priority", "triage_model"]
+    tables.write_table(scored_items(spark, sf).select(*keep), f"{root}/items")
+    signed, arrived = signed_reports(spark, sf), F.lit(_ARRIVED).cast("date")
+    before = signed.where(F.col("report_date") < arrived)
+    tables.write_table(late_outcomes(tables.read_table(spark, f"{root}/items"), before, False), f"{root}/outcomes")
+    touched = O.touched_dates(signed.where(F.col("report_date") == arrived), tables.read_table(spark, f"{root}/items"), "item_id", "business_date")
+    again = tables.read_table(spark, f"{root}/items", F.col("business_date").isin(touched))  # prunes the folders of all other dates
+    tables.replace_partitions(late_outcomes(again, signed.where(F.col("report_date") <= arrived), True), f"{root}/outcomes")
+    return tables.read_table(spark, f"{root}/outcomes").select("business_date", "item_id", "priority", "finding", "outcome", "refreshed")
+
+
+def late_outcomes(rows, reports_known, refreshed):
+    newest = latest_per_key(reports_known, ["item_id"], [F.col("report_ts").desc(), F.col("version").desc()])
+    joined = rows.join(newest.select("item_id", "finding"), "item_id", "left")
+    truth = O.model_truth(F.col("triage_model"), F.col("finding"), F.startswith("file_name", F.lit("QC-")), FINDING_OF, "check")
+    outcome = O.outcome_class(F.col("priority"), F.col("finding").isNotNull(), F.col("triage_model"), truth, F.col("priority").isin("P1", "P2"))
+    return joined.select("business_date", "item_id", "priority", "finding", outcome.alias("outcome"), F.lit(refreshed).alias("refreshed"))
 
 
 # ---- views
@@ -277,14 +301,17 @@ def v_data_quality(spark, sf):
     return V.v_data_quality(bronze_checks(spark, sf), events(spark, sf))
 
 
-@query("v_stage_status", """SELECT business_date, stage, entity, ended_at, audit_id, rows_in FROM (SELECT *, row_number() OVER (
-  PARTITION BY business_date, stage ORDER BY ended_at DESC, audit_id DESC) AS rn FROM (SELECT business_date, event_type AS stage,
-  CASE WHEN k < 40 THEN '*' ELSE 'entity' END AS entity, ts AS ended_at, event_id AS audit_id, k AS rows_in FROM {ev}) WHERE entity = '*') WHERE rn = 1""")
+# The stage ran twice a date; the first run saw nothing but rejected rows.
+@query("v_stage_status", """SELECT business_date, stage, entity, rows_in, rows_out, rows_rejected, status, matched, explained, mismatched,
+  'run-1' AS run_id, CAST(business_date AS TIMESTAMP) + INTERVAL 21 HOUR AS ended_at FROM {audit} WHERE entity = '*'""")
 def v_stage_status(spark, sf):
-    audit = events(spark, sf).select("business_date", F.col("event_type").alias("stage"),
-                                     F.when(F.col("k") < 40, "*").otherwise("entity").alias("entity"),
-                                     F.col("ts").alias("ended_at"), F.col("event_id").alias("audit_id"), F.col("k").alias("rows_in"))
-    return V.v_stage_status(audit, "audit_id")
+    runs = F.explode(F.array(F.lit(0), F.lit(1))).alias("run")
+    log = audit(spark, sf).select("*", runs)
+    first = F.col("run") == 0
+    log = log.withColumn("rows_out", F.when(~first, F.col("rows_out")).otherwise(0)).withColumn("rows_rejected", F.when(~first, F.col("rows_rejected")).otherwise(F.col("rows_in")))
+    log = log.select("*", F.concat(F.lit("run-"), "run").alias("run_id"),
+                     F.timestamp_add("HOUR", F.col("run") + 20, F.col("business_date").cast("timestamp_ntz")).alias("ended_at")).drop("run")
+    return V.v_stage_status(log, "run_id")
 
 
 @query("v_quarantine", """SELECT business_date, 'events' AS source_system, 'event_record' AS entity, 'events.psv' AS file_name,
@@ -337,21 +364,33 @@ def recon_outcomes(spark, sf):
     return counts.withColumn("scored_status", recon.recon_status(F.col("studies"), F.col("scored"), 0.0, True))
 
 
-@query("recon_gold", """SELECT business_date, count(*) AS silver, count(*) AS gold, count(*) FILTER (r.o_custkey IS NULL) AS without_order,
+# Reports of 2024-01-12 on items that were never received: their keys lie behind all others.
+cte("all_reports", """SELECT item_id, report_date FROM {signed_reports} UNION ALL SELECT item_id + 1000000000, report_date FROM {signed_reports} WHERE report_date = DATE '2024-01-12'""")
+
+
+@query("recon_gold", """SELECT g.*, coalesce(o.n, 0) AS without_item, CASE WHEN o.n > 0 THEN 'EXPLAINED' ELSE 'MATCHED' END AS report_status FROM (
+  SELECT business_date, count(*) AS silver, count(*) AS gold, count(*) FILTER (r.o_custkey IS NULL) AS without_order,
   count(*) FILTER (age_years IS NULL) AS without_age, 'MATCHED' AS status FROM {items} i LEFT JOIN {open_requests} r ON r.o_custkey = i.person_id
-  GROUP BY business_date""")
+  GROUP BY business_date) g LEFT JOIN (SELECT report_date, count(*) AS n FROM {all_reports} a WHERE NOT EXISTS (SELECT 1 FROM {items} i WHERE i.item_id = a.item_id)
+  GROUP BY report_date) o ON o.report_date = g.business_date""")
 def recon_gold(spark, sf):
-    """Silver rows = gold rows per date. Items without an order are counted; listing them is a query of its own
-    (orphans), because nothing bounds their number."""
+    """Silver rows = gold rows per date, items without an order or an age, and reports of the date that no item belongs to. All are counted;
+    listing them is a query of its own (orphans), because nothing bounds their number."""
+    from worklake.registered.frames import signed_reports
     from worklake.registered.shaping import open_requests
 
     side = open_requests(spark, sf).select(F.col("o_custkey").alias("person_id"), "o_orderkey")
-    gold = items(spark, sf).join(side, "person_id", "left").groupBy("business_date").agg(
+    facts = items(spark, sf)
+    gold = facts.join(side, "person_id", "left").groupBy("business_date").agg(
         F.count(F.lit(1)).alias("gold"), F.count_if(F.col("o_orderkey").isNull()).alias("without_order"),
         F.count_if(F.col("age_years").isNull()).alias("without_age"))
     silver = events(spark, sf).groupBy("business_date").agg(F.count(F.lit(1)).alias("silver"))
-    both = silver.join(gold, "business_date", "left")
-    return both.withColumn("status", recon.recon_status(F.col("silver"), F.col("gold")))
+    signed = signed_reports(spark, sf).select("item_id", "report_date")
+    signed = signed.unionByName(signed.where("report_date = date'2024-01-12'").withColumn("item_id", F.col("item_id") + 1000000000))
+    lost = orphans(signed, facts, ["item_id"]).groupBy(F.col("report_date").alias("business_date")).agg(F.count(F.lit(1)).alias("without_item"))
+    both = silver.join(gold, "business_date", "left").join(lost, "business_date", "left").fillna(0, ["without_item"])
+    return both.withColumn("status", recon.recon_status(F.col("silver"), F.col("gold"))).withColumn(
+        "report_status", recon.recon_status(F.lit(0), F.col("without_item"), 0.0, True))
 
 
 # ---- dashboard shapes

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from worklake.operators.recon import recon_status
+from worklake.session import materialize
 
 # Records per extract file, so that no file (and no task) takes more than its share of a large date.
 RECORDS_PER_FILE = 500_000
@@ -52,6 +53,27 @@ def write_manifest(df: DataFrame, path: str, source: str, date: str) -> None:
        .write.mode("overwrite").json(path))
 
 
+def export_with_manifest(export, df: DataFrame, path: str, manifest: str, source: str, date: str, key: str, columns: list[str]) -> int:
+    """Writes the extract by `export`, then the manifest. The rows are observed while the extract is written; a manifest that counts
+    others is not written."""
+    seen = Observation()
+    export(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, date, key, columns)
+    written = seen.get["rows"]
+    per_date = materialize(df.groupBy(date).agg(F.count(F.lit(1)).alias("records")), "manifest")
+    counted = per_date.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if counted != written:
+        raise RuntimeError(f"{source}: {written} records written, {counted} in the manifest")
+    per_date.select(F.lit(source).alias("source"), F.col(date).cast("string").alias("business_date"), "records").write.mode("overwrite").json(manifest)
+    return written
+
+
+def records_received(spark: SparkSession, path: str) -> DataFrame:
+    """business_date, received: the records that lie under path/business_date=.../, one a line, blank lines aside."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    day = F.regexp_extract("path", r"/business_date=([^/]+)/", 1).cast("date")
+    return lines.where("value <> ''").groupBy(day.alias("business_date")).agg(F.count(F.lit(1)).alias("received"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("source string, business_date date, records bigint").json(path)
 

@@ -10,7 +10,7 @@ import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -106,12 +106,34 @@ def clear_partition(spark: SparkSession, path: str, schema, value: str, by: str
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def replace_date(df: DataFrame, path: str, date: str, by: str = DAY) -> None:
-    """A re-run of one date: its rows are replaced, or removed when there are none any more."""
-    if not df.isEmpty():
-        replace_partitions(df, path, by)
-    elif exists(df.sparkSession, path):
-        clear_partition(df.sparkSession, path, read_table(df.sparkSession, path).schema, date, by)
+def replace_dates(df: DataFrame, path: str, dates: list[str], by: str = DAY, **seen: Column) -> dict[str, int]:
+    """A re-run of dates: their rows are replaced, or removed where there are none any more. Which dates have rows is observed while they
+    are written. Returns what else was to be observed (name=aggregate)."""
+    found = Observation()
+    counts = [F.count_if(F.col(by).cast("date") == F.lit(d).cast("date")).alias(f"_{i}") for i, d in enumerate(dates)]
+    was_there = exists(df.sparkSession, path)
+    replace_partitions(df.observe(found, *counts, *[c.alias(n) for n, c in seen.items()]), path, by)
+    got = found.get
+    for i, d in enumerate(dates):
+        if was_there and not got[f"_{i}"]:
+            clear_partition(df.sparkSession, path, table_schema(df.sparkSession, path), d, by)
+    return {n: got[n] for n in seen}
+
+
+def replace_date(df: DataFrame, path: str, date: str, by: str = DAY, **seen: Column) -> dict[str, int]:
+    return replace_dates(df, path, [date], by, **seen)
+
+
+def overwrite_text(df: DataFrame, path: str, by: str = DAY, part: str = "_part") -> None:
+    """The text extract's folders of the dates in df written anew, as one part each; all other folders stay."""
+    df.withColumn(part, F.lit(0)).hint("rebalance", by).write.partitionBy(by, part).mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").text(path)
+
+
+def replace_current(df: DataFrame, path: str) -> None:
+    """A table of the present state, without a history by date, written anew from other tables."""
+    df.write.mode("overwrite").parquet(path)
+    _note_schema(df.sparkSession, path, df.schema)
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
