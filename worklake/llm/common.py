@@ -16,8 +16,8 @@ from worklake.session import scratch_path
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-ROWS_A_BATCH, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
-ROW_GROUP = 8 << 20
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.parquet.columnarReaderBatchSize": 128}
+ROW_GROUP, PAGE = 8 << 20, 256 << 10
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]  # of documents
 
 
@@ -39,16 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written once to the cluster's shared folder and read again: cuts lineage, survives lost executors.
 
-    Rows go to Python workers by BATCH while it is written: whole texts are wide, and Spark's 10,000 rows a batch would be held several
-    times over at both ends. Row groups are small for the same reason: a writer holds one until it is full.
+    Whole texts are wide, so while it is written fewer rows make a batch, of the scan (4,096 by default) and for Python (10,000), and
+    row groups are small: each is held at once, some several times over.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(ROWS_A_BATCH)
-    spark.conf.set(ROWS_A_BATCH, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, rows in BATCHES.items():
+        spark.conf.set(k, str(min(rows, int(before[k]))) if int(before[k]) > 0 else str(rows))
     try:
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).parquet(path)
     finally:
-        spark.conf.set(ROWS_A_BATCH, before)
+        for k, rows in before.items():
+            spark.conf.set(k, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
