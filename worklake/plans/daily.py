@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from datetime import date as Date
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from worklake.functions import contracts as C
 from worklake.functions import scalars as S
-from worklake.operators import joins, latest, recon, scoring
+from worklake.operators import drift, joins, latest, recon, scoring
 from worklake.operators import outcomes as O
 from worklake.operators.ordered import numbered
 from worklake.operators.queues import Shift, at_time, replay
@@ -27,33 +27,27 @@ from worklake.sources import landing, readers, tables
 
 DAY = "business_date"
 
-# The source contracts of the run.
-UNITS, URGENCIES = ("ED", "OPD", "WARD", "ICU"), ("STAT", "URGENT", "ROUTINE")
-REQUEST = C.Contract("request", "request_no", (
-    C.Field("request_no", required=True), C.Field("person_no", required=True), C.Field("requested_at", "timestamp", True),
-    C.Field("unit", required=True, values=UNITS), C.Field("urgency", required=True, values=URGENCIES), C.Field("note")))
-RECORD = C.Contract("record", "record_id", (
-    C.Field("record_id", required=True), C.Field("request_no", required=True), C.Field("person_no", required=True),
-    C.Field("taken_day", "date8", True), C.Field("taken_time", "time6", True), C.Field("file_name", required=True),
-    C.Field("height", "int"), C.Field("width", "int")))
-REPORT = C.Contract("report", "request_no", (
-    C.Field("request_no", required=True), C.Field("reported_at", "timestamp", True), C.Field("reader", required=True),
-    C.Field("finding", required=True), C.Field("text")))
-PERSON = C.Contract("person", "person_no", (
-    C.Field("person_no", required=True), C.Field("given_name", required=True), C.Field("family_name", required=True),
-    C.Field("birth_date", "date", True), C.Field("sex", required=True, values=("F", "M"))))
+# What the stages need of each source's contract; everything else about it (values, types, names of further fields) is the caller's.
+NEEDED = {
+    "request": ("request_no", "person_no", "requested_at", "unit", "urgency", "note"),
+    "record": ("record_id", "request_no", "person_no", "taken_day", "taken_time", "file_name", "height", "width"),
+    "report": ("request_no", "reported_at", "reader", "finding", "text"),
+    "person": ("person_no", "given_name", "family_name", "birth_date", "sex"),
+}
 
 
 @dataclass(frozen=True)
 class Source:
+    """One landed extract: its folder's name, its contract (named as in NEEDED), how it is read."""
     name: str
     contract: C.Contract
     reader: object
     has_trailer: bool = False
 
-
-SOURCES = [Source("requests", REQUEST, readers.read_psv, True), Source("records", RECORD, readers.read_jsonl),
-           Source("reports", REPORT, readers.read_jsonl), Source("persons", PERSON, readers.read_csv)]
+    def __post_init__(self):
+        missing = set(NEEDED[self.contract.entity]) - set(self.contract.names)
+        if missing:
+            raise ValueError(f"{self.name}: the contract lacks {sorted(missing)}")
 
 
 @dataclass(frozen=True)
@@ -62,6 +56,7 @@ class Lake:
     spark: SparkSession
     root: str
     landing: str
+    sources: tuple[Source, ...] = ()
     heads: tuple[scoring.Head, ...] = ()
     finding_of: tuple[tuple[str, str], ...] = ()
     quality_head: str = "check"
@@ -70,6 +65,8 @@ class Lake:
     normal_finding: str = "NORMAL"
     shift: Shift = Shift()
     salt: str = "worklake:"
+    quality: tuple[str, ...] = ()  # numeric columns of the available files that drift is judged on
+    drift_limits: tuple[float, float, int] = (0.10, 0.25, 30)  # warn, alert, least rows
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -80,6 +77,9 @@ class Lake:
     def has(self, table: str) -> bool:
         return tables.exists(self.spark, self.path(table))
 
+    def contract(self, entity: str) -> C.Contract:
+        return next(s.contract for s in self.sources if s.contract.entity == entity)
+
     def extract(self, source: str, date: Date) -> str:
         return f"{self.landing}/{source}/{date.isoformat()}"
 
@@ -93,14 +93,17 @@ def _one(lake: Lake, **values) -> DataFrame:
     return lake.spark.range(1).select(*[F.lit(v).alias(n) for n, v in values.items()])
 
 
-def _finish(lake: Lake, stage: str, date: Date, parts: list[DataFrame]) -> DataFrame:
-    """Store the stage's checks and its status; stop on a mismatch."""
+Volumes = dict[str, tuple[int | None, int | None, int | None]]  # entity -> rows in, out, rejected
+
+
+def _finish(lake: Lake, stage: str, date: Date, parts: list[DataFrame], volumes: Volumes) -> DataFrame:
+    """Store the stage's checks, its status and its volumes per entity; stop on a mismatch."""
     rows = materialize(recon.checks(*parts).withColumn(DAY, F.lit(date)), "checks")
     tables.replace_partitions(rows, lake.path("ref.recon_results"), [DAY, "stage"])
-    status = recon.stage_status(rows, [DAY, "stage"]).select(
-        DAY, "stage", F.lit("*").alias("entity"), "status", "matched", "explained", "mismatched",
-        F.lit(uuid.uuid4().hex[:12]).alias("run_id"), F.current_timestamp().alias("ended_at"))
-    tables.append_log(status, lake.path("ref.load_audit"))
+    counted = lake.spark.createDataFrame([(date, stage, entity, *v) for entity, v in volumes.items()],
+                                         f"{DAY} date, stage string, entity string, rows_in bigint, rows_out bigint, rows_rejected bigint")
+    audit = recon.audit_rows(rows, counted, [DAY, "stage"]).withColumn("run_id", F.lit(uuid.uuid4().hex[:12])).withColumn("ended_at", F.current_timestamp())
+    tables.append_log(audit, lake.path("ref.load_audit"))
     recon.require_completed(rows)
     return rows
 
@@ -116,21 +119,25 @@ def _received(lake: Lake, source: Source, date: Date) -> DataFrame | None:
 
 
 def bronze(lake: Lake, date: Date) -> DataFrame:
-    parts, quarantines = [], []
-    for source in SOURCES:
+    parts, quarantines, volumes = [], [], {}
+    for source in lake.sources:
         check = lambda df, name, e, a, **kw: recon.check(df, [], "bronze", source.contract.entity, name, e, a, **kw)  # noqa: E731, B023
         rows = _received(lake, source, date)
         if rows is None:  # the old partition stays; the check fails the stage
             parts.append(check(_one(lake, e=1, a=0), "file received", F.col("e"), F.col("a")))
+            volumes[source.contract.entity] = (None, None, None)
             continue
         found = materialize(C.annotated(rows, source.contract, "parse_error"), source.name)
+        n = found.agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("reasons").isNotNull()).alias("rejected")).first()
         keep = [F.lit(date).alias(DAY), "_source_file", "_line", F.current_timestamp().alias("_ingested_at")]
-        tables.replace_date(C.valid_rows(found, source.contract, keep), lake.path(f"bronze.{source.contract.entity}"), date.isoformat())
+        written = tables.replace_date(C.valid_rows(found, source.contract, keep), lake.path(f"bronze.{source.contract.entity}"), date.isoformat(),
+                                      rows=F.count(F.lit(1)))["rows"]
         quarantines.append(C.quarantined_rows(found, source.contract, [*keep, F.lit(source.name).alias("source")]))
-        counts = materialize(found.agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("reasons").isNull()).alias("loaded"),
-                                       F.count_if(F.col("reasons").isNotNull()).alias("rejected")), "counts")
-        parts += [check(counts, "received = loaded + quarantined", F.col("received"), F.col("loaded") + F.col("rejected")),
-                  check(counts.where("rejected > 0"), "records quarantined", F.lit(0), F.col("rejected"), explained=True)]
+        volumes[source.contract.entity] = (n["received"], written, n["rejected"])
+        counts = _one(lake, received=n["received"], loaded=written, rejected=n["rejected"])
+        parts.append(check(counts, "received = loaded + quarantined", F.col("received"), F.col("loaded") + F.col("rejected")))
+        if n["rejected"]:
+            parts.append(check(counts, "records quarantined", F.lit(0), F.col("rejected"), explained=True))
         manifest = f"{lake.landing}/manifest/{source.name}/{date.isoformat()}"
         try:
             expected = landing.read_manifest(lake.spark, manifest).agg(F.sum("records")).scalar()
@@ -142,7 +149,7 @@ def bronze(lake: Lake, date: Date) -> DataFrame:
             parts.append(check(t, "trailer count = data lines", F.greatest("files", F.lit(1)), F.col("agreeing")))
     if quarantines:
         tables.replace_date(recon.checks(*quarantines), lake.path("bronze.quarantine"), date.isoformat())
-    return _finish(lake, "bronze", date, parts)
+    return _finish(lake, "bronze", date, parts, volumes)
 
 
 # ---- silver
@@ -161,38 +168,37 @@ def _typed(entity: str, df: DataFrame) -> DataFrame:
 
 
 def silver(lake: Lake, date: Date) -> DataFrame:
-    parts = []
+    parts, volumes = [], {}
     newest = [F.col("_ingested_at").desc(), F.col("_line").desc(), F.col("_source_file").desc()]
-    for contract in (REQUEST, RECORD, REPORT):
-        entity = contract.entity
+    for entity in ("request", "record", "report"):
         if not lake.has(f"bronze.{entity}"):
             continue
-        day = lake.read(f"bronze.{entity}", on(date))
-        tables.replace_date(_typed(entity, latest.latest_per_key(day, [contract.key], newest)), lake.path(f"silver.{entity}"),
-                            date.isoformat())
-        per_key = day.groupBy(contract.key).agg(F.count(F.lit(1)).alias("copies"))
-        counts = per_key.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("bronze"), F.count(F.lit(1)).alias("kept"))
-        written = lake.read(f"silver.{entity}", on(date)).agg(F.count(F.lit(1))).scalar()
-        duplicates = F.col("bronze") - F.col("kept")
-        parts += [recon.check(counts, [], "silver", entity, "bronze rows = silver rows + duplicates", F.col("bronze"), written + duplicates),
-                  recon.check(counts.where(duplicates > 0), [], "silver", entity, "duplicates dropped", F.lit(0), duplicates, explained=True)]
+        key, day = lake.contract(entity).key, lake.read(f"bronze.{entity}", on(date))
+        written = tables.replace_date(_typed(entity, latest.latest_per_key(day, [key], newest)), lake.path(f"silver.{entity}"), date.isoformat(),
+                                      rows=F.count(F.lit(1)))["rows"]
+        per_key = day.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+        counted = per_key.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("bronze"), F.count(F.lit(1)).alias("kept")).first()
+        duplicates = counted["bronze"] - counted["kept"]
+        counts = _one(lake, bronze=counted["bronze"], written=written, duplicates=duplicates)
+        volumes[entity] = (counted["bronze"], written, duplicates)
+        parts.append(recon.check(counts, [], "silver", entity, "bronze rows = silver rows + duplicates", F.col("bronze"), F.col("written") + F.col("duplicates")))
+        if duplicates:
+            parts.append(recon.check(counts, [], "silver", entity, "duplicates dropped", F.lit(0), F.col("duplicates"), explained=True))
     if lake.has("bronze.person"):
-        # the current person, one partition per run date, so a re-run of an earlier date does not disturb a later one
-        upto = lake.read("bronze.person", F.col(DAY) <= F.lit(date))
-        current = latest.current_per_key(upto, ["person_no"], DAY, [DAY, "_line", "given_name", "family_name", "birth_date", "sex"], "first_seen")
-        tables.replace_partitions(current.select(F.lit(date).alias(DAY), "person_no", "given_name", "family_name",
-                                                 F.col("birth_date").cast("date").alias("birth_date"), "sex", "first_seen"),
-                                  lake.path("silver.person"))
-    return _finish(lake, "silver", date, parts)
+        # the present state of every person, from all dates: a re-run of any date ends in the same table
+        current = latest.current_per_key(lake.read("bronze.person"), ["person_no"], DAY, [DAY, "_line", "given_name", "family_name", "birth_date", "sex"], "first_seen")
+        tables.replace_current(current.select("person_no", "given_name", "family_name", F.col("birth_date").cast("date").alias("birth_date"), "sex", "first_seen"),
+                               lake.path("silver.person"))
+    return _finish(lake, "silver", date, parts, volumes)
 
 
 # ---- gold
 
 
 def gold(lake: Lake, date: Date) -> DataFrame:
-    person = lake.read("silver.person", on(date)).drop(DAY)
-    tables.replace_partitions(person.select(F.lit(date).alias(DAY), S.pseudonym(lake.salt, F.col("person_no")).alias("person_key"),
-                                            F.year("birth_date").alias("birth_year"), "sex", "first_seen"), lake.path("gold.dim_person"))
+    person = lake.read("silver.person")
+    tables.replace_current(person.select(S.pseudonym(lake.salt, F.col("person_no")).alias("person_key"), F.year("birth_date").alias("birth_year"), "sex",
+                                         "first_seen"), lake.path("gold.dim_person"))
     window = F.col(DAY).between(F.lit(date - timedelta(days=1)), F.lit(date))
     requests = joins.latest_in_window(lake.read("silver.request"), F.col(DAY), window, ["request_no"], [F.col(DAY).desc()])
     records = lake.read("silver.record", on(date))
@@ -203,28 +209,32 @@ def gold(lake: Lake, date: Date) -> DataFrame:
         "file_name", "arrival", "requested_at", "unit", "urgency", "note", "height", "width",
         S.age_years(F.to_date("arrival"), F.col("birth_date")).alias("age_years"), "has_request")
     facts = numbered(aged, [DAY], [F.col("arrival"), F.col("item_id")], "fifo_seq")
-    tables.replace_date(facts, lake.path("gold.fact_item"), date.isoformat())
+    n = tables.replace_date(facts, lake.path("gold.fact_item"), date.isoformat(), rows=F.count(F.lit(1)), no_request=F.count_if(~F.col("has_request")),
+                            no_age=F.count_if(F.col("age_years").isNull()))
+    silver_rows = records.count()
+    volumes = {"fact_item": (silver_rows, n["rows"], 0)}
+    counts = _one(lake, silver=silver_rows, **n)
+    check = lambda name, e, a, entity="fact_item", **kw: recon.check(counts, [], "gold", entity, name, e, a, **kw)
+    parts = [check("silver rows = gold rows", F.col("silver"), F.col("rows")),
+             check("items without demographics", F.lit(0), F.col("no_age"), explained=True)]
+    if n["no_request"]:
+        parts.append(check("items without a valid request", F.lit(0), F.col("no_request"), explained=True))
 
     if lake.has("silver.report"):
-        newest = [F.col("reported_at").desc(), F.col(DAY).desc(), F.col("_line").desc()]
-        last = latest.latest_per_key(lake.read("silver.report", F.col(DAY) <= F.lit(date)), ["request_no"], newest)
-        items = lake.read("gold.fact_item").select("item_id", F.col(DAY).alias("item_date"), "arrival")
+        # a date holds the reports that arrived on it, whatever the date of their items
+        newest = [F.col("reported_at").desc(), F.col("_line").desc()]
+        last = latest.latest_per_key(lake.read("silver.report", on(date)), ["request_no"], newest)
+        items = lake.read("gold.fact_item", F.col(DAY) <= F.lit(date)).select("item_id", F.col(DAY).alias("item_date"), "arrival")
         reports = last.join(items, F.col("request_no") == F.col("item_id"), "left").select(
-            F.lit(date).alias(DAY), F.col("request_no").alias("item_id"), "item_date", last[DAY].alias("report_date"), "reported_at", "reader",
+            DAY, F.col("request_no").alias("item_id"), "item_date", F.col(DAY).alias("report_date"), "reported_at", "reader",
             "finding", S.truth_flag(F.col("finding"), lake.main_finding).alias("truth"),
             S.truth_flag(F.col("finding"), lake.second_finding).alias("truth_second"), "text",
             S.minutes_between(F.col("arrival"), F.col("reported_at")).alias("report_wait_min"))
-        tables.replace_partitions(reports, lake.path("gold.fact_report"))
-
-    silver_rows = records.agg(F.count(F.lit(1))).scalar()
-    counts = lake.read("gold.fact_item", on(date)).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("has_request")).alias("no_request"),
-        F.count_if(F.col("age_years").isNull()).alias("no_age"))
-    check = lambda df, name, e, a, **kw: recon.check(df, [], "gold", "fact_item", name, e, a, **kw)
-    return _finish(lake, "gold", date, [
-        check(counts, "silver rows = gold rows", silver_rows, F.col("n")),
-        check(counts.where("no_request > 0"), "items without a valid request", F.lit(0), F.col("no_request"), explained=True),
-        check(counts, "items without demographics", F.lit(0), F.col("no_age"), explained=True)])
+        r = tables.replace_date(reports, lake.path("gold.fact_report"), date.isoformat(), rows=F.count(F.lit(1)), lost=F.count_if(F.col("item_date").isNull()))
+        volumes["fact_report"] = (r["rows"], r["rows"], 0)
+        if r["lost"]:
+            parts.append(recon.check(_one(lake, **r), [], "gold", "fact_report", "reports without an item", F.lit(0), F.col("lost"), explained=True))
+    return _finish(lake, "gold", date, parts, volumes)
 
 
 # ---- scores
@@ -233,6 +243,7 @@ def gold(lake: Lake, date: Date) -> DataFrame:
 def score(lake: Lake, date: Date, probability, available: DataFrame) -> DataFrame:
     """Score the date's items. `available` has the file_name of every readable file and what `probability(head)`
     reads; items without a file are counted as missing. Returns the run's summary row."""
+    started = datetime.now()
     items = lake.read("gold.fact_item", on(date)).select(DAY, "item_id", "file_name", "age_years")
     heads = list(lake.heads)
     scored = scoring.with_probabilities(joins.found(items, available, ["file_name"]).join(available, "file_name"), heads, probability)
@@ -244,25 +255,47 @@ def score(lake: Lake, date: Date, probability, available: DataFrame) -> DataFram
     tables.replace_date(stamp(scoring.decide(scored.select(*keep, "age_years", *p), "age_years", heads)),
                         lake.path("gold.priority_score"), date.isoformat())
     done = lake.read("gold.priority_score", on(date)).select("item_id", "priority", "quality_check")
-    both = items.join(done, "item_id", "left").withColumn("wanted", F.lit(True)).withColumn("scored", F.col("priority").isNotNull())
-    summary = scoring.run_summary(both, [DAY]).join(
-        scoring.versions_json(lake.read("gold.head_score", on(date)), [DAY]), DAY, "left")
-    rows = materialize(stamp(summary).withColumnRenamed("scored_at", "ended_at"), "run")
+    run = _one(lake, **{DAY: date})  # a date without items has a run too, which failed
+    both = run.join(items.join(done, "item_id", "left").withColumn("wanted", F.lit(True)).withColumn("scored", F.col("priority").isNotNull()), DAY, "left")
+    summary = scoring.run_summary(both, [DAY]).join(scoring.versions_json(lake.read("gold.head_score", on(date)), [DAY]), DAY, "left").join(
+        _run_drift(lake, run, items, available, heads), DAY)
+    rows = materialize(stamp(summary).withColumnRenamed("scored_at", "ended_at").withColumn("started_at", F.lit(started)), "run")
     tables.append_log(rows, lake.path("ref.scoring_run"))
     return rows
 
 
+def store_reference(lake: Lake, files: DataFrame) -> None:
+    """The bins of the quality columns of a model's training files; runs are compared with them without reading the files again."""
+    tables.replace_current(drift.reference_bins(files, list(lake.quality)), lake.path("ref.quality_bins"))
+
+
+def _run_drift(lake: Lake, run: DataFrame, items: DataFrame, available: DataFrame, heads: list[scoring.Head]) -> DataFrame:
+    """Drift of the run's files in scope of the main head. Without stored bins it is UNAVAILABLE."""
+    if not lake.quality or not lake.has("ref.quality_bins"):
+        return run.select(DAY, F.lit(0).cast("bigint").alias("drift_rows"), F.lit(None).cast("double").alias("psi_max"), F.lit("{}").alias("psi_json"),
+                          F.lit("UNAVAILABLE").alias("drift_level"))
+    main = next(h for h in heads if not h.checks_quality)
+    files = items.where(S.in_scope(F.lit(main.population), F.col("age_years"))).join(available.select("file_name", *lake.quality), "file_name")
+    sizes = run.select(DAY).join(files.groupBy(DAY).agg(F.count(F.lit(1)).alias("n")), DAY, "left").select(DAY, F.coalesce("n", F.lit(0)).alias("rows"))
+    found = drift.psi_of_counts(lake.read("ref.quality_bins"), drift.value_counts(files, list(lake.quality), DAY), DAY)
+    return drift.drift_report(found, sizes, [DAY], *lake.drift_limits).withColumnRenamed("rows", "drift_rows")
+
+
 # ---- outcomes
 
 
 def outcomes(lake: Lake, date: Date, first: Date, allow_unscored: bool = False) -> DataFrame:
     """Outcomes and summaries of the date and the day before, whose reports may have been signed since."""
-    days = F.col(DAY).isin([d for d in (date - timedelta(days=1), date) if d >= first])
+    both_days = [d for d in (date - timedelta(days=1), date) if d >= first]
+    names, days = [d.isoformat() for d in both_days], F.col(DAY).isin(both_days)
     facts = lake.read("gold.fact_item", days)
     newest = [F.col("scored_at").desc(), F.col("run_id").desc()]
     scores = latest.latest_per_key(lake.read("gold.priority_score", days), ["item_id"], newest) \
         .drop(DAY, "file_name", "age_years", "threshold", "run_id", "scored_at")
-    reports = lake.read("gold.fact_report", on(date)).select("item_id", "finding", "reported_at", "truth", "truth_second")
+    # a report arrives on the date of its item or later, so those of the two dates are enough
+    arrived = lake.read("gold.fact_report", F.col(DAY).between(F.lit(both_days[0]), F.lit(date)))
+    reports = latest.latest_per_key(arrived, ["item_id"], [F.col("reported_at").desc(), F.col(DAY).desc()]).select(
+        "item_id", "finding", "reported_at", "truth", "truth_second")
     ranked = facts.select(DAY, "item_id", "arrival", "unit", "age_years", "file_name", "fifo_seq").join(scores, "item_id", "left")
     has_shadow = F.col("shadow_priority").isNotNull()
     shadow = S.worklist_rank(F.when(has_shadow, F.col("shadow_priority")).otherwise(F.col("priority")),
@@ -286,27 +319,27 @@ def outcomes(lake: Lake, date: Date, first: Date, allow_unscored: bool = False)
         "fifo_wait_min", "triage_wait_min", "shadow_wait_min",
         F.round(F.col("fifo_wait_min") - F.col("triage_wait_min"), 1).alias("wait_saved_min"),
         S.population_of(F.col("age_years")).alias("population"), "triage_model", "quality_check", "shadow_priority", "shadow_model")
-    tables.replace_partitions(rows, lake.path("gold.fact_outcome"))
+    written = tables.replace_dates(rows, lake.path("gold.fact_outcome"), names, rows=F.count(F.lit(1)))["rows"]
 
     done = lake.read("gold.fact_outcome", days)
     classes = {"main": F.col("truth") == 1, "second": F.col("truth_second") == 1, "normal": F.col("finding") == lake.normal_finding}
     waits = O.group_waits(done, [DAY], classes, {a: f"{a}_wait_min" for a in ("fifo", "triage", "shadow")})
-    tables.replace_partitions(O.daily_summary(done, waits, DAY, "main", "second"), lake.path("gold.daily_summary"))
+    tables.replace_dates(O.daily_summary(done, waits, DAY, "main", "second"), lake.path("gold.daily_summary"), names)
     heads = latest.latest_per_key(lake.read("gold.head_score", days), ["item_id", "model", "stage"], newest)
     by_head = O.model_truth(F.col("model"), F.col("finding"), S.planted_kind(F.col("file_name")).isNotNull(),
                             dict(lake.finding_of), lake.quality_head)
     judged = heads.join(reports.select("item_id", "finding"), "item_id", "left").withColumn("truth", by_head)
-    tables.replace_partitions(O.daily_model_summary(judged, [DAY, "model", "stage", "model_version"]), lake.path("gold.daily_model_summary"))
+    tables.replace_dates(O.daily_model_summary(judged, [DAY, "model", "stage", "model_version"]), lake.path("gold.daily_model_summary"), names)
 
-    expected = facts.agg(F.count(F.lit(1))).scalar()
+    expected = facts.count()
     counts = materialize(done.agg(F.count(F.lit(1)).alias("n"), F.count_if("scored").alias("scored"), F.count_if(~F.col("truth_known")).alias("pending"),
                                   F.count_if(F.col("quality_check") == "UNSUITABLE").alias("unfit")), "counts")
     check = lambda df, name, e, a, **kw: recon.check(df, [], "outcomes", "fact_outcome", name, e, a, **kw)
     return _finish(lake, "outcomes", date, [
-        check(counts, "outcome rows = gold items", expected, F.col("n")),
+        check(counts, "outcome rows = gold items", F.lit(expected), F.col("n")),
         check(counts, "scored items = gold items", F.col("n"), F.col("scored"), explained=allow_unscored),
         check(counts.where("pending > 0"), "items awaiting a report", F.lit(0), F.col("pending"), explained=True),
-        check(counts.where("unfit > 0"), "files unfit for ranking", F.lit(0), F.col("unfit"), explained=True)])
+        check(counts.where("unfit > 0"), "files unfit for ranking", F.lit(0), F.col("unfit"), explained=True)], {"fact_outcome": (expected, written, 0)})
 
 
 # ---- views
@@ -315,7 +348,7 @@ def outcomes(lake: Lake, date: Date, first: Date, allow_unscored: bool = False)
 def create_views(lake: Lake, date: Date) -> list[str]:
     """Register the views over the tables as of the run date; returns their names."""
     done, facts = lake.read("gold.fact_outcome"), lake.read("gold.fact_item")
-    persons = lake.read("gold.dim_person", on(date)).drop(DAY)
+    persons = lake.read("gold.dim_person")
     models, checks = lake.read("gold.daily_model_summary"), lake.read("ref.recon_results")
     quarantine = lake.read("bronze.quarantine") if lake.has("bronze.quarantine") else None
     found = {

@@ -58,9 +58,9 @@ def export_with_manifest(export, df: DataFrame, path: str, manifest: str, source
     others is not written."""
     seen = Observation()
     export(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, date, key, columns)
-    written = seen.get["rows"]
     per_date = materialize(df.groupBy(date).agg(F.count(F.lit(1)).alias("records")), "manifest")
     counted = per_date.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    written = seen.get["rows"] if counted else 0  # nothing is observed where there are no rows
     if counted != written:
         raise RuntimeError(f"{source}: {written} records written, {counted} in the manifest")
     per_date.select(F.lit(source).alias("source"), F.col(date).cast("string").alias("business_date"), "records").write.mode("overwrite").json(manifest)

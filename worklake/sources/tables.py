@@ -10,11 +10,12 @@ import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from worklake.operators.latest import latest_per_key
+from worklake.session import materialize
 
 DAY = "business_date"
 
@@ -95,7 +96,8 @@ def replace_partitions(df: DataFrame, path: str, by: str | list[str] = DAY) -> N
 def clear_partition(spark: SparkSession, path: str, schema, value: str, by: str = DAY) -> None:
     """A re-run without rows removes the date's old rows: overwrite of one named partition with nothing."""
     name = f"worklake_{uuid.uuid4().hex[:12]}"
-    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({by}) LOCATION '{path}'")
     try:
         empty = spark.createDataFrame([], schema)
         view = f"{name}_none"
@@ -106,22 +108,24 @@ def clear_partition(spark: SparkSession, path: str, schema, value: str, by: str
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def replace_dates(df: DataFrame, path: str, dates: list[str], by: str = DAY, **seen: Column) -> dict[str, int]:
-    """A re-run of dates: their rows are replaced, or removed where there are none any more. Which dates have rows is observed while they
-    are written. Returns what else was to be observed (name=aggregate)."""
-    found = Observation()
-    counts = [F.count_if(F.col(by).cast("date") == F.lit(d).cast("date")).alias(f"_{i}") for i, d in enumerate(dates)]
-    was_there = exists(df.sparkSession, path)
-    replace_partitions(df.observe(found, *counts, *[c.alias(n) for n, c in seen.items()]), path, by)
-    got = found.get
+def replace_dates(df: DataFrame, path: str, dates: list[str], by: str = DAY, **counted: Column) -> dict[str, int]:
+    """A re-run of dates: their rows are replaced, or removed where there are none any more. Returns the aggregates `counted` (name=Column)
+    of what was written. The written dates are read back for both, by the columns asked for; df is computed once."""
+    spark = df.sparkSession
+    new = materialize(df, "new-rows")
+    rows = [F.count_if(F.col(by).cast("date") == F.lit(d).cast("date")).alias(f"_{i}") for i, d in enumerate(dates)]
+    got = new.agg(*rows, *[c.alias(n) for n, c in counted.items()]).first()
+    was_there = exists(spark, path)
+    if any(got[f"_{i}"] for i in range(len(dates))) or not was_there:
+        replace_partitions(new, path, by)
     for i, d in enumerate(dates):
         if was_there and not got[f"_{i}"]:
-            clear_partition(df.sparkSession, path, table_schema(df.sparkSession, path), d, by)
-    return {n: got[n] for n in seen}
+            clear_partition(spark, path, table_schema(spark, path), d, by)
+    return {n: got[n] for n in counted}
 
 
-def replace_date(df: DataFrame, path: str, date: str, by: str = DAY, **seen: Column) -> dict[str, int]:
-    return replace_dates(df, path, [date], by, **seen)
+def replace_date(df: DataFrame, path: str, date: str, by: str = DAY, **counted: Column) -> dict[str, int]:
+    return replace_dates(df, path, [date], by, **counted)
 
 
 def overwrite_text(df: DataFrame, path: str, by: str = DAY, part: str = "_part") -> None:
