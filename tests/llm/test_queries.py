@@ -184,15 +184,23 @@ def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 8)]) for i in range(300)]
     vectors += [vectors[0], (400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (None, [1.0] * 8), (500, [0.0] * 8), (501, [0.0] * 8), (502, vectors[7][1])]
+    vectors += [(100, vectors[3][1]), (100, [9.0] * 8), (5, vectors[6][1]), (5, vectors[6][1]), (600, [1.0, 2.0]), (601, [1e9] * 8)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("e", pytest.importorskip("pyspark.sql.functions").lit(1))
     got = rows(fagin.top_k(df), "query_id", "rank", "vec_id", "score")
     con = duckdb.connect()
     con.register("source", df.toPandas())
     con.execute("CREATE VIEW embeddings AS SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM source")
     assert got == sorted(con.execute(fagin.SQL).fetchall(), key=repr)
+    assert sum(r[0] == 100 for r in got) == 30 and sum(r[0] == 0 and r[2] == 0 for r in got) <= 2  # rows of one id are queries and candidates each
     assert fagin.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [2.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    one = [(1, 0, 4 * 1024 * 1024), (2, 1, 3 * 1024 * 1024), (3, 1, 3 * 1024 * 1024), (4, 2, 3 * 1024 * 512)]
+    assert rows(fagin.top_k(df), "query_id", "rank", "vec_id", "score") == sorted([(0, *r) for r in one] * 2, key=repr)
+
+
 def test_mixture(spark, docs, empty):
     extra = [(1000 + i, "w " * (i * 37 % 400), None, f"s{i % 7}" if i % 3 else "s0", 1, 0.0, "x", "y", "z") for i in range(400)]
     whole = docs.unionByName(spark.createDataFrame(extra, SCHEMA))

@@ -5,8 +5,8 @@ query goes down the lists (up, where its component is negative), scores what it
 bound, the product with the components at the depth reached: nothing below can reach it. Equal scores go on, since a smaller id may
 follow. The k best of the groups are merged.
 
-Vectors that are null, hold null or non-finite components, or have no id take no part. Rows repeated exactly count once; rows with one
-id and different vectors are rows of their own, as queries too. Vectors of different lengths: missing components count 0. Products
+Vectors that are null, hold null or non-finite components, or have no id take no part. Every other row has a number of its own: rows
+repeated exactly, and rows with one id and different vectors, are candidates for each other, and queries each with ranks of its own. Vectors of different lengths: missing components count 0. Products
 are exact: in doubles while these hold every sum, else in integers of any size; a score beyond a long is cut to its range.
 No rows: no rows.
 """
@@ -28,10 +28,10 @@ FIRST_DEPTH = 16
 
 
 def scaled(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """uid, vec_id, e: whole components of the vectors that take part, each row once."""
+    """uid (a number of the row, to be written before it is used twice), vec_id, e: whole components of the vectors that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).distinct()
-    return rows.select(F.xxhash64("vec_id", "embedding").alias("uid"), "vec_id",
+    rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    return rows.select(F.monotonically_increasing_id().alias("uid"), "vec_id",
                        F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("e"))
 
 
@@ -122,12 +122,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-i AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM i q JOIN i c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+i AS (SELECT uid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM v),
+s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM i q JOIN i c ON q.uid <> c.uid WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """
 
