@@ -304,3 +304,42 @@ def test_many_models_in_one_table(spark, pieces):
             assert r.brier == pytest.approx(evaluate.brier(part, "y", "s").first()[0])
         plain = {r.cut: r for r in evaluate.p1_cut_sweep(one.where("split = 'test'"), "y", "s", cuts[c], [0.5, 0.95]).collect()}
         assert {r.cut: tuple(r[2:]) for r in bands if r.c == c} == {k: tuple(r[1:]) for k, r in plain.items()}
+
+
+def test_only_touched_dates_are_read_again(spark):
+    from worklake.session import scratch_path
+    from worklake.sources import tables
+
+    path = scratch_path(spark, "items")
+    rows = [(date(2024, 1, d), 10 * d + i) for d in (1, 2, 3) for i in range(4)]
+    tables.write_table(spark.createDataFrame(rows, "business_date date, item_id int"), path)
+    arrived = spark.createDataFrame([(21,), (22,), (999,)], "item_id int")
+    touched = outcomes.touched_dates(arrived, tables.read_table(spark, path), "item_id", "business_date")
+    assert touched == [date(2024, 1, 2)]
+    again = tables.read_table(spark, path, F.col("business_date").isin(touched))
+    assert again.count() == 4 and len(again.inputFiles()) >= 1
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "2024-01-02" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+
+
+def test_audit_rows_sum_up_entities(spark):
+    checks = spark.createDataFrame([("bronze", "MATCHED"), ("bronze", "EXPLAINED")], "stage string, status string")
+    volumes = spark.createDataFrame([("bronze", "a", 5, 4, 1), ("bronze", "b", None, None, None)], "stage string, entity string, rows_in long, rows_out long, rows_rejected long")
+    got = {r.entity: (r.rows_in, r.rows_out, r.rows_rejected, r.status) for r in recon.audit_rows(checks, volumes, ["stage"]).collect()}
+    assert got == {"*": (5, 4, 1, "COMPLETED"), "a": (5, 4, 1, "COMMITTED"), "b": (None, None, None, "MISSING")}
+
+
+def test_stored_bins_give_the_same_index(spark):
+    rng = random.Random(9)
+    rows = [(i < 300, "ab"[i % 2], rng.gauss(0, 1) + (i >= 300) * 0.5) for i in range(500)]
+    df = spark.createDataFrame(rows, "ref boolean, lot string, v double")
+    bins = drift.reference_bins(df.where("ref"), ["v"])
+    now = df.where("NOT ref")
+    whole = drift.psi(df, ["v"], F.col("ref")).first().psi
+    assert drift.psi_of_counts(bins, drift.value_counts(now, ["v"])).first().psi == pytest.approx(whole)
+    sizes = now.groupBy("lot").agg(F.count(F.lit(1)).alias("rows")).unionByName(spark.createDataFrame([("c", 0)], "lot string, rows long"))
+    report = {r.lot: r for r in drift.drift_report(drift.psi_of_counts(bins, drift.value_counts(now, ["v"], "lot"), "lot"), sizes, ["lot"], 0.1, 0.25, 100).collect()}
+    for lot in "ab":
+        part = [v for ref, k, v in rows if not ref and k == lot]
+        assert report[lot].psi_max == pytest.approx(round(psi_by_hand([v for ref, _, v in rows if ref], part), 4)) and report[lot].rows == 100
+    assert (report["c"].psi_max, report["c"].psi_json, report["c"].drift_level) == (None, "{}", "TOO_FEW")
