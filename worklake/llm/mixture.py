@@ -1,9 +1,9 @@
 """Mixing sources to target weights: fixed-length blocks, counts drawn per shard, index permutations, a join by block index.
 
 Only DataFrame functions. Every document's words lie in one stream per source, cut into blocks of BLOCK words. A source's goal is
-met by whole passes over its blocks and one part of a pass; in each pass the blocks follow a pseudorandom permutation, so no block
-comes twice in a pass. Each slot of a source is thrown at a shard by a hash: given the shards' sizes, the counts per shard are
-multinomial draws that keep every source's total. Each document says which spans of it go to which shard, in order.
+met by whole passes over its blocks and one part of a pass; in each pass the blocks follow a pseudorandom permutation (a keyed Feistel
+network), so no block comes twice in a pass. Output shards have SHARD slots each; how many of them each source fills is a multinomial
+draw under the condition that every source keeps its total. Each document says which spans of it go to which shard, in order.
 
 Null text: size 0. Null source: a source of its own, the last. Null ids and repeated rows: each row is a document; rows of equal id
 are ordered by a hash of their text. Documents without words take up no block and have taken 0. No rows: no rows.
@@ -11,19 +11,20 @@ are ordered by a hash of their text. Documents without words take up no block an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklake.llm.common import COLUMNS, kept, query, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256  # words of a block
-SHARD = 256  # blocks of an output shard, on average
+SHARD = 256  # blocks of an output shard
 BUCKETS = 1024  # pieces of a source's stream that are numbered apart
 WEIGHTS = (3, 1, 2)
 SPANS = "array<struct<epoch:long,first:long,words:long,shard:long,block:long>>"
 CLASSES, DEALT = 64, 64  # classes of sizes (four an octave) and pieces of each, in which whole copies are rounded
-PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)  # multipliers of the permutations
+ROUNDS = 6  # of the permutations' network
+CHUNK = 4096  # shards whose draws are added up together
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -53,27 +54,73 @@ def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
                        F.least(F.col("source_size") * F.lit(float(most)), F.col("level") * F.col("weight")).alias("target"))
 
 
-def slots(goals: DataFrame, seed: int = 0) -> DataFrame:
-    """sid, shard, epoch, block, words: every slot of the mix. A long source's slots are numbered in two steps, in many tasks."""
+def permuted(index: Column, n: Column, *key: Column) -> Column:
+    """The place of index in a pseudorandom permutation of 0 to n - 1, another one for each key.
+
+    A Feistel network over pairs of an a x b grid of at least n places: by turns one half is turned by a hash of the other, which can be
+    undone. A place outside n goes through the network again until it's inside; less than a places are outside, so as many turns do.
+    """
+    a = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def turned(pair: Column, i: Column) -> Column:
+        def by(other: Column, base: Column) -> Column:
+            return F.pmod(F.xxhash64(*key, i, other), base)
+        return F.when(i % 2 == 0, F.struct(((pair["l"] + by(pair["r"], a)) % a).alias("l"), pair["r"].alias("r"))).otherwise(
+            F.struct(pair["l"].alias("l"), ((pair["r"] + by(pair["l"], b)) % b).alias("r")))
+
+    def network(x: Column) -> Column:
+        x = x.cast("long")
+        pair = F.struct(((x - x % b) / b).cast("long").alias("l"), (x % b).alias("r"))
+        return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), pair, turned, lambda pair: pair["l"] * b + pair["r"])
+
+    once = network(index)
+    again = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), a * b - n)), once, lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when(once < n, once).otherwise(again)
+
+
+def numbered(goals: DataFrame) -> DataFrame:
+    """sid, full, blocks, epochs, rest, slots, before, total: what a source gives to the mix, and the slots of the sources before it."""
     size, goal = F.col("source_size"), F.floor(F.col("target") + 0.5)
     g = goals.where("source_size > 0").select("sid", size, F.floor(size / BLOCK).alias("full"), F.ceil(size / BLOCK).alias("blocks"),
                                               F.floor(goal / size).alias("epochs"), (goal % size).alias("rest"))
-    g = g.withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / BLOCK))
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(0))) / SHARD))
-    g = g.withColumn("shards", shards).where("slots > 0")
-    step, tasks = 8192, int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tiny rows that become many: not to be coalesced
-    g = g.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step)))).repartition(tasks, "sid", "first")
-    g = g.withColumn("j", F.explode(F.sequence(F.col("first") * step, F.least(F.col("first") * step + step, F.col("slots")) - 1)))
+    g = g.withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / BLOCK)).where("slots > 0")
+    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)  # a row a source
+    return g.withColumn("before", F.sum("slots").over(upto) - F.col("slots")).withColumn("total", F.sum("slots").over(Window.partitionBy(F.lit(0))))
+
+
+def draws(sources: DataFrame, seed: int = 0) -> DataFrame:
+    """sid, shard, count, first: how many slots of each source a shard draws, and how many the shards before it draw of that source.
+
+    All shards have SHARD places, the last one what is left. The places draw from an urn that holds every source's slots: multinomial
+    counts under the condition that each source's total is what it should be.
+    """
+    step, tasks = 8192, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tiny rows that become many: not to be coalesced
+    g = sources.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step)))).repartition(tasks, "sid", "part")
+    g = g.withColumn("j", F.explode(F.sequence(F.col("part") * step, F.least(F.col("part") * step + step, F.col("slots")) - 1)))
+    place = permuted(F.col("before") + F.col("j"), F.col("total"), F.lit(seed + 2))
+    counts = g.select("sid", F.floor(place / SHARD).alias("shard")).groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("count"))
+    counts = counts.withColumn("chunk", F.floor(F.col("shard") / CHUNK))
+    upto = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    firsts = counts.groupBy("sid", "chunk").agg(F.sum("count").alias("held"))
+    firsts = firsts.withColumn("start", F.sum("held").over(upto) - F.col("held")).drop("held")
+    within = Window.partitionBy("sid", "chunk").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.repartition(tasks, "sid", "chunk").withColumn("upto", F.sum("count").over(within))
+    return counts.join(firsts.hint("merge"), ["sid", "chunk"]).select("sid", "shard", "count", (F.col("start") + F.col("upto") - F.col("count")).alias("first"))
+
+
+def slots(goals: DataFrame, seed: int = 0) -> DataFrame:
+    """sid, shard, epoch, block, words: every slot of the mix. A shard's slots of a source follow those of the shards before it, and each
+    goes through the permutation of the source and the pass to its block."""
+    sources = numbered(goals)
+    g = draws(sources, seed).join(sources, "sid")
+    g = g.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     g = g.withColumn("epoch", F.floor(F.col("j") / F.col("blocks"))).withColumn("rank", F.col("j") % F.col("blocks"))
-    drawn = F.element_at(F.array(*(F.lit(p).cast("long") for p in PRIMES[:-1])), (F.pmod(F.xxhash64(F.lit(seed), "sid", "epoch"), F.lit(len(PRIMES) - 1)) + 1).cast("int"))
-    n = F.greatest(F.col("full"), F.lit(1))
-    factor = F.when(n % drawn == 0, F.lit(PRIMES[-1]).cast("long")).otherwise(drawn)
-    offset = F.pmod(F.xxhash64(F.lit(seed + 1), "sid", "epoch"), n)
-    block = F.when(F.col("rank") < F.col("full"), (F.col("rank") * factor + offset) % n).otherwise(F.col("full"))
-    held = F.least(F.lit(BLOCK), size - F.col("block") * BLOCK)
+    at = permuted(F.col("rank"), F.greatest(F.col("full"), F.lit(1)), F.lit(seed), F.col("sid"), F.col("epoch"))
+    block = F.when(F.col("rank") < F.col("full"), at).otherwise(F.col("full"))
+    held = F.least(F.lit(BLOCK), F.col("source_size") - F.col("block") * BLOCK)
     left = F.when(F.col("epoch") == F.col("epochs"), F.col("rest") - F.col("rank") * BLOCK).otherwise(F.lit(BLOCK))
-    return (g.withColumn("block", block).withColumn("words", F.least(held, left))
-            .select("sid", F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "j"), F.col("shards")).alias("shard"), "epoch", "block", "words"))
+    return g.withColumn("block", block).withColumn("words", F.least(held, left)).select("sid", "shard", "epoch", "block", "words")
 
 
 def streams(sizes: DataFrame, goals: DataFrame) -> DataFrame:
