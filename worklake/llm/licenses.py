@@ -1,9 +1,10 @@
 """License scans: a positional index of rare licence words, intersected by relative position, with mandatory key phrases.
 
 Only DataFrame functions. One pass over the texts keeps, per document, the places of the licence words and of the key phrases. From
-these the document frequencies of the licence words are counted over all documents. The mandatory key phrases give the candidates
-(template and relative position); a file with any looks up all its licence words in the templates' postings, places of equal template
-and relative position are added up by IDF, and a template counts where words of at least AGREE of its weight agree with its key phrase.
+these the document frequencies of the licence words are counted over all documents. The index holds each template's words of highest
+IDF, as many as weigh more than what a match may lack, so that every match holds one of them. A file looks up those that it has and
+gets candidates (template and relative position); those whose mandatory key phrase stands there are verified: all of the file's
+licence words of equal template and relative position are added up by IDF, and AGREE of the template's weight has to agree.
 
 Null or empty text: no words, no places, empty label lists, score 0. Null ids and repeated rows: each row is scanned by itself.
 No rows: no rows.
@@ -11,7 +12,7 @@ No rows: no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklake.llm.common import kept, query, table
@@ -83,6 +84,13 @@ def scanned(docs: DataFrame) -> DataFrame:
     return t.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("long").alias("n_words"), "hits", phrases.alias("phrases"))
 
 
+def rarest(weighed: DataFrame) -> DataFrame:
+    """word, template, tpos of the words of highest IDF of each template that weigh more than 1 - AGREE of it together."""
+    order = Window.partitionBy("template").orderBy(F.desc("idf"), "word", "tpos")
+    before = F.coalesce(F.sum("idf").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return weighed.withColumn("before", before).where(F.col("before") <= (1 - AGREE + 1e-9) * F.col("weight")).select("word", "template", "tpos")
+
+
 def template_matches(scan: DataFrame) -> DataFrame:
     """rid, found (labels), score of the files in which a template's words and key phrase stand at one relative position."""
     spark = scan.sparkSession
@@ -92,12 +100,16 @@ def template_matches(scan: DataFrame) -> DataFrame:
     idf = counts.crossJoin(scan.agg(F.count(F.lit(1)).alias("n"))).select("word", F.log((F.col("n") + 1) / (F.col("count") + 0.5)).alias("idf"))
     idf = idf.withColumn("idf", F.greatest(F.lit(0.01), "idf"))
     postings = spark.createDataFrame(POSTINGS, "word string, template int, tpos int")
-    weights = postings.join(F.broadcast(idf), "word").groupBy("template").agg(F.sum("idf").alias("weight"))
+    weighed = kept(postings.join(F.broadcast(idf), "word"), "license-index")  # POSTINGS at most
+    weights = weighed.groupBy("template").agg(F.sum("idf").alias("weight"))
     number = spark.createDataFrame([(k, t, off, label) for k, (label, _, t, off) in enumerate(PHRASES) if t >= 0], "number int, template int, off int, label string")
     keys = scan.select("rid", F.explode("phrases").alias("p")).select("rid", "p.number", "p.pos").join(F.broadcast(number), "number")
     keys = keys.select("rid", "template", (F.col("pos") - F.col("off")).alias("origin"), "label").distinct()
-    # All hits of a file with a key phrase: what agrees at a place doesn't depend on what else the file holds.
-    agreed = (hits.join(keys.select("rid").distinct(), "rid", "left_semi").join(F.broadcast(postings.join(F.broadcast(idf), "word")), "word")
+    looked_up = hits.join(F.broadcast(rarest(weighed.join(weights, "template"))), "word")
+    candidates = looked_up.select("rid", "template", (F.col("pos") - F.col("tpos")).alias("origin")).distinct()
+    keys = keys.join(candidates, ["rid", "template", "origin"])
+    # All hits of a file with a candidate: what agrees at a place doesn't depend on what else the file holds.
+    agreed = (hits.join(keys.select("rid").distinct(), "rid", "left_semi").join(F.broadcast(weighed), "word")
               .groupBy("rid", "template", (F.col("pos") - F.col("tpos")).alias("origin")).agg(F.sum("idf").alias("agreed")))
     fits = agreed.join(keys, ["rid", "template", "origin"]).join(F.broadcast(weights), "template")
     fits = fits.withColumn("share", F.least(F.lit(1.0), F.col("agreed") / F.col("weight"))).where(F.col("share") >= AGREE)
