@@ -191,11 +191,10 @@ def codec(path: str) -> Codec:
 
 
 def leaves(long: DataFrame, leaf: int) -> DataFrame:
-    """rid, doc_id, k, text: the leaves of each text, spread over the tasks."""
-    n = F.char_length("text")
+    """rid, doc_id, k, text: the leaves of each text, cut in one pass over it and spread over the tasks."""
     rows = long.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")  # before the leaves: one number a row
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / leaf).cast("int"))))
-    return rows.select("rid", "doc_id", "k", F.substring("text", F.col("k") * leaf + 1, F.lit(leaf)).alias("text"))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{leaf}}}"), F.lit(0))
+    return rows.select("rid", "doc_id", F.posexplode(cut).alias("k", "text"))
 
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, leaves int"
