@@ -3,18 +3,22 @@
 Candidates are the strict (base) spans and looser ones of more kinds that overlap no strict span. Four labelers vote on each: its
 pattern, gazetteers (domains, ranges, prefixes, checks), the words before it, and its digits. Votes are counted over all documents per
 kind, votes and length class, at most a few thousand different rows. EM on these counts gives the labelers' reliabilities and a
-posterior for each row, on which a logistic span classifier is trained. Strict spans always stay; a looser one stays at CUT or more.
+posterior for each row. A logistic span classifier learns these posteriors from what the labelers do not see: shape and characters of
+the span and the words around it. It is fitted on a bounded sample, PER_VOTES different spans for each kind and votes, and scores every
+span. Strict spans always stay; a looser one stays at CUT or more.
 
 Null or empty text: no spans. Null ids and repeated rows: each row by itself. No candidates: nothing is trained and nothing added.
-Positions are code points, ends are exclusive.
+Very long texts are read whole. Positions are code points, ends are exclusive. A looser e-mail has at most 64 characters before its
+(at), labels of 63 and nine labels; the context of a span is 40 characters before it and 20 behind it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worklake.llm.common import COLUMNS, kept, map_texts, query, table
@@ -24,6 +28,17 @@ BASE_KINDS = 4
 LABELERS = 4
 CUT = 0.5
 NO, YES, NONE = 0, 1, 2  # votes
+PER_VOTES = 300  # spans that the classifier is fitted on, for each kind and votes of the four labelers
+BEFORE, AFTER = 40, 20  # characters of context
+CONTEXT = 256  # places for hashed words around a span
+SEPARATORS = " .-_/+=("
+# Places of a span's features: per kind its length class and shape, then separators, marks beside it and hashed words.
+SIZES, SHAPES = 10, 20
+OF_KIND = 1 + SIZES + SHAPES
+SIGNS = len(KINDS) * OF_KIND
+WORDS = SIGNS + 2 * len(SEPARATORS)
+FEATURES = WORDS + CONTEXT
+WORD = re.compile(r"[^\W\d_]+")
 
 # The base patterns as the contract gives them, anchored where that changes no match.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -115,7 +130,7 @@ def _gazetteer(kind: int, s: str) -> int:
         return YES if s[0] == "+" and d[0] != "0" else NONE
     if kind == 4:
         hexed = len(s) in (32, 40, 64) and all(c in "0123456789abcdef" for c in s)
-        return YES if hexed or s.startswith(SECRETS) else NO
+        return YES if hexed or s.startswith(SECRETS) else NO if s.isalpha() else NONE  # letters alone: a long word
     if kind == 5:
         return NO if d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000" else YES
     return YES if _iban(s) else NO
@@ -130,8 +145,20 @@ def _variety(kind: int, s: str) -> int:
     return YES if distinct >= 3 else NO
 
 
-def candidates(text: str) -> list[tuple[int, int, int, bool, str]]:
-    """(kind, start, end, strict, votes) by kind and start. votes: a digit for each labeler, then the length class."""
+def features(kind: int, s: str, before: str, after: str) -> list[int]:
+    """Places of the features that hold for a span: nothing of how the labelers vote."""
+    first, n = kind * OF_KIND, len(s)
+    shape = first + 1 + SIZES
+    digits, capitals = sum("0" <= c <= "9" for c in s), sum("A" <= c <= "Z" for c in s)
+    out = [first, first + 1 + min(9, n.bit_length()), shape + 5 * digits // (n + 1), shape + 5 + 5 * capitals // (n + 1), shape + 10 + min(9, len(set(s)).bit_length())]
+    out += [SIGNS + i for i, c in enumerate(SEPARATORS) if c in s]
+    out += [SIGNS + len(SEPARATORS) + i for i, c in enumerate(SEPARATORS) if before.endswith(c)]
+    words = [f"-{i}{w.lower()}" for i, w in enumerate(reversed(WORD.findall(before)[-2:]))] + [f"+{w.lower()}" for w in WORD.findall(after)[:1]]
+    return sorted({*out, *(WORDS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % CONTEXT for w in words)})
+
+
+def candidates(text: str) -> list[tuple[int, int, int, bool, str, list[int]]]:
+    """(kind, start, end, strict, votes, features) by kind and start. votes: a digit for each labeler, then the length class."""
     if not re.search(r"[0-9@]|\([aA][tT]\)|\[[aA][tT]\]|[A-Za-z0-9_/+=-]{20}", text):
         return []
     spans = [(k, a, b, True) for k, found in enumerate(base_spans(text)) for a, b in found]
@@ -148,10 +175,13 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str]]:
             last = b
     out = []
     for kind, a, b, strict in sorted(spans):
-        s, before = text[a:b], text[max(0, a - 40):a]
-        context = YES if CUES[kind].search(before) else NO if AGAINST.search(before) else NONE
+        s, before = text[a:b], text[max(0, a - BEFORE):a]
+        name = s.partition("=")[0] if kind == 4 and "=" in s.rstrip("=") else ""  # of `name=value`: a word before the value
+        cue = (before + name)[-BEFORE:]
+        context = YES if CUES[kind].search(cue) else NO if AGAINST.search(cue) else NONE
         votes = (YES if strict else NO if kind < BASE_KINDS else NONE, _gazetteer(kind, s), context, _variety(kind, s))
-        out.append((kind, a, b, strict, "".join(map(str, votes)) + str(min(9, (b - a).bit_length()))))
+        out.append((kind, a, b, strict, "".join(map(str, votes)) + str(min(9, (b - a).bit_length())),
+                    features(kind, s, before + name, text[b:b + AFTER])))
     return out
 
 
@@ -177,65 +207,83 @@ def reliabilities(rows: list[tuple[int, str, int]], rounds: int = 100) -> tuple[
     return chance, prior, p
 
 
-def _features(rows: list[tuple[int, str, int]]) -> np.ndarray:
-    x = np.zeros((len(rows), len(KINDS) + 2 * LABELERS + 1))
-    for i, (kind, votes, _) in enumerate(rows):
-        x[i, kind] = 1
-        for j in range(LABELERS):
-            if votes[j] != str(NONE):
-                x[i, len(KINDS) + 2 * j + int(votes[j])] = 1
-        x[i, -1] = int(votes[LABELERS]) / 10
-    return x
+def posteriors(rows: list[tuple[int, str, int]]) -> dict[tuple[int, str], float]:
+    """EM's chance that a span of (kind, votes) is personal data."""
+    return {(r[0], r[1]): float(p) for r, p in zip(rows, reliabilities(rows)[2])} if rows else {}
 
 
-def train(rows: list[tuple[int, str, int]]) -> list[tuple[int, str]]:
-    """(kind, votes) that the span classifier accepts: logistic regression on EM's posteriors, by Newton steps."""
-    if not rows:
+def train(spans: list[tuple[list[int], float, float]], rounds: int = 15) -> list[float]:
+    """A weight for each feature, from (features, chance, weight) of spans: logistic regression by Newton steps. No spans: no weights."""
+    if not spans:
         return []
-    p, x = reliabilities(rows)[2], _features(rows)
-    n, w = np.sqrt(np.array([r[2] for r in rows], np.float64)), np.zeros(x.shape[1])  # frequent rows count more, yet not alone
-    for _ in range(25):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (n * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (n * (p - q)) - 0.1 * w)
-    return [(r[0], r[1]) for r, z in zip(rows, x @ w) if 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= CUT]
-
-
-SPAN = "struct<kind:int,start:int,stop:int,strict:boolean,votes:string>"
+    w = np.zeros(FEATURES)
+    chance, n = np.array([s[1] for s in spans]), np.array([s[2] for s in spans], np.float64)
+    for _ in range(rounds):
+        slope, curve = -w, np.eye(FEATURES)
+        for a in range(0, len(spans), 4096):
+            part = spans[a:a + 4096]
+            x = np.zeros((len(part), FEATURES))
+            for i, (places, _, _) in enumerate(part):
+                x[i, places] = 1
+            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = slope + x.T @ (n[a:a + 4096] * (chance[a:a + 4096] - q))
+            curve = curve + (x * (n[a:a + 4096] * q * (1 - q))[:, None]).T @ x
+        step = np.linalg.solve(curve, slope)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w.tolist()
+
+
+def evidence(weights: list[float], places: list[int]) -> float:
+    """Summed in order, as the query does, so that both decide alike (Python's sum rounds otherwise)."""
+    total = 0.0
+    for p in places:
+        total += weights[p]
+    return total
+
+
+LEAST = float(np.log(CUT / (1 - CUT)))  # of a span's summed weights
+SPAN = "struct<kind:int,start:int,stop:int,strict:boolean,votes:string,features:array<int>>"
 
 
 def found(docs: DataFrame) -> DataFrame:
     """doc_id and the candidates of every document; the only pass over the texts."""
     def make():
         def fn(cols):
-            spans = [[dict(zip(("kind", "start", "stop", "strict", "votes"), c)) for c in candidates(t)] for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "spans": spans}
+            names = ("kind", "start", "stop", "strict", "votes", "features")
+            return {"doc_id": cols["doc_id"], "spans": [[dict(zip(names, c)) for c in candidates(t)] for t in cols["text"]]}
         return fn
     return map_texts(docs.select("doc_id", "text"), make, f"doc_id long, spans array<{SPAN}>")
 
 
-def accepted(spans: DataFrame) -> list[tuple[int, str]]:
-    """Counts of kinds, votes and length classes over all candidates; at most 7 * 81 * 10 rows come to the driver."""
-    counts = spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().orderBy("kind", "votes").collect()
-    return train([(r["kind"], r["votes"], r["count"]) for r in counts])
+def fitted(spans: DataFrame) -> list[float]:
+    """Weights of the span classifier. To the driver come counts of kinds, votes and length classes over all candidates, at most
+    7 * 81 * 10 rows, and at most 7 * 81 * PER_VOTES different spans. Copies of a span are one, weighed by the root of their number."""
+    alike = kept(spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.features").count(), "pii-alike")
+    counts = alike.groupBy("kind", "votes").agg(F.sum("count").alias("n")).orderBy("kind", "votes").collect()
+    chance = posteriors([(r["kind"], r["votes"], r["n"]) for r in counts])
+    order = Window.partitionBy("kind", F.substring("votes", 1, LABELERS)).orderBy(F.xxhash64("votes", "features"), "votes", "features")
+    sample = alike.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_VOTES).drop("place")
+    rows = sorted(sample.collect(), key=lambda r: (r["kind"], r["votes"], r["features"]))
+    return train([(r["features"], chance[r["kind"], r["votes"]], r["count"] ** 0.5) for r in rows])
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of strict spans, base_sha256, spans of every document."""
+    """doc_id, counts of strict spans, base_sha256, spans of every document, and n_spans, the number of all its spans."""
     all_spans = kept(found(docs), "pii-spans")
-    good = [f"{k}:{v}" for k, v in accepted(all_spans)]
+    weights = fitted(all_spans)
     names = F.array(*map(F.lit, KINDS))
 
     def text(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
-    strict = F.filter("spans", lambda s: s["strict"])
-    if good:
-        ok = F.array(*map(F.lit, good))
-        chosen = F.filter("spans", lambda s: s["strict"] | F.array_contains(ok, F.concat_ws(":", s["kind"], s["votes"])))
-    else:
-        chosen = strict
+    strict = chosen = F.filter("spans", lambda s: s["strict"])
+    if weights:
+        table_of = F.array(*map(F.lit, weights))
+        chosen = F.filter("spans", lambda s: s["strict"] | (F.aggregate(s["features"], F.lit(0.0), lambda t, f: t + F.get(table_of, f)) >= LEAST))
     counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)]
-    return all_spans.select("doc_id", *counts, F.sha2(text(strict), 256).alias("base_sha256"), text(chosen).alias("spans"))
+    return all_spans.select("doc_id", *counts, F.sha2(text(strict), 256).alias("base_sha256"), text(chosen).alias("spans"),
+                            F.size(chosen).cast("long").alias("n_spans"))
 
 
 def _of_kind(kind: int):
@@ -250,15 +298,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span is replaced by its kind in angle brackets; n_chars follows. No document goes."""
     docs = docs.select(*COLUMNS)
-    good = set(accepted(kept(found(docs), "pii-spans")))
+    weights = fitted(kept(found(docs), "pii-spans"))
 
     def make():
         def fn(cols):
             texts = []
             for raw in cols["raw"]:
                 done, parts = 0, []
-                for kind, a, b, strict, votes in sorted(candidates(raw or ""), key=lambda c: (c[1], -c[2])):
-                    if (strict or (kind, votes) in good) and b > done:
+                for kind, a, b, strict, _, places in sorted(candidates(raw or ""), key=lambda c: (c[1], -c[2])):
+                    if (strict or evidence(weights, places) >= LEAST) and b > done:
                         parts += [raw[done:a], f"<{KINDS[kind].upper()}>"] if a >= done else []
                         done = b
                 texts.append(raw if not parts else "".join(parts) + raw[done:])
