@@ -14,12 +14,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worklake.llm.common import COLUMNS, map_texts, pieces, query, table
+from worklake.llm.common import COLUMNS, map_texts, query, slices, table
 
 PROFILE = 400
 PER_LANGUAGE = 3000
@@ -27,6 +26,7 @@ LABELLED = 50_000
 UNKNOWN = "und"
 DENSE = 1 << 22  # codes of n-grams up to which a table is held for them; more are looked up in sorted order
 CELLS = 4_000_000  # counts of documents and n-grams that are held together
+STAGE_CELLS = 500_000  # the same in the pipeline, where the JVM holds whole texts as well
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, labelled: int = LABELLED) -> DataFrame:
@@ -99,8 +99,8 @@ class Ranker:
     """Profiles over signs: all letters of the profiles are numbered, an n-gram is a code of one to three signs. 0 is no letter, the last
     sign any letter that no profile has."""
 
-    def __init__(self, found: dict[str, list[str]]):
-        self.langs = sorted(found)
+    def __init__(self, found: dict[str, list[str]], cells: int = CELLS):
+        self.langs, self.cells = sorted(found), cells
         letters = sorted({c for grams in found.values() for g in grams for c in g if c != " "})
         self.sign = {c: i + 1 for i, c in enumerate(letters)}
         self.base = len(letters) + 2
@@ -130,7 +130,7 @@ class Ranker:
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        step = min(256, max(1, CELLS // (self.size + 1)))
+        step = min(256, max(1, self.cells // (self.size + 1)))
         for at in range(0, len(texts), step):
             low = [t.lower() for t in texts[at:at + step]]
             n = len(low)
@@ -186,12 +186,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.05
     """Documents in a language that can be told: those without a letter, and those unlike every profile, go."""
     found = profiles(sample(docs))
 
-    @F.pandas_udf("boolean")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:  # texts go to the worker, only the decision comes back
-        ranker = Ranker(found)
+    @F.arrow_udf("boolean")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:  # texts go to the worker, only the decision comes back
+        ranker = Ranker(found, cells=STAGE_CELLS)
         for texts in batches:
             keep: list[bool] = []
-            for a, b in pieces(texts := [t or "" for t in texts], 1_000_000):
-                keep += [lang != UNKNOWN and s >= least for lang, s in zip(*ranker(texts[a:b]))]
-            yield pd.Series(keep, dtype=bool)
+            for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 500_000):
+                keep += [lang != UNKNOWN and s >= least for lang, s in zip(*ranker([t or "" for t in part.column(0).to_pylist()]))]
+            yield pa.array(keep, pa.bool_())
     return docs.select(*COLUMNS).where(told("text"))
