@@ -1,5 +1,6 @@
 """Parts without Spark against brute force."""
 
+import collections
 import itertools
 import random
 import sys
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 import regex
 
-from worklake.llm import bpe, counts, edits, jaccard, licenses, pii
+from worklake.llm import bpe, counts, edits, jaccard, langid, licenses, pii
 
 tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("public_tokenizers")
@@ -249,3 +250,32 @@ def test_features_hold_no_votes_and_fit_their_table():
     weights = pii.train([([0, 5], 1.0, 3.0), ([0, 6], 0.0, 2.0), ([0], 0.5, 1.0)])
     slope = [sum(n * (p - 1 / (1 + 2.718281828459045 ** -pii.evidence(weights, x))) for x, p, n in (([0, 5], 1.0, 3.0), ([0, 6], 0.0, 2.0), ([0], 0.5, 1.0)) if j in x) - weights[j] for j in (0, 5, 6)]
     assert max(map(abs, slope)) < 1e-6  # at the minimum of the penalised loss
+
+
+def test_languages_by_plain_out_of_place_distance():
+    random.seed(5)
+    letters = {"aa": "abcde", "bb": "cdefgé", "cc": "жзиa"}
+
+    def grams(text):
+        spaced = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return [g for n in (1, 2, 3) for i in range(len(spaced) - n + 1) if " " not in (g := spaced[i:i + n])[1:-1] and g.strip() and not g.startswith("  ")]
+
+    def words(lang, n):
+        return " ".join("".join(random.choice(letters[lang]) for _ in range(random.randrange(1, 6))) for _ in range(n))
+    found = {}
+    for lang in letters:
+        counts = collections.Counter(grams(words(lang, 400)))
+        found[lang] = sorted(counts, key=lambda g: (-counts[g], g))[:60]
+    known, furthest = {g for x in found.values() for g in x}, 60
+    texts = [words(random.choice(list(letters)), random.randrange(1, 30)) for _ in range(300)] + ["", "12 34", "zzz", "A, b! C?", "abc" * 3000]
+    for cells in (1, 10_000, langid.CELLS):
+        names, scores = langid.Ranker(found, cells)(texts)
+        for text, name, score in zip(texts, names, scores):
+            counts = collections.Counter(g for g in grams(text) if g in known)
+            top = sorted(counts, key=lambda g: (-counts[g], g))[:furthest]
+            far = {lang: sum(abs(i - (x.index(g) if g in x else furthest)) for i, g in enumerate(top)) for lang, x in found.items()}
+            best = min(sorted(far), key=far.get)
+            if not any(c.isalpha() for c in text):
+                assert (name, score) == (langid.UNKNOWN, 0.0), text
+            else:
+                assert name == best and abs(score - (1 - far[best] / (len(top) * furthest) if top else 0.0)) < 1e-12, text
