@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from worklake.operators.ordered import numbered
-from worklake.operators.queues import at_time, busy_periods, fifo_slots
+from worklake.operators.queues import at_time, busy_periods, fifo_slots, readers
 from worklake.registered.base import query
 from worklake.registered.frames import _M, SHIFT, items, outcomes, queued
 
@@ -53,13 +51,14 @@ def wait_compare(spark, sf):
     return queued(spark, sf).select("item_id", "fifo_wait_min", "triage_wait_min", "shadow_wait_min", saved.alias("wait_saved_min"))
 
 
-@query("slot_reader_id", """SELECT business_date, item_id, 'RAD01' AS reader FROM {q_fifo}""")
+@query("slot_reader_id", f"""SELECT business_date, item_id, 'RAD' || lpad(CAST((pos - max(both_free) OVER (PARTITION BY business_date ORDER BY pos)) % 2 + 1 AS VARCHAR), 2, '0') AS reader
+  FROM (SELECT *, CASE WHEN pos = 0 OR start_us >= lag(start_us) OVER (PARTITION BY business_date ORDER BY pos) + {_M} THEN pos END AS both_free FROM {{q_fifo}})""")
 def slot_reader_id(spark, sf):
-    """With one server, as a shift has it: with more, which of several idle servers takes an item is left open."""
-    slots = fifo_slots(items(spark, sf).select("business_date", "item_id", "arrival"), ["business_date"], "business_date",
-                       "arrival", "item_id", replace(SHIFT, servers=1))
+    """The first of the shift's readers who is free."""
+    slots = readers(items(spark, sf).select("business_date", "item_id", "arrival"), ["business_date"], "business_date",
+                    "arrival", "item_id", SHIFT)
     return slots.select("business_date", "item_id",
-                        F.concat(F.lit("RAD"), F.lpad((F.col("server") + 1).cast("string"), 2, "0")).alias("reader"))
+                        F.concat(F.lit("RAD"), F.lpad((F.col("reader") + 1).cast("string"), 2, "0")).alias("reader"))
 
 
 @query("triage_seq", """SELECT business_date, item_id, row_number() OVER (PARTITION BY business_date ORDER BY triage_start_us, item_id) AS triage_seq
