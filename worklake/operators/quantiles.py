@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklake.operators.ordered import CHUNK, SUM, chunk, running
+from worklake.session import materialize
 
 LINEAR, INDEX = "linear", "index"
 
@@ -37,7 +38,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     # equal values collapse before anything is sorted, so a hot group brings its distinct values, not its rows
     counts = chunk(rows.groupBy(*by, F.col(value).alias("_v")).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c")), by, [F.col("_v")])
     placed = running(counts, by, [F.col("_v")], {"_upto": (SUM, F.col("_c"))}).drop(CHUNK)
-    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(k).alias(f"_s_{k}") for k in by], "_n")
+    # stored, because its size tells Spark whether the counts have to move for it
+    sizes = materialize(counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*[F.col(k).alias(f"_s_{k}") for k in by], "_n"), "sizes")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by])
     placed = placed.join(sizes, same)
     first = F.col("_upto") - F.col("_c")
