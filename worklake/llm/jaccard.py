@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worklake.llm.common import COLUMNS, kept, map_texts, query, table
+from worklake.llm.common import COLUMNS, give_back, kept, map_texts, query, table
 from worklake.llm.components import components
 
 GROUP = 3000  # nodes of a block; a task searches one block, or two
@@ -275,6 +275,7 @@ def claims(marks: DataFrame, least: int) -> DataFrame:
                 pa.array(np.concatenate([found, nodes])), pa.array(np.concatenate([nodes[own[order][first]], nodes])),
                 pa.array((times > 1).tolist() + [None] * len(nodes), pa.bool_()),
                 pa.array([None] * len(found) + (here - need).tolist(), pa.int64())], names=["shingle", "node", "known", "credit"])
+        give_back()
     return marks.where("node IS NOT NULL").select("node", "n_shingles", "prefix").mapInArrow(run, "shingle long, node long, known boolean, credit long")
 
 
@@ -299,6 +300,7 @@ def signed(sets: DataFrame, least: int) -> DataFrame:
                 for q in (own, own + 1):
                     marks = parts.signed(np.frombuffer(s, np.uint64), q)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), node)), pa.array(np.full(len(marks), q, np.int32)), pa.array(marks)], names=["node", "q", "part"])
+        give_back()
     return sets.select("node", "class", "shingles").mapInArrow(run, "node long, q int, part long").select(F.xxhash64("node", "q").alias("node"), "part")
 
 
@@ -348,6 +350,8 @@ def links(sets: DataFrame, clusters: DataFrame, least: int) -> DataFrame:
         left = [i for i in range(len(nodes)) if block[i] == a]
         right = left if a == b else [i for i in range(len(nodes)) if block[i] == b]
         found = search([all_sets[i] for i in left], [all_sets[j] for j in right], least, a == b)
+        if len(nodes) > GROUP // 10:
+            give_back()  # the lists of a large block
         return pa.table({"u": pa.array([int(nodes[left[i]]) for i, _ in found], pa.int64()), "v": pa.array([int(nodes[right[j]]) for _, j in found], pa.int64())})
     return rows.groupBy("root", "a", "b").applyInArrow(run, "u long, v long")
 

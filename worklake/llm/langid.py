@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worklake.llm.common import COLUMNS, map_texts, query, slices, table
+from worklake.llm.common import COLUMNS, give_back, map_texts, query, slices, table
 
 PROFILE = 400
 PER_LANGUAGE = 3000
@@ -194,4 +194,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.05
             for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 500_000):
                 keep += [lang != UNKNOWN and s >= least for lang, s in zip(*ranker([t or "" for t in part.column(0).to_pylist()]))]
             yield pa.array(keep, pa.bool_())
+            give_back()
     return docs.select(*COLUMNS).where(told("text"))
