@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 from test_queues import frame, random_day
 
+from worklake.operators import ordered, queues
 from worklake.operators.ordered import numbered
 from worklake.operators.queues import Shift, by_start, replay
+from worklake.plans.views import v_triage_outcome
+from worklake.session import materialize
 
 
 def test_a_scan_moves_its_rows_once(spark, small_pieces):
@@ -28,3 +31,61 @@ def test_places_by_start_without_a_scan(spark, small_pieces):
     for day in {r[0] for r in rows}:
         ordered = sorted((r for r in got if r["day"] == day), key=lambda r: (r["triage_start_us"], r["item"]))
         assert [r["seq"] for r in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_a_long_stretch_is_cut_once_whatever_its_length(spark, monkeypatch):
+    """The steps that store rows are as many for eight classes of ranks as for two, and the schedule is that of one class."""
+    rows = random_day(4, 64, 1)
+    stored, found = [], []
+    for limit in ("1000000", "32", "8"):
+        spark.conf.set("spark.worklake.pieceRows", limit)
+        names = []
+        for module in (queues, ordered):
+            monkeypatch.setattr(module, "materialize", lambda df, name="step": names.append(name) or materialize(df, name))
+        got = replay(frame(spark, rows), ["day"], "day", "arrival", "item", Shift(servers=2, minutes=6),
+                     {"triage": [F.col("band"), -F.col("prob")]}, slots=True)
+        stored.append(len(names))
+        found.append(sorted(map(tuple, got.select("item", "pos", "triage_start_us", "triage_slot").collect())))
+    spark.conf.unset("spark.worklake.pieceRows")
+    assert stored[1] == stored[2]
+    assert found[0] == found[1] == found[2]
+
+
+def test_places_do_not_depend_on_the_classes(spark):
+    rows, found = random_day(6, 64, 1), []
+    for limit in ("1000000", "8"):
+        spark.conf.set("spark.worklake.pieceRows", limit)
+        got = queues.served(frame(spark, rows), ["day"], "day", "arrival", "item", Shift(servers=3, minutes=6),
+                            {"triage": [F.col("band"), -F.col("prob")], "other": [F.col("prob")]}, places=["triage", "other"]).collect()
+        for arm in ("triage", "other"):
+            for day in {r[0] for r in rows}:
+                placed = sorted((r for r in got if r["day"] == day), key=lambda r: (r[f"{arm}_start_us"], r["item"]))
+                assert [r[f"{arm}_seq"] for r in placed] == list(range(1, len(placed) + 1))
+        found.append(sorted(map(tuple, got)))
+    spark.conf.unset("spark.worklake.pieceRows")
+    assert found[0] == found[1]
+
+
+def test_outcomes_do_not_move_to_the_persons(spark):
+    """Only the narrow facts are shuffled by person."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        outcomes = spark.createDataFrame([], "business_date date, item int, arrival timestamp, unit string, age_years int, fifo_seq int, "
+                                         "triage_seq int, probability double, population string, triage_model string, quality_check string, "
+                                         "shadow_priority string, shadow_model string, priority string, model_version string, truth_known "
+                                         "boolean, finding string, outcome string, fifo_wait_min double, triage_wait_min double, "
+                                         "shadow_wait_min double, wait_saved_min double, truth int, truth_second int")
+        facts = spark.range(3).select(F.current_date().alias("business_date"), F.col("id").cast("int").alias("item"), F.col("id").alias("person"))
+        persons = spark.range(3).select(F.col("id").alias("person"), F.lit("x").alias("segment"))
+        view = v_triage_outcome(outcomes.repartition(2), facts.repartition(2), persons, "item", "person", [], ["segment"])
+        lines = view._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sides = {}
+    for at, line in enumerate(lines):
+        if "Exchange hashpartitioning(person" in line:
+            depth = line.index("Exchange")
+            below = lines[at + 1:]
+            end = next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-*()0123456789")) < depth), len(below))
+            sides[at] = "\n".join(below[:end])
+    assert len(sides) == 2 and not any("wait_saved_min" in s for s in sides.values())

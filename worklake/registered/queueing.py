@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from worklake.operators.queues import at_time, busy_periods, by_start, fifo_slots, readers
+from worklake.operators.queues import at_time, busy_periods, fifo_slots, readers
 from worklake.registered.base import query
-from worklake.registered.frames import _M, SHIFT, items, outcomes, queued
+from worklake.registered.frames import _M, SHIFT, items, outcomes, queue, queued
 
 _AT = "CAST(business_date AS TIMESTAMP) + INTERVAL 8 HOUR + to_microseconds(CAST({} AS BIGINT))"
 
@@ -63,8 +63,7 @@ def slot_reader_id(spark, sf):
 @query("triage_seq", """SELECT business_date, item_id, row_number() OVER (PARTITION BY business_date ORDER BY triage_start_us, item_id) AS triage_seq
   FROM {queued}""")
 def triage_seq(spark, sf):
-    placed = by_start(queued(spark, sf), ["business_date"], "triage", "item_id", "triage_seq")
-    return placed.select("business_date", "item_id", "triage_seq")
+    return queue(spark, sf).select("business_date", "item_id", "triage_seq")
 
 
 @query("outcome_class", "SELECT item_id, priority, finding, outcome FROM {outcomes}")
