@@ -1,14 +1,22 @@
 """How often the ordered scans and the queue move their rows."""
 
+import os
+import re
+
+import pytest
 from pyspark.sql import functions as F
 from test_queues import frame, random_day
 
 from worklake.operators import ordered, queues
+from worklake.operators.joins import moved_by
 from worklake.operators.ordered import numbered
 from worklake.operators.queues import Shift, by_start, replay
 from worklake.plans.views import v_triage_outcome
+from worklake.registered import all_queries, frames
 from worklake.session import materialize
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_a_scan_moves_its_rows_once(spark, small_pieces):
     """One exchange of the rows for the scan, the others carry a row per piece; nothing is sorted for a join."""
@@ -89,3 +97,27 @@ def test_outcomes_do_not_move_to_the_persons(spark):
             end = next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-*()0123456789")) < depth), len(below))
             sides[at] = "\n".join(below[:end])
     assert len(sides) == 2 and not any("wait_saved_min" in s for s in sides.values())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_outcomes_and_their_view_move_by_item_alone(spark):
+    """Queue, reports and items meet by item; a second key would move the queue's rows once more, and the view's wide rows too."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (
+            frames.outcomes(spark, SF), all_queries()["v_triage_outcome"](spark, SF))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        assert "hashpartitioning(item_id" in plan and "hashpartitioning(business_date" in plan
+        assert not re.search(r"hashpartitioning\(business_date#\d+, item_id#", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(item_id#", plans[0])) == 3
+
+
+def test_moved_by_compares_both_columns(spark):
+    """An item of two dates meets its own date only; nulls meet nothing."""
+    left = spark.createDataFrame([("a", 1, 10), ("b", 1, 11), (None, 1, 12), ("a", None, 13)], "day string, item int, x int")
+    right = spark.createDataFrame([("a", 1, 20), ("b", 1, 21), ("c", 1, 22), (None, 1, 23), ("a", None, 24)], "day string, item int, y int")
+    got = moved_by(left, right, "item", "day").select("day", "item", "x", "y").collect()
+    plain = left.join(right, ["day", "item"]).select("day", "item", "x", "y").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) == [("a", 1, 10, 20), ("b", 1, 11, 21)]
