@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queues import frame, random_day
 
-from worklake.operators import ordered, queues
+from worklake.operators import ordered, outcomes, quantiles, queues
 from worklake.operators.joins import moved_by
 from worklake.operators.ordered import numbered
 from worklake.operators.queues import Shift, by_start, replay
@@ -121,3 +121,16 @@ def test_moved_by_compares_both_columns(spark):
     got = moved_by(left, right, "item", "day").select("day", "item", "x", "y").collect()
     plain = left.join(right, ["day", "item"]).select("day", "item", "x", "y").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) == [("a", 1, 10, 20), ("b", 1, 11, 21)]
+
+
+def test_waits_move_without_text(spark, monkeypatch):
+    """Dates, numbers of series, waits and counts: nothing of a row that moves for the quantiles is a string."""
+    moved = []
+    monkeypatch.setattr(quantiles, "chunk", lambda df, *a: moved.append(dict(df.dtypes)) or ordered.chunk(df, *a))
+    rows = spark.createDataFrame([(1, "x", 0.5, 2.0), (1, "x", 1.0, 3.0), (1, "y", 7.0, 9.5), (2, "x", 4.0, 5.0)], "day int, kind string, a double, b double")
+    got = outcomes.group_waits(rows, ["day"], {"x": F.col("kind") == "x", "y": F.col("kind") == "y"}, {"one": "a", "two": "b"})
+    found = {r["day"]: r.asDict() for r in got.collect()}
+    assert [set(m.values()) for m in moved] == [{"int", "double", "bigint"}]
+    assert found[1] == {"day": 1, "x_one_median_min": 0.8, "x_one_p90_min": 1.0, "x_two_median_min": 2.5, "x_two_p90_min": 3.0,
+                        "y_one_median_min": 7.0, "y_one_p90_min": 7.0, "y_two_median_min": 9.5, "y_two_p90_min": 9.5}
+    assert found[2]["x_two_p90_min"] == 5.0 and found[2]["y_one_median_min"] is None
