@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from worklake.plans.dashboards import percent
 from worklake.registered import all_queries, all_sql
+from worklake.session import materialize
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -38,3 +39,16 @@ def test_percent_rounds_as_sql_does(spark):
 def test_tile_counts_the_final_run_of_a_date(spark):
     """Every date has two runs; the tile agrees with a recount of the items."""
     same_as_sql(spark, "bi_tile_verify")
+
+
+@needs_tables
+def test_the_summary_stores_what_it_reads(spark, monkeypatch):
+    """One row per item of the columns that are summed up or grouped by, all items; the summary agrees with its SQL."""
+    all_queries()
+    from worklake.registered import reporting
+
+    stored = []
+    monkeypatch.setattr(reporting, "materialize", lambda df, name="step": stored.append(materialize(df, name)) or stored[-1])
+    same_as_sql(spark, "daily_summary")
+    assert len(stored) == 1 and stored[0].count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert not {"item_id", "arrival", "file_name", "person_id", "report_ts", "probability", "fifo_seq", "triage_seq"} & set(stored[0].columns)
